@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import (token_store,)
+from . import decontamination, quality_rules, token_store
 
 QUERIES = {
+    "op4_decontamination": decontamination.op4_decontamination,
     "op5_token_store": token_store.op5_token_store,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": decontamination.ORACLE,
+    "op10_quality_rules": quality_rules.ORACLE,
+}
