@@ -42,6 +42,7 @@ RULES = (
     Rule("word_length_high", "mean_word_length", most=15.0),
     Rule("exclamations", "exclamation_ratio", most=0.2),
     Rule("repeated_lines", "dup_line_ratio", most=0.5),
+    Rule("stutter", "stutter_ratio", most=0.3),
 )
 
 
@@ -90,6 +91,7 @@ def measures(text: Column) -> Column:
             big(F.length(F.array_join(w, ""))).alias("word_chars"),
             _repeat_words(w).alias("n_repeat_words"),
             big(F.size(F.filter(w, lambda x: x.isin(STOP_WORDS)))).alias("n_stop_words"),
+            big(F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1)))).alias("n_stutters"),
         ),
     )
     of_lines = let(lines, lambda x: F.struct(big(F.size(x)).alias("n_lines"), big(F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
@@ -118,7 +120,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     counted = docs.select(F.struct(*docs.columns).alias("row"), measures(F.col("text")).alias("m")).select("row", "m.w.*", "m.l.*", "m.n_symbols", "m.n_exclamations")
     ratios = counted.withColumns({
         "symbol_ratio": ratio("n_symbols", "n_words"), "stop_ratio": ratio("n_stop_words", "n_words"), "mean_word_length": ratio("word_chars", "n_words"),
-        "exclamation_ratio": ratio("n_exclamations", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
+        "exclamation_ratio": ratio("n_exclamations", "n_words"), "dup_line_ratio": ratio("n_dup_lines", "n_lines"), "stutter_ratio": ratio("n_stutters", "n_words"),
         "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
     })
     return ratios.withColumn("failed_rules", compile_rules(rules)).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
@@ -145,9 +147,10 @@ p AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i,
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines,
              CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(t, '!')) AS n_exclamations,
-             len(list_filter(w, lambda x: x IN ({", ".join(f"'{s}'" for s in dict.fromkeys(STOP_WORDS))}))) AS n_stop_words FROM d LEFT JOIN p USING (doc_id)),
+             len(list_filter(w, lambda x: x IN ({", ".join(f"'{s}'" for s in dict.fromkeys(STOP_WORDS))}))) AS n_stop_words,
+             len(list_filter(w, lambda x, i: x = w[i + 1])) AS n_stutters FROM d LEFT JOIN p USING (doc_id)),
 q AS (SELECT *, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_ratio, coalesce(n_stop_words / nullif(n_words, 0), 0) AS stop_ratio, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_length,
-             coalesce(n_exclamations / nullif(n_words, 0), 0) AS exclamation_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+             coalesce(n_exclamations / nullif(n_words, 0), 0) AS exclamation_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio, coalesce(n_stutters / nullif(n_words, 0), 0) AS stutter_ratio, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 f AS (SELECT *, concat_ws(',', {_BAD}) AS failed_rules FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules FROM f
 """
