@@ -14,6 +14,7 @@ A rolling hash over the last four ids cuts the stream, so equal passages give eq
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -41,45 +42,71 @@ def default_vocabulary() -> str:
 class WordEncoder:
     """Encodes texts with a tokenizers file, one white-space run at a time.
 
-    The vocabulary drops white space before it splits, so a text's ids are those of its words in order; words met before
-    come from a bounded cache, new ones are encoded together in one call and told apart by their offsets.
+    The vocabulary drops white space before it splits, so a text's ids are those of its runs in order; runs met before come
+    from a bounded cache. New words of letters alone are one piece each, so they are encoded together and told apart by
+    the ids that end a word; a letter word with one punctuation mark is its word and the mark; whatever else is told apart
+    by offsets.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        texts = [w.decode("utf-8") for w in words]
-        starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-        found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.asarray(found.ids, "<u4")
-        at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
-        cuts = np.searchsorted(at, starts) * 4
-        raw = ids.tobytes()
-        self.cache.update((w, raw[a:b]) for w, a, b in zip(words, cuts.tolist(), cuts[1:].tolist()))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+
+    def _letters(self, words: list[str], n: int = 64) -> None:
+        blocks = [words[i : i + n] for i in range(0, len(words), n)]
+        for block, found in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
+            ids = np.asarray(found.ids, "<u4")
+            cuts, raw = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+            if len(cuts) == len(block):
+                self.cache.update((w.encode(), raw[i:j]) for w, i, j in zip(block, [0, *cuts], cuts))
+            else:
+                self._others([w.encode() for w in block])
+
+    def _others(self, words: list[bytes], n: int = 1000) -> None:
+        for k in range(0, len(words), n):
+            block = words[k : k + n]
+            texts = [w.decode() for w in block]
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4")
+            at = np.fromiter((a for a, _ in found.offsets), np.int64, len(ids))
+            cuts, raw = (np.searchsorted(at, starts) * 4).tolist(), ids.tobytes()
+            self.cache.update((w, raw[i:j]) for w, i, j in zip(block, cuts, cuts[1:]))
+
+    def learn(self, words: set[bytes]) -> None:
+        cache, letters, others, marked = self.cache, set(), [], []
+        if len(cache) > CACHE_WORDS:  # long words seldom come again
+            short = {w: i for w, i in cache.items() if len(w) <= 8}
+            cache.clear()
+            cache.update(short if len(short) < CACHE_WORDS // 2 else {})
+        for w in words:
+            text = w.decode()
+            if text.isalpha() and text.lower().isalpha():
+                letters.add(text)
+            elif text[-1] in ".,;:!?" and text[:-1].isalpha() and text[:-1].lower().isalpha():
+                marked.append((w, w[:-1], w[-1:]))
+            else:
+                others.append(w)
+        letters.update(c.decode() for _, c, _ in marked if c not in cache)
+        self._letters(list(letters))
+        self._others(others + list({m for _, _, m in marked if m not in cache}))
+        cache.update((w, cache[c] + cache[m]) for w, c, m in marked)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if new := list(set().union(*split).difference(self.cache)):
-            self.learn(new)
-        if any(w not in self.cache for w in new[:1]):  # unreachable unless the cache was bounded below one batch
-            self.learn(new)
-        get = self.cache
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(get.__getitem__, words)))
-            except KeyError:  # dropped when the cache started anew
-                self.learn(list(set(words).difference(get)))
-                out.append(b"".join(get[w] if w in get else self.single(w) for w in words))
-        return out
-
-    def single(self, word: bytes) -> bytes:
-        return np.asarray(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
+        words = list(itertools.chain.from_iterable(split))
+        got = list(map(self.cache.get, words))
+        holes = [k for k, g in enumerate(got) if g is None]
+        self.learn({words[k] for k in holes})
+        for k in holes:
+            got[k] = self.cache[words[k]]
+        ends = list(itertools.accumulate(map(len, split)))
+        return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 def encoder(path: str) -> WordEncoder:
