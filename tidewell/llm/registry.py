@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, quality_rules, token_store
+from . import decontamination, near_dedup, quality_rules, token_store
 
 QUERIES = {
+    "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_token_store": token_store.op5_token_store,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": near_dedup.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
