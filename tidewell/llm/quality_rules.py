@@ -6,13 +6,13 @@ Every measure is an expression over the whole text. Arrays that several measures
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
+from .sqltext import let
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Frequent function words of the four languages, as they stand inside sentences.
@@ -46,10 +46,6 @@ RULES = (
 )
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _repeat_words(words: Column, n: int = 8) -> Column:
     """Words inside n-word windows that occur twice or more. Windows are told apart by a 64-bit hash.
 

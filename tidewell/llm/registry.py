@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, quality_rules, repeats, token_store
+from . import decontamination, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
 
 QUERIES = {
     "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_token_store": token_store.op5_token_store,
+    "op6_surrogates": surrogates.op6_surrogates,
     "op8_suffix_repeats": repeats.op8_suffix_repeats,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
