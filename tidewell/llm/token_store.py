@@ -30,6 +30,8 @@ END_ID = 1
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 9, 64, 4096
 #: Words kept by a worker between batches; beyond this the cache starts anew.
 CACHE_WORDS = 400_000
+#: Marks that the vocabulary's pattern takes as one piece after a word (an apostrophe may begin a piece of its own).
+_MARKS = b".,;:!?#*$%&|+-=/\\()[]{}<>@^_~\"`"
 _CACHES: dict[str, tuple] = {}
 
 
@@ -44,27 +46,29 @@ class WordEncoder:
 
     The vocabulary drops white space before it splits, so a text's ids are those of its runs in order; runs met before come
     from a bounded cache. New words of letters alone are one piece each, so they are encoded together and told apart by
-    the ids that end a word; a letter word with one punctuation mark is its word and the mark; whatever else is told apart
+    the ids that end a word; a letter word with marks behind is its word and the marks; whatever else is told apart
     by offsets.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.plain, self.cache = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        # words of a-z alone need no normalising, and their bytes stand for themselves
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
 
-    def _letters(self, words: list[str], n: int = 64) -> None:
+    def _letters(self, tokenizer, words: list[bytes], n: int = 128) -> None:
         blocks = [words[i : i + n] for i in range(0, len(words), n)]
-        for block, found in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False)):
+        for block, found in zip(blocks, tokenizer.encode_batch_fast([b" ".join(b).decode() for b in blocks], add_special_tokens=False)):
             ids = np.asarray(found.ids, "<u4")
             cuts, raw = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
             if len(cuts) == len(block):
-                self.cache.update((w.encode(), raw[i:j]) for w, i, j in zip(block, [0, *cuts], cuts))
+                self.cache.update((w, raw[i:j]) for w, i, j in zip(block, [0, *cuts], cuts))
             else:
-                self._others([w.encode() for w in block])
+                self._others(block)
 
     def _others(self, words: list[bytes], n: int = 1000) -> None:
         for k in range(0, len(words), n):
@@ -78,27 +82,31 @@ class WordEncoder:
             self.cache.update((w, raw[i:j]) for w, i, j in zip(block, cuts, cuts[1:]))
 
     def learn(self, words: set[bytes]) -> None:
-        cache, letters, others, marked = self.cache, set(), [], []
+        cache = self.cache
         if len(cache) > CACHE_WORDS:  # long words seldom come again
             short = {w: i for w, i in cache.items() if len(w) <= 8}
             cache.clear()
             cache.update(short if len(short) < CACHE_WORDS // 2 else {})
+        plain, letters, others, marked = set(), set(), [], []
         for w in words:
-            text = w.decode()
-            if text.isalpha() and text.lower().isalpha():
-                letters.add(text)
-            elif text[-1] in ".,;:!?" and text[:-1].isalpha() and text[:-1].lower().isalpha():
-                marked.append((w, w[:-1], w[-1:]))
+            core = w.rstrip(_MARKS) or w
+            if core.isalpha() and core.islower():
+                plain.add(core)
+            elif (text := core.decode()).isalpha() and text.lower().isalpha():
+                letters.add(core)
             else:
                 others.append(w)
-        letters.update(c.decode() for _, c, _ in marked if c not in cache)
-        self._letters(list(letters))
-        self._others(others + list({m for _, _, m in marked if m not in cache}))
+                continue
+            if core is not w:
+                marked.append((w, core, w[len(core) :]))
+        self._letters(self.plain, [w for w in plain if w not in cache])
+        self._letters(self.tokenizer, [w for w in letters if w not in cache])
+        self._others(others + [m for m in {m for _, _, m in marked} if m not in cache])
         cache.update((w, cache[c] + cache[m]) for w, c, m in marked)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # the vocabulary's special names keep their case
         words = list(itertools.chain.from_iterable(split))
         got = list(map(self.cache.get, words))
         holes = [k for k, g in enumerate(got) if g is None]
