@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
+from . import decontamination, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
 
 QUERIES = {
+    "op1_source_mix": mixing.op1_source_mix,
     "op2_minhash_near_dedup": near_dedup.op2_minhash_near_dedup,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_decontamination": decontamination.op4_decontamination,
