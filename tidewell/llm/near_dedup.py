@@ -2,9 +2,10 @@
 
 1. Every text becomes the set of its 5-word shingles (64-bit fingerprints), 200 MinHash samples in 40 bands of 5, and an
    odd sketch: the samples folded into a 1,024-bit parity map. Equal sets share one *node*, so copies cost one row each.
-2. A bucket is a band value that two or more nodes share. Its leader (smallest node) is paired with the other members;
-   components of the confirmed pairs are taken; then, within each bucket, only members of *different* components are
-   paired. Pairs inside one component can change nothing, so no group is ever expanded into all its pairs.
+2. A bucket is a band value that two or more nodes share. Its leader (the member that meets most others over all bands) is
+   paired with the members of other components, components are taken, and the next leader has its turn, until few pairs of
+   *different* components are left in the buckets; those are all tried. Pairs inside one component can change nothing, so no
+   group is expanded into all its pairs.
 3. A pair goes on if its set sizes allow the similarity and the XOR population count of the sketches estimates at least
    ``SKETCH_FLOOR`` (about eight standard deviations below 0.75); it is confirmed on the full sets.
 
@@ -24,6 +25,9 @@ from . import shared
 
 WORDS, SIMILARITY = 5, 75  # per cent
 BANDS, ROWS, SKETCH_BITS, SKETCH_FLOOR = 40, 5, 1024, 0.5
+#: Leaders are tried in turn until the pairs left are FEW_PAIRS for each member, a turn links nothing, or MAX_TURNS are over;
+#: then all pairs left are tried.
+MAX_TURNS, FEW_PAIRS = 4, 4
 _DRAWN = np.random.default_rng(20240229).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32)
 _A, _B = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
@@ -137,6 +141,35 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component."""
+    bands = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    return rows.join(bands, "band", "left_semi")
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, text in zip(batch.column(0).to_pylist(), shared.text_bytes(batch.column(1))):
+            s = shingles(text)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s.view(np.int64))], ["node", "shingle"])
+
+
+def _able(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (band, node, central, label) with ``size`` and ``common``: the node's shingles that another node here has too.
+
+    Two sets with m shingles in common have a similarity of at most m / (|x| + |y| - m), and m is at most either's ``common``.
+    So 7m >= 3(|x| + |y|) must hold; a node that even its bucket's smallest set can't satisfy goes, without loss.
+    """
+    sets = texts.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_explode, "node bigint, shingle bigint")
+    counts = shared.stored(sets, "sets")
+    twice = counts.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
+    size = counts.groupBy("node").agg(F.count("*").alias("size"))
+    common = counts.join(twice, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
+    known = rows.select("band", "node", "central", "label").join(size.join(common, "node"), "node")
+    least = known.groupBy("band").agg(F.min("size").alias("least"))
+    return _mixed(known.join(least, "band").where("7 * common >= 3 * (size + least)").drop("least"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
@@ -153,15 +186,28 @@ def classes(docs: DataFrame) -> DataFrame:
     active = shared.stored(one, "active")
     texts = shared.stored(source.join(active.select("tk", "node"), "tk").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    first = shared.stored(confirm(members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), active, texts), "links")
-    label = components(first)
-    labelled = members.join(label, "node", "left").select("band", "leader", "node", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    open_ = labelled.where("node <> leader").join(mixed, "band")
-    other = open_.select("band", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    across = open_.join(other, "band").where("label < other_label").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-    rest = confirm(across, active, texts)
-    label = shared.stored(components(first.union(rest)), "labels")
+    links, label = None, members.select("node", F.col("node").alias("label")).distinct()
+    met = members.groupBy("band").agg(F.count("*").alias("met"))
+    central = shared.stored(members.join(met, "band").groupBy("node").agg(F.sum("met").alias("central")), "central")
+    open_ = shared.stored(members.join(central, "node").withColumn("label", F.col("node")), "open")
+    for turn in range(MAX_TURNS):
+        lead = open_.groupBy("band").agg(F.max(F.struct("central", "node", "label")).alias("lead")).select("band", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label"))
+        led = open_.join(lead, "band")
+        tried = led.where("label <> lead_label").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        found = shared.stored(confirm(tried, active, texts), f"links-{turn}")
+        links = found if links is None else links.union(found)
+        label = shared.stored(components(links), f"labels-{turn}")
+        # a leader has met all others of its bucket; buckets of one component are done
+        rest = led.where("node <> lead").select("band", "node", "central").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = shared.stored(_able(shared.stored(_mixed(rest), f"mixed-{turn}"), texts), f"open-{turn}")
+        sizes = open_.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        pairs, held = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        if pairs <= FEW_PAIRS * held or turn and found.isEmpty():
+            break
+    other = open_.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "size", "common")))
+    fits = 7 * F.least("common", "other_common") >= 3 * (F.col("size") + F.col("other_size"))
+    across = open_.join(other, "band").where(F.expr("label < other_label") & fits).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+    label = shared.stored(components(links.union(confirm(across, active, texts))), "labels")
 
     rows = sketches.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
