@@ -142,9 +142,10 @@ def _next_round(width: int, length: int, gram: int):
 def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(repeated, open): rows all of whose windows are repeated; one row of each span whose core has another span too."""
     rows = shared.stored(rows, name)
-    cores = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # what is counted is written before it is joined: Spark splits a skewed key only between two plain shuffles
+    cores = shared.stored(rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), f"{name}-cores")
     met = shared.stored(rows.join(cores, "core", "left_semi"), f"{name}-met")
-    spans = met.groupBy("core", "span", "lo", "hi").agg(F.count("*").alias("n"), F.first("dk").alias("dk"), F.first("p").alias("p"))
+    spans = shared.stored(met.groupBy("core", "span", "lo", "hi").agg(F.count("*").alias("n"), F.first("dk").alias("dk"), F.first("p").alias("p")), f"{name}-spans")
     mixed = met.groupBy("core").agg(F.min("span").alias("a"), F.max("span").alias("b")).where("a < b").select("core")
     repeated = met.join(spans.where("n > 1").select("core", "span", "lo", "hi"), ["core", "span", "lo", "hi"], "left_semi")
     return repeated.select("dk", "p", "lo", "hi").distinct(), spans.join(mixed, "core", "left_semi").select("dk", "p", "lo", "hi")
