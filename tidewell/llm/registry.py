@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_extract, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
+from . import cotraining, decontamination, html_extract, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_token_store": token_store.op5_token_store,
     "op6_surrogates": surrogates.op6_surrogates,
+    "op7_cotraining": cotraining.op7_cotraining,
     "op8_suffix_repeats": repeats.op8_suffix_repeats,
     "op9_html_main_text": html_extract.op9_html_main_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
