@@ -26,7 +26,7 @@ from .decontamination import words_of
 from .quality_rules import STOP_WORDS
 
 MAX_LABELLED, MAX_POOL, LEAST = 12_000, 4_000, 15
-ROUNDS, SURE, MAX_WORDS, SCREEN_Z = 2, 0.98, 150, 6.0
+ROUNDS, SURE, MAX_WORDS, SCREEN_Z = 2, 0.98, 150, 4.5
 CUT = 0.5
 _STOP = frozenset(w.encode() for w in STOP_WORDS)
 _NO_CAPITALS = bytes(range(65, 91))
@@ -59,7 +59,7 @@ def metadata(source: str | None, lang: str | None, size: int | None) -> np.ndarr
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 10) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 10) -> np.ndarray:
     """Logistic weights, the last the intercept, by Newton steps."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -120,7 +120,7 @@ class Head:
 def screen(words: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The words whose document frequency differs most between the classes: at least SCREEN_Z standard errors."""
     every, counts = np.unique(np.concatenate(words), return_counts=True)
-    every, counts = every[counts >= 5], counts[counts >= 5]
+    every, counts = every[counts >= 4], counts[counts >= 4]
     ones = np.unique(np.concatenate([w for w, label in zip(words, y) if label] or [np.zeros(0, np.uint32)]), return_counts=True)
     n, n1 = len(y), int(y.sum())
     inside = np.zeros(len(every))
