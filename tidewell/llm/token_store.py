@@ -29,7 +29,7 @@ from . import shared
 END_ID = 1
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 9, 64, 4096
 #: Words kept by a worker between batches; beyond this the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 #: Marks that the vocabulary's pattern takes as one piece after a word (an apostrophe may begin a piece of its own).
 _MARKS = b".,;:!?#*$%&|+-=/\\()[]{}<>@^_~\"`"
 _CACHES: dict[str, tuple] = {}
@@ -87,8 +87,9 @@ class WordEncoder:
             short = {w: i for w, i in cache.items() if len(w) <= 8}
             cache.clear()
             cache.update(short if len(short) < CACHE_WORDS // 2 else {})
-        plain, letters, others, marked = set(), set(), [], []
-        for w in words:
+        plain = {w for w in words if w.isalpha() and w.islower()}
+        letters, others, marked = set(), [], []
+        for w in words.difference(plain):
             core = w.rstrip(_MARKS) or w
             if core.isalpha() and core.islower():
                 plain.add(core)
