@@ -28,7 +28,9 @@ BANDS, ROWS, SKETCH_BITS, SKETCH_FLOOR = 40, 5, 1024, 0.5
 #: Leaders are tried in turn until the pairs left are FEW_PAIRS for each member, a turn links nothing, or MAX_TURNS are over;
 #: then all pairs left are tried.
 MAX_TURNS, FEW_PAIRS = 4, 4
-_DRAWN = np.random.default_rng(20240229).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32)
+#: A larger sketch for the nodes whose pairs the leaders leave open; its floor lies more than four standard deviations below 0.75.
+FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 1024, 4096, 0.68
+_DRAWN = np.random.default_rng(20240229).integers(1, 1 << 32, (2, FINE_SAMPLES), dtype=np.uint64).astype(np.uint32)
 _A, _B = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
 
@@ -48,17 +50,17 @@ def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
     return np.unique(shared.mix64(s))
 
 
-def minhash(fingerprints: np.ndarray) -> np.ndarray:
-    x, low = (fingerprints >> np.uint64(16)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for k in range(0, len(x), 2048):
-        low = np.minimum(low, (x[k : k + 2048, None] * _A + _B).min(axis=0))
+def minhash(fingerprints: np.ndarray, samples: int = BANDS * ROWS) -> np.ndarray:
+    x, low = (fingerprints >> np.uint64(16)).astype(np.uint32), np.full(samples, 0xFFFFFFFF, np.uint32)
+    for k in range(0, len(x), 1024):
+        low = np.minimum(low, (x[k : k + 1024, None] * _A[:samples] + _B[:samples]).min(axis=0))
     return low
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
+def odd_sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Parity of the number of (place, sample) pairs that fall on each bit, as 64-bit words."""
-    place = shared.mix64(samples.astype(np.uint64) + (np.arange(len(samples), dtype=np.uint64) << np.uint64(32))) % np.uint64(SKETCH_BITS)
-    return np.packbits((np.bincount(place.astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+    place = shared.mix64(samples.astype(np.uint64) + (np.arange(len(samples), dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
 def band_keys(samples: np.ndarray) -> np.ndarray:
@@ -91,10 +93,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))], ["doc_id", "tk", "n_shingles", "node", "bands", "odd"])
 
 
-def estimate(a, b):
+def estimate(a, b, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS):
     """Similarity from two odd sketches: the population count z of their XOR gives the size of the samples' symmetric difference."""
     z = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    return 1 + F.lit(SKETCH_BITS / 4 / (BANDS * ROWS)) * F.log(F.greatest(1 - 2 * z / F.lit(SKETCH_BITS), F.lit(1e-9)))
+    return 1 + F.lit(bits / 4 / samples) * F.log(F.greatest(1 - 2 * z / F.lit(bits), F.lit(1e-9)))
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +156,12 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s.view(np.int64))], ["node", "shingle"])
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketches = [odd_sketch(minhash(shingles(t), FINE_SAMPLES), FINE_BITS) for t in shared.text_bytes(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.list_(pa.int64()))], ["node", "fine"])
+
+
 def _able(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (band, node, central, label) with ``size`` and ``common``: the node's shingles that another node here has too.
 
@@ -204,9 +212,13 @@ def classes(docs: DataFrame) -> DataFrame:
         pairs, held = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if pairs <= FEW_PAIRS * held or turn and found.isEmpty():
             break
-    other = open_.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "size", "common")))
-    fits = 7 * F.least("common", "other_common") >= 3 * (F.col("size") + F.col("other_size"))
-    across = open_.join(other, "band").where(F.expr("label < other_label") & fits).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+    fine = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_fine, "node bigint, fine array<bigint>")
+    held = open_.groupBy("node").agg(F.collect_list("band").alias("mine"))  # at most BANDS
+    open_ = open_.join(shared.stored(fine.join(held, "node"), "fine"), "node")
+    other = open_.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "size", "common", "fine", "mine")))
+    fits = (7 * F.least("common", "other_common") >= 3 * (F.col("size") + F.col("other_size"))) & (estimate(F.col("fine"), F.col("other_fine"), FINE_SAMPLES, FINE_BITS) >= FINE_FLOOR)
+    once = F.array_min(F.array_intersect("mine", "other_mine")) == F.col("band")  # in the first bucket that both share
+    across = open_.join(other, "band").where(F.expr("label < other_label") & fits & once).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
     label = shared.stored(components(links.union(confirm(across, active, texts))), "labels")
 
     rows = sketches.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
