@@ -170,6 +170,7 @@ def _sources(docs: DataFrame) -> list:
     return [F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("bigint").alias("n_chars")]
 
 
+@shared.tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [content(t) for t in shared.text_bytes(batch.column("text"))]
@@ -207,7 +208,7 @@ def _score(shipped):
             out = [np.concatenate(scores[k], axis=1) if scores[k] else np.zeros((3, 0)) for k in ("good", "toxic")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(o[j]) for o in out for j in range(3))], ["row", "good_content", "good_metadata", "p_good", "toxic_content", "toxic_metadata", "p_toxic"])
 
-    return run
+    return shared.tidy(run)
 
 
 def score(docs: DataFrame, heads: dict[str, Head]) -> DataFrame:

@@ -121,7 +121,7 @@ def _scan(shipped):
                 lo = hi
             yield pa.RecordBatch.from_arrays([row, text, pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(counts, pa.int64())], ["row", "text", "items", "spans", "n_words"])
 
-    return run
+    return shared.tidy(run)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

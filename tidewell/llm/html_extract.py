@@ -144,6 +144,7 @@ def host(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
+@shared.tidy
 def _list_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -176,6 +177,7 @@ def templates(pages: DataFrame) -> DataFrame:
     return slots.withColumn("rank", named).where("rank > 0").groupBy("host").agg(F.max(F.struct("rank", F.size(F.split("path", "/")), "size", "path")).getField("path").alias("slot"))
 
 
+@shared.tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(page, slot) for page, slot in zip(batch.column("html").to_pylist(), batch.column("slot").to_pylist())]

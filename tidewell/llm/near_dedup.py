@@ -73,6 +73,7 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 SKETCHES = "doc_id bigint, tk string, n_shingles bigint, node bigint, bands array<bigint>, odd array<bigint>"
 
 
+@shared.tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
@@ -99,6 +100,7 @@ def estimate(a, b, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS):
     return 1 + F.lit(bits / 4 / samples) * F.log(F.greatest(1 - 2 * z / F.lit(bits), F.lit(1e-9)))
 
 
+@shared.tidy
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple[bytes, np.ndarray] = (b"", shingles(b""))
     for batch in batches:
@@ -149,6 +151,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(bands, "band", "left_semi")
 
 
+@shared.tidy
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for node, text in zip(batch.column(0).to_pylist(), shared.text_bytes(batch.column(1))):
@@ -156,6 +159,7 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s.view(np.int64))], ["node", "shingle"])
 
 
+@shared.tidy
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sketches = [odd_sketch(minhash(shingles(t), FINE_SAMPLES), FINE_BITS) for t in shared.text_bytes(batch.column(1))]

@@ -116,7 +116,7 @@ def _first_round(length: int, gram: int):
                         out, held = [], 0
             yield _batch(out)
 
-    return run
+    return shared.tidy(run)
 
 
 def _next_round(width: int, length: int, gram: int):
@@ -136,7 +136,7 @@ def _next_round(width: int, length: int, gram: int):
                     core, span = _ranks(lambda a, b: (sums[local, b + at] - sums[local, a + at]) * down[a + at], q[cut], base[cut], qlo[cut], qhi[cut], width, length, most)  # noqa: B023
                     yield _batch([(core, span, np.full(len(core), dk), q[cut], qlo[cut], qhi[cut])])
 
-    return run
+    return shared.tidy(run)
 
 
 def _settle(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +168,7 @@ def _cut(length: int):
                 kept.append(rest)
             yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["dk", "spans", "kept_sha256", "kept"])
 
-    return run
+    return shared.tidy(run)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

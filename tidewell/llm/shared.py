@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -14,7 +16,12 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_BYTES = 64 << 20
 
 
+#: Rows of whole texts that go to Python at once.
+ROWS_AT_ONCE = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,3 +70,20 @@ def text_key(text: str = "text"):
     """A 128-bit key of a text's content: two independent 64-bit hashes."""
     t = F.coalesce(F.col(text), F.lit(""))
     return F.concat_ws("-", F.hex(F.xxhash64(t)), F.hex(F.xxhash64(F.lit(7919), t)))
+
+
+def tidy(run):
+    """Wraps what mapInArrow runs: when a task ends, its worker, which is kept for others, gives freed memory back."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped

@@ -29,7 +29,7 @@ from . import shared
 END_ID = 1
 CUT_BITS, MIN_CHUNK, MAX_CHUNK = 9, 64, 4096
 #: Words kept by a worker between batches; beyond this the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 400_000
 #: Marks that the vocabulary's pattern takes as one piece after a word (an apostrophe may begin a piece of its own).
 _MARKS = b".,;:!?#*$%&|+-=/\\()[]{}<>@^_~\"`"
 _CACHES: dict[str, tuple] = {}
@@ -83,10 +83,8 @@ class WordEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         cache = self.cache
-        if len(cache) > CACHE_WORDS:  # long words seldom come again
-            short = {w: i for w, i in cache.items() if len(w) <= 8}
-            cache.clear()
-            cache.update(short if len(short) < CACHE_WORDS // 2 else {})
+        if len(cache) > CACHE_WORDS:
+            self.shrink()
         plain = {w for w in words if w.isalpha() and w.islower()}
         letters, others, marked = set(), [], []
         for w in words.difference(plain):
@@ -105,6 +103,12 @@ class WordEncoder:
         self._others(others + [m for m in {m for _, _, m in marked} if m not in cache])
         cache.update((w, cache[c] + cache[m]) for w, c, m in marked)
 
+    def shrink(self) -> None:
+        """Keep short words: long ones seldom come again."""
+        short = {w: i for w, i in self.cache.items() if len(w) <= 8}
+        self.cache.clear()
+        self.cache.update(short if len(short) < CACHE_WORDS // 4 else {})
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # the vocabulary's special names keep their case
@@ -190,10 +194,12 @@ def _encode(path: str):
                     rows.append(("recipe", address(rid.encode()), None, doc, rid, len(ids), b"".join(refs)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], ["kind", "key", "payload", "doc_id", "rid", "n_tokens", "refs"])
                 lo = hi
+        enc.shrink()
 
-    return run
+    return shared.tidy(run)
 
 
+@shared.tidy
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """After the shuffle on the key: the first row of each key."""
     seen: set[bytes] = set()
