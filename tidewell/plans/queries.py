@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import pages as P
 from ..functions import rules as R
 from ..functions import text as T
 from ..functions import timefn as X
 from ..functions import url as U
 from ..operators import diff, merge, paging
+from ..operators import discovery as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -480,3 +482,46 @@ def pagination_completeness(spark, sf):
     """Pages of a board against the total that the board declares."""
     pages = t(spark, sf, "lineitem").groupBy("l_orderkey", F.floor(F.col("l_linenumber") / 3).alias("page")).agg(F.count("*").alias("n"), F.max("l_linenumber").alias("declared"))
     return pages.groupBy("l_orderkey").agg(F.sum("n").alias("seen"), F.count("*").alias("pages"), F.max("declared").alias("declared")).withColumn("complete", F.col("seen") == F.col("declared"))
+
+
+# ---- pages ------------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def page_links(spark, sf):
+    """Links with their label and absolute URL; a document tree is beyond the oracle's SQL."""
+    return P.links(t(spark, sf, "pages")).select("page_id", "ord", "label", "url")
+
+
+@query()
+def page_title_h1(spark, sf):
+    return P.flatten(t(spark, sf, "pages")).select("page_id", "title", "h1")
+
+
+@query()
+def page_chrome_filter(spark, sf):
+    return P.links(t(spark, sf, "pages")).groupBy(P.chrome_reason("around").alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query()
+def evidence_verdict(spark, sf):
+    """Every link of every page as a posting candidate, with the verdict."""
+    found = P.links(t(spark, sf, "pages"))
+    verdict = R.evidence(F.col("label"), F.col("url"), P.chrome_reason("around"), P.in_job_list("around"), R.metadata_signals("label"), F.lit(False), F.col("page_url"))
+    return found.select("page_id", "ord", verdict.alias("v")).select("page_id", "ord", "v.*")
+
+
+@query()
+def official_website_score(spark, sf):
+    """Each page as a candidate for its own site's company."""
+    flat = P.flatten(t(spark, sf, "pages"))
+    s = D.website_score(F.regexp_replace(U.registered_domain("url"), r"\..*$", " bank"), F.col("url"), F.col("text"), F.lit(""), F.lit(""))
+    return flat.select("page_id", s.alias("s")).select("page_id", "s.*")
+
+
+@query()
+def job_board_pick(spark, sf):
+    """The best job-board link of each page's site."""
+    found = P.links(t(spark, sf, "pages")).withColumn("site", U.registered_domain("page_url"))
+    s = D.board_score(F.col("site"), F.col("url"), F.col("label"), F.lit(True))
+    return D.best_board(found.select("site", "url", "ord", F.lit(0).alias("stage"), s.alias("s")).select("site", "url", "ord", "stage", "s.*"), "site", "stage", "ord")
