@@ -25,7 +25,7 @@ from . import shared
 
 WORDS, SIMILARITY = 5, 75  # per cent
 BANDS, ROWS, SKETCH_BITS, SKETCH_FLOOR = 40, 5, 1024, 0.5
-#: Leaders are tried in turn until the pairs left are FEW_PAIRS for each member, a turn links nothing, or MAX_TURNS are over;
+#: Leaders are tried in turn until the pairs left are FEW_PAIRS for each member, a turn links under 1 % of its pairs, or MAX_TURNS are over;
 #: then all pairs left are tried.
 MAX_TURNS, FEW_PAIRS = 4, 4
 #: A larger sketch for the nodes whose pairs the leaders leave open; its floor lies more than four standard deviations below 0.75.
@@ -133,7 +133,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(low, "u")
         small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -179,7 +179,7 @@ def _able(rows: DataFrame, texts: DataFrame) -> DataFrame:
     common = counts.join(twice, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
     known = rows.select("band", "node", "central", "label").join(size.join(common, "node"), "node")
     least = known.groupBy("band").agg(F.min("size").alias("least"))
-    return _mixed(known.join(least, "band").where("7 * common >= 3 * (size + least)").drop("least"))
+    return _mixed(shared.stored(known.join(least, "band").where("7 * common >= 3 * (size + least)").drop("least"), "able"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -198,23 +198,25 @@ def classes(docs: DataFrame) -> DataFrame:
     active = shared.stored(one, "active")
     texts = shared.stored(source.join(active.select("tk", "node"), "tk").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    links, label = None, members.select("node", F.col("node").alias("label")).distinct()
+    links = label = None
     met = members.groupBy("band").agg(F.count("*").alias("met"))
     central = shared.stored(members.join(met, "band").groupBy("node").agg(F.sum("met").alias("central")), "central")
     open_ = shared.stored(members.join(central, "node").withColumn("label", F.col("node")), "open")
     for turn in range(MAX_TURNS):
         lead = open_.groupBy("band").agg(F.max(F.struct("central", "node", "label")).alias("lead")).select("band", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label"))
         led = open_.join(lead, "band")
-        tried = led.where("label <> lead_label").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        tried = shared.stored(led.where("label <> lead_label").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), f"tried-{turn}")
         found = shared.stored(confirm(tried, active, texts), f"links-{turn}")
+        linked = found.count()
         links = found if links is None else links.union(found)
-        label = shared.stored(components(links), f"labels-{turn}")
+        if linked or label is None:
+            label = shared.stored(components(links), f"labels-{turn}")
         # a leader has met all others of its bucket; buckets of one component are done
         rest = led.where("node <> lead").select("band", "node", "central").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = shared.stored(_able(shared.stored(_mixed(rest), f"mixed-{turn}"), texts), f"open-{turn}")
         sizes = open_.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
         pairs, held = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if pairs <= FEW_PAIRS * held or turn and found.isEmpty():
+        if pairs <= FEW_PAIRS * held or 100 * linked < tried.count():
             break
     fine = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_fine, "node bigint, fine array<bigint>")
     held = open_.groupBy("node").agg(F.collect_list("band").alias("mine"))  # at most BANDS
@@ -223,7 +225,9 @@ def classes(docs: DataFrame) -> DataFrame:
     fits = (7 * F.least("common", "other_common") >= 3 * (F.col("size") + F.col("other_size"))) & (estimate(F.col("fine"), F.col("other_fine"), FINE_SAMPLES, FINE_BITS) >= FINE_FLOOR)
     once = F.array_min(F.array_intersect("mine", "other_mine")) == F.col("band")  # in the first bucket that both share
     across = open_.join(other, "band").where(F.expr("label < other_label") & fits & once).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
-    label = shared.stored(components(links.union(confirm(across, active, texts))), "labels")
+    found = shared.stored(confirm(across, active, texts), "links")
+    if not found.isEmpty():
+        label = shared.stored(components(links.union(found)), "labels")
 
     rows = sketches.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
