@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -51,6 +52,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.plain, self.cache = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
@@ -66,7 +68,7 @@ class WordEncoder:
             ids = np.asarray(found.ids, "<u4")
             cuts, raw = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
             if len(cuts) == len(block):
-                self.cache.update((w, raw[i:j]) for w, i, j in zip(block, [0, *cuts], cuts))
+                self.cache.update(zip(block, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
             else:
                 self._others(block)
 
@@ -98,7 +100,7 @@ class WordEncoder:
                 continue
             if core is not w:
                 marked.append((w, core, w[len(core) :]))
-        self._letters(self.plain, [w for w in plain if w not in cache])
+        self._letters(self.plain, list(plain - cache.keys()))
         self._letters(self.tokenizer, [w for w in letters if w not in cache])
         self._others(others + [m for m in {m for _, _, m in marked} if m not in cache])
         cache.update((w, cache[c] + cache[m]) for w, c, m in marked)
@@ -194,7 +196,8 @@ def _encode(path: str):
                     rows.append(("recipe", address(rid.encode()), None, doc, rid, len(ids), b"".join(refs)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], ["kind", "key", "payload", "doc_id", "rid", "n_tokens", "refs"])
                 lo = hi
-        enc.shrink()
+        if len(enc.cache) > CACHE_WORDS // 2:
+            enc.shrink()
 
     return shared.tidy(run)
 
