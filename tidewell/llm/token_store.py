@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -111,17 +112,21 @@ class WordEncoder:
         self.cache.clear()
         self.cache.update(short if len(short) < CACHE_WORDS // 4 else {})
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]  # the vocabulary's special names keep their case
-        words = list(itertools.chain.from_iterable(split))
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text. Arrow splits and numbers the words, so Python sees each distinct word of a batch once."""
+        column = pa.array([t if b"<|" in t else t.lower() for t in texts], pa.binary()).cast(pa.string())  # the vocabulary's special names keep their case
+        split = pc.ascii_split_whitespace(column)
+        numbered = split.flatten().dictionary_encode()
+        words, codes = numbered.dictionary.cast(pa.binary()).to_pylist(), numbered.indices.to_numpy(zero_copy_only=False)
         got = list(map(self.cache.get, words))
-        holes = [k for k, g in enumerate(got) if g is None]
-        self.learn({words[k] for k in holes})
-        for k in holes:
-            got[k] = self.cache[words[k]]
-        ends = list(itertools.accumulate(map(len, split)))
-        return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends)]
+        self.learn({w for w, g in zip(words, got) if g is None and w})
+        got = [g if g is not None else self.cache[w] if w else b"" for w, g in zip(words, got)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        ids, starts = np.frombuffer(b"".join(got), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[codes]
+        out = ids[np.repeat(starts[codes], each) + shared.ragged(each)]
+        ends = np.concatenate([[0], np.cumsum(each)])[split.offsets.to_numpy()]
+        return [out[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
 
 
 def encoder(path: str) -> WordEncoder:
@@ -169,18 +174,18 @@ def _encode(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, count, seen = encoder(path), TaskContext.get().partitionId(), 0, set()
-        end = np.asarray([END_ID], "<u4").tobytes()
+        end = np.asarray([END_ID], "<u4")
         for batch in batches:
             all_ids, all_texts = batch.column(0).to_pylist(), shared.text_bytes(batch.column(1))
             lo = 0
             while lo < len(all_ids):  # a bounded number of bytes at a time
                 hi, size = lo, 0
-                while hi < len(all_ids) and size < 4 << 20:
+                while hi < len(all_ids) and size < 8 << 20:
                     size += len(all_texts[hi])
                     hi += 1
                 rows = []
-                for doc, raw in zip(all_ids[lo:hi], enc.encode(all_texts[lo:hi])):
-                    ids, last, refs = np.frombuffer(raw + end, "<u4"), 0, []
+                for doc, found in zip(all_ids[lo:hi], enc.encode(all_texts[lo:hi])):
+                    ids, last, refs = np.concatenate([found, end]), 0, []
                     for cut in cuts(ids):
                         payload = pack(ids[last:cut])
                         key = address(payload)
