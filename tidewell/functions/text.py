@@ -75,7 +75,7 @@ def meaningful_words(c: Column | str) -> Column:
 def merge_notes(*notes: Column | str) -> Column:
     """The distinct notes of several '; ' lists, in order."""
     parts = F.flatten(F.array(*(F.split(blank(n), ";") for n in notes)))
-    return F.array_join(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda x: x != "")), "; ")
+    return F.array_join(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")), "; ")
 
 
 def description(c: Column | str) -> Column:

@@ -165,7 +165,7 @@ def fold_companies(df: DataFrame, order: str) -> DataFrame:
         right = x.getField("r")
         takes = quality(right) > quality(acc)
         pick = lambda c: F.when(F.when(takes, right.getField(c)).otherwise(acc.getField(c)) != "", F.when(takes, right.getField(c)).otherwise(acc.getField(c))).otherwise(F.when(takes, acc.getField(c)).otherwise(right.getField(c)))
-        notes = F.array_join(F.array_distinct(F.filter(F.transform(F.concat(F.split(acc.getField("notes"), ";"), F.split(right.getField("notes"), ";")), F.trim), lambda n: n != "")), "; ")
+        notes = F.array_join(F.array_distinct(F.filter(F.transform(F.concat(F.split(acc.getField("notes"), ";"), F.split(right.getField("notes"), ";")), lambda n: F.trim(n)), lambda n: n != "")), "; ")
         return F.struct(*(pick(c).alias(c) for c in COMPANY_COLUMNS), F.greatest(acc.getField("confidence"), right.getField("confidence")).alias("confidence"), notes.alias("notes"))
 
     first = F.get("rows", F.lit(0)).getField("r")
