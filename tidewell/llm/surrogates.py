@@ -97,6 +97,8 @@ def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
     phone = F.when(F.length(norm) > 10, F.concat(F.substring(norm, F.lit(1), F.length(norm) - 10), _digits(F.lit(10), secret, 2))).otherwise(_digits(F.length(norm), secret, 2))
     card = let(F.concat(F.substring(norm, 1, 1), _digits(F.length(norm) - 2, secret)), lambda body: F.concat(body, _check_digit(body)))
     given = F.when(norm.startswith("f "), F.get(F.array(*map(F.lit, FEMALE)), _draw(secret, F.lit(0)) % len(FEMALE))).otherwise(F.get(F.array(*map(F.lit, MALE)), _draw(secret, F.lit(0)) % len(MALE)))
+    own = F.regexp_extract(norm, r"^. (\S+)", 1)
+    given = F.when(own.rlike(r"^\p{IsLatin}+$"), given).otherwise(_characters(own, F.sha2(secret, 256)))  # the pools are Latin
     last = F.regexp_extract(norm, r"^. \S+ (\S+)$", 1)
     name = F.concat(F.substring(norm, 1, 2), F.when(last == "", _characters(F.substring(norm, 3, 999), secret)).otherwise(F.concat_ws(" ", given, _characters(last, secret))))
     return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", _digits(F.length(norm), secret, 1)).otherwise(name)
