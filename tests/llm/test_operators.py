@@ -200,7 +200,7 @@ def test_decontamination(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r.items, r.contaminated) for r in decontamination.measured(docs(spark, *texts), bench).select("row.doc_id", "n_words", "n_hit", "items", "contaminated").collect()}
     assert got == brute_hits(list(enumerate(texts)), items)
     clean = {r.doc_id: r.text for r in decontamination.decontaminate(docs(spark, *texts), bench, remove="spans").collect()}
-    assert clean[4].strip() == "" and clean[2] == texts[2] and clean[3] == ", . ".replace(", . ", clean[3])
+    assert clean[4].strip() == "" and clean[2] == texts[2] and clean[3] == ""
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
@@ -284,14 +284,14 @@ def test_surrogates(spark):
     assert len(names) == 2 and names[0] == names[1] and names[0][0] in surrogates.FEMALE
     assert re.search(r"Mr\. (\S+)", a)[1] in surrogates.MALE
     mails = re.findall(r"\S+@\S+\.[A-Za-z]+", a)
-    assert mails[0].lower() == mails[1].lower() and mails[0].endswith(".de") and mails[1].endswith(".DE") is False or True
+    assert mails[0].lower() == mails[1].lower() and all(m.endswith(".de") for m in mails)
     assert re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4} now", got[1][0]) and got[1][0] != texts[1]
     ip, card = re.fullmatch(r"from ([\d.]+) with (\d{4} \d{4} \d{4} \d{4})", got[2][0]).groups()
     assert ip == got[7][0] and all(0 <= int(x) <= 255 for x in ip.split("."))
     digits = [int(c) for c in card.replace(" ", "")]
     assert sum(d if k % 2 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits)) % 10 == 0
     assert got[3] == (texts[3], 0) and got[4] == (None, 0) and got[5] == ("", 0)
-    assert re.fullmatch(r"Mr\. \S+ [А-Яа-я]+", got[6][0])
+    assert re.fullmatch(r"Mr\. [А-Яа-я]+ [А-Яа-я]+", got[6][0])
 
 
 def test_surrogates_stay_distinct(spark):
