@@ -28,6 +28,8 @@ BANDS, ROWS, SKETCH_BITS, SKETCH_FLOOR = 40, 5, 1024, 0.5
 #: Leaders are tried in turn until the pairs left are FEW_PAIRS for each member, a turn links under 1 % of its pairs, or MAX_TURNS are over;
 #: then all pairs left are tried.
 MAX_TURNS, FEW_PAIRS = 4, 4
+#: Rows that a task takes where tables are small; pairs that are broadcast at most.
+ROWS_A_TASK, MOST_SENT = 20_000, 200_000
 #: A larger sketch for the nodes whose pairs the leaders leave open; its floor lies more than four standard deviations below 0.75.
 FINE_SAMPLES, FINE_BITS, FINE_FLOOR = 1024, 4096, 0.68
 _DRAWN = np.random.default_rng(20240229).integers(1, 1 << 32, (2, FINE_SAMPLES), dtype=np.uint64).astype(np.uint32)
@@ -114,29 +116,37 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, active: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough."""
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """As many tasks as so many rows need; more only where there are more already."""
+    return df.coalesce(max(2, rows // ROWS_A_TASK))
+
+
+def confirm(pairs: DataFrame, n: int, active: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose full sets are similar enough; n: how many pairs there are.
+
+    Up to MOST_SENT pairs go to the sketches and texts as a broadcast (below 64 MB with their sketches); more are joined by shuffles.
+    """
+    sent = F.broadcast if n <= MOST_SENT else (lambda df: df)
     side = lambda c: active.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").where(
-        (100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (estimate(F.col("odd_a"), F.col("odd_b")) >= SKETCH_FLOOR)
-    )
-    text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return likely.select("a", "b").join(text("b"), "b").join(text("a"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint")
+    both = side("b").join(sent(side("a").join(sent(pairs), "a")), "b")
+    likely = shared.stored(few(both.where((100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (estimate(F.col("odd_a"), F.col("odd_b")) >= SKETCH_FLOOR)).select("a", "b"), n), "likely")
+    text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")).join(sent(likely), c)
+    return text("a").join(text("b"), ["a", "b"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of an edge. Alternating large and small stars; the edges
     are written to the shared folder after each round, and the rounds end when they no longer change."""
-    spark = edges.sparkSession
-    now = shared.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = shared.stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    rows = now.count()
     mark = None
     while True:
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(low, "u")
-        small = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        low = few(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), rows)
+        large = few(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), rows)
+        low = few(large.groupBy("u").agg(F.min("v").alias("m")), rows)
+        linked = few(large.join(low, "u"), rows)
+        small = few(linked.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), rows)
         now = shared.stored(small, "edges")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
@@ -145,10 +155,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select("v", "v").distinct())
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, n: int) -> DataFrame:
     """Rows of the buckets that hold more than one component."""
-    bands = rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    return rows.join(bands, "band", "left_semi")
+    bands = few(rows.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band"), n)
+    return few(rows.join(bands, "band", "left_semi"), n)
 
 
 @shared.tidy
@@ -166,7 +176,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.list_(pa.int64()))], ["node", "fine"])
 
 
-def _able(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _able(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """Rows (band, node, central, label) with ``size`` and ``common``: the node's shingles that another node here has too.
 
     Two sets with m shingles in common have a similarity of at most m / (|x| + |y| - m), and m is at most either's ``common``.
@@ -177,9 +187,9 @@ def _able(rows: DataFrame, texts: DataFrame) -> DataFrame:
     twice = counts.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle")
     size = counts.groupBy("node").agg(F.count("*").alias("size"))
     common = counts.join(twice, "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("common"))
-    known = rows.select("band", "node", "central", "label").join(size.join(common, "node"), "node")
-    least = known.groupBy("band").agg(F.min("size").alias("least"))
-    return _mixed(shared.stored(known.join(least, "band").where("7 * common >= 3 * (size + least)").drop("least"), "able"))
+    known = shared.stored(few(rows.select("band", "node", "central", "label").join(few(size.join(common, "node"), n), "node"), n), "known")
+    least = few(known.groupBy("band").agg(F.min("size").alias("least")), n)
+    return _mixed(shared.stored(few(known.join(least, "band").where("7 * common >= 3 * (size + least)").drop("least"), n), "able"), n)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -199,33 +209,35 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = shared.stored(source.join(active.select("tk", "node"), "tk").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     links = label = None
-    met = members.groupBy("band").agg(F.count("*").alias("met"))
-    central = shared.stored(members.join(met, "band").groupBy("node").agg(F.sum("met").alias("central")), "central")
-    open_ = shared.stored(members.join(central, "node").withColumn("label", F.col("node")), "open")
+    n = members.count()
+    met = few(members.groupBy("band").agg(F.count("*").alias("met")), n)
+    central = few(members.join(met, "band").groupBy("node").agg(F.sum("met").alias("central")), n)
+    open_ = shared.stored(few(members.join(central, "node"), n).withColumn("label", F.col("node")), "open")
     for turn in range(MAX_TURNS):
-        lead = open_.groupBy("band").agg(F.max(F.struct("central", "node", "label")).alias("lead")).select("band", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label"))
-        led = open_.join(lead, "band")
-        tried = shared.stored(led.where("label <> lead_label").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), f"tried-{turn}")
-        found = shared.stored(confirm(tried, active, texts), f"links-{turn}")
+        lead = few(open_.groupBy("band").agg(F.max(F.struct("central", "node", "label")).alias("lead")), n).select("band", F.col("lead.node").alias("lead"), F.col("lead.label").alias("lead_label"))
+        led = shared.stored(few(open_.select("band", "node", "central", "label").join(lead, "band"), n), f"led-{turn}")
+        tried = shared.stored(few(led.where("label <> lead_label").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct(), n), f"tried-{turn}")
+        n_tried = tried.count()
+        found = shared.stored(confirm(tried, n_tried, active, texts), f"links-{turn}")
         linked = found.count()
         links = found if links is None else links.union(found)
         if linked or label is None:
             label = shared.stored(components(links), f"labels-{turn}")
         # a leader has met all others of its bucket; buckets of one component are done
-        rest = led.where("node <> lead").select("band", "node", "central").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = shared.stored(_able(shared.stored(_mixed(rest), f"mixed-{turn}"), texts), f"open-{turn}")
-        sizes = open_.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+        rest = few(led.where("node <> lead").select("band", "node", "central").join(label, "node", "left"), n).withColumn("label", F.coalesce("label", "node"))
+        open_ = shared.stored(_able(shared.stored(_mixed(rest, n), f"mixed-{turn}"), texts, n), f"open-{turn}")
+        sizes = few(few(open_.groupBy("band", "label").agg(F.count("*").alias("n")), n).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")), n)
         pairs, held = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if pairs <= FEW_PAIRS * held or 100 * linked < tried.count():
+        if pairs <= FEW_PAIRS * held or 100 * linked < n_tried:
             break
-    fine = texts.join(open_.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_fine, "node bigint, fine array<bigint>")
-    held = open_.groupBy("node").agg(F.collect_list("band").alias("mine"))  # at most BANDS
-    open_ = open_.join(shared.stored(fine.join(held, "node"), "fine"), "node")
+    fine = few(texts.join(few(open_.select("node").distinct(), n), "node", "left_semi"), n).select("node", "text").mapInArrow(_fine, "node bigint, fine array<bigint>")
+    held = few(open_.groupBy("node").agg(F.collect_list("band").alias("mine")), n)  # at most BANDS
+    open_ = shared.stored(open_.join(shared.stored(fine.join(held, "node"), "fine"), "node"), "last")
     other = open_.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "size", "common", "fine", "mine")))
     fits = (7 * F.least("common", "other_common") >= 3 * (F.col("size") + F.col("other_size"))) & (estimate(F.col("fine"), F.col("other_fine"), FINE_SAMPLES, FINE_BITS) >= FINE_FLOOR)
     once = F.array_min(F.array_intersect("mine", "other_mine")) == F.col("band")  # in the first bucket that both share
-    across = open_.join(other, "band").where(F.expr("label < other_label") & fits & once).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
-    found = shared.stored(confirm(across, active, texts), "links")
+    across = shared.stored(open_.join(other, "band").where(F.expr("label < other_label") & fits & once).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "across")
+    found = shared.stored(confirm(across, across.count(), active, texts), "links")
     if not found.isEmpty():
         label = shared.stored(components(links.union(found)), "labels")
 
