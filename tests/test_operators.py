@@ -244,3 +244,16 @@ def test_runs(spark):
     assert runs.claims(due, due.where("job_key = 'b'")).count() == 1
     plan = runs.import_plan(spark.createDataFrame([("a", "a"), ("b", "b"), ("c--1", "c")], "id string, original string"), spark.createDataFrame([("a",)], "id string"), "id", "original")
     assert {r.id: r.action for r in plan.collect()} == {"a": "update", "b": "create", "c--1": "update-id"}
+
+
+def test_vendor_boards(spark):
+    from tidewell.sources import boards
+
+    page = lambda *jobs, total=None: '{"success":true,"data":{"jobCount":%d,"jobs":[%s]}}' % (len(jobs) if total is None else total, ",".join(jobs))
+    job = lambda i, title, sub="bank": '{"id":%d,"title":"%s","subdomain":"%s","jobLocation":"Ely, NV"}' % (i, title, sub)
+    pages = spark.createDataFrame([("full", 1, page(job(1, "Teller"), job(2, "Apply Now"), job(3, "Risk  Analyst"))), ("cut", 1, page(job(1, "Teller"), total=4)), ("alien", 1, page(job(1, "Teller"), job(2, "Banker", "other"))), ("empty", 1, page())], "company_id string, page_no int, payload string")
+    jobs, verdict = boards.postings(pages, "ApplicantPro", tenant="bank")
+    assert sorted((r.company_id, r.title, r.location, r.id) for r in jobs.collect()) == [("full", "Risk Analyst", "Ely, NV", "job-applicantpro-full-3"), ("full", "Teller", "Ely, NV", "job-applicantpro-full-1")]
+    assert {r.company_id: (r.complete, r.foreign) for r in verdict.collect()} == {"full": (True, False), "cut": (False, False), "alien": (True, True), "empty": (True, False)}
+    rows = spark.createDataFrame([("Teller", "Pay: $20 to $25 per hour", "", None, None, "unknown", "UNKNOWN"), ("Chief Officer", "", "$90,000 - $95,000 a year", 1.0, 2.0, "x", "IC")], "title string, description string, pay_text string, pay_min double, pay_max double, pay_period string, role_type string")
+    assert [tuple(r)[3:] for r in boards.enrich(rows).collect()] == [(20.0, 25.0, "hourly", "IC"), (90000.0, 95000.0, "annual", "IC")]
