@@ -248,7 +248,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the row whose doc_id is the smallest of its class."""
+    """docs with one document of each class: the one whose doc_id is the smallest. Rows without an id stay, as nothing tells
+    them apart; a row given twice with one id is one document and stays as it is."""
     dropped = classes(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")
 
