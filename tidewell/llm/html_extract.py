@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SALTS = 16
+SALTS, MAX_SENT = 64, shared.MAX_BROADCAST_BYTES // 4
 #: Elements whose content is never article text; elements that hold others; elements that end a block.
 DROPPED = frozenset("script style noscript template iframe svg nav footer aside form button select textarea dialog head menu".split())
 RAW = frozenset("script style noscript template iframe svg textarea".split())
@@ -187,12 +187,19 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """``row`` (all columns of pages but html), ``slot`` and ``text`` for every page; null or empty html gives ''.
 
-    Pages meet their host's slot by host and salt, so a host with a third of all pages is spread over SALTS tasks.
+    Slots of up to MAX_SENT bytes in all go to the pages as a broadcast. More are joined by host and salt, so that a host with a
+    third of all pages is spread over SALTS tasks.
     """
-    slots = templates(pages).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    slots = shared.stored(templates(pages), "slots")
+    held = slots.agg(F.sum(F.length("host") + F.length("slot") + 100)).first()[0] or 0
     kept = [c for c in pages.columns if c != "html"]
-    salted = pages.select(F.struct(*kept).alias("row"), F.col("html").cast("string").alias("html"), host().alias("host"), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias("salt"))
-    met = salted.join(slots, ["host", "salt"], "left").select("row", "html", "slot")
+    source = pages.select(F.struct(*kept).alias("row"), F.col("html").cast("string").alias("html"), host().alias("host"))
+    if held <= MAX_SENT:
+        met = source.join(F.broadcast(slots), "host", "left")
+    else:
+        salted = slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = source.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    met = met.select("row", "html", "slot")
     return met.mapInArrow(_extract, f"row {met.schema['row'].dataType.simpleString()}, slot string, text string")
 
 
