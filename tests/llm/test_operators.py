@@ -363,7 +363,9 @@ def test_repeats_edges(spark, odd):
 # ---- 9: html ----------------------------------------------------------------------------------------------------------------
 
 
-def test_main_text_of_the_pages(spark):
+@pytest.mark.parametrize("sent", [html_extract.MAX_SENT, 0])
+def test_main_text_of_the_pages(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_extract, "MAX_SENT", sent)
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages).select("row.page_id", "text").collect()}
     for r in pages.collect():
