@@ -327,8 +327,9 @@ def match(resume: Column, title: Column | str, text: Column | str, work: Column
 
     60 points by share of keywords, 25 by share of title words, 10 for stated years of experience, 5 for remote else 2; rounded half to even, at most 100.
     """
+    once = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))  # noqa: E731  a lambda would evaluate x anew for each element
     normal = T.match_text(F.concat_ws(" ", T.blank(title), T.blank(text)))
-    return F.get(F.transform(F.array(keywords(normal)), lambda kw: _scored(resume, kw, T.meaningful_words(T.match_text(title)), F.lower(T.blank(work)))), F.lit(0))
+    return once(normal, lambda n: once(keywords(n), lambda kw: once(T.meaningful_words(T.match_text(title)), lambda words: _scored(resume, kw, words, F.lower(T.blank(work))))))
 
 
 def _scored(resume: Column, kw: Column, words: Column, work: Column) -> Column:
