@@ -32,9 +32,9 @@ def in_target_shares(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-ID output: the store is written and read back; one row for each document."""
+    """Token-ID output in the order of the mix, which is that of the files read; the store is written and read back, one row for each document."""
     path = shared.place(spark, "corpus")
-    token_store.write_store(docs, path)
+    token_store.write_store(docs, path, order=("_metadata.file_name", "_metadata.row_index"))
     return token_store.read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "sound")
 
 

@@ -430,3 +430,14 @@ def test_pipeline(spark):
     assert set(got) == kept - bad
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, d, SF).columns == d.columns
+
+
+def test_tokens_follow_the_mix(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    df = docs(spark, *[f"word{k} " * 900 for k in range(120)]).withColumn("source", F.when(F.col("doc_id") < 90, "big").otherwise("small"))
+    pipeline.in_target_shares(spark, df, SF).write.parquet(f"file://{tmp_path}/mix")
+    rows = pipeline.as_tokens(spark, spark.read.parquet(f"file://{tmp_path}/mix"), SF).orderBy("start").collect()
+    want = [r[0] for r in mixing.mix(df).orderBy("slot", "place").select("row.doc_id").collect()]
+    assert [r.doc_id for r in rows] == want != sorted(want)
+    ends = np.cumsum([r.n_tokens for r in rows])
+    assert [r.start for r in rows] == [0, *ends[:-1]]

@@ -4,8 +4,8 @@ Layout below one folder:
 
 * ``parts/kind=chunk``: one row for each distinct chunk: ``key`` (blake2b-128 of the payload), ``payload`` (first byte:
   bytes an id takes, 2 or 4; then little-endian ids).
-* ``recipes``: one row for each document in ascending ``doc_id`` order (range-partitioned, sorted files): ``refs`` holds
-  the 20-byte references (16-byte key, 4-byte id count) of its chunks in order.
+* ``recipes``: one row for each document in the given order, ``doc_id`` unless told otherwise (range-partitioned, sorted
+  files): ``refs`` holds the 20-byte references (16-byte key, 4-byte id count) of its chunks in order.
 * ``manifest``: Merkle nodes; leaves are chunk keys grouped by key prefix, the root hashes the inner nodes.
 
 A rolling hash over the last four ids cuts the stream, so equal passages give equal chunks wherever they stand.
@@ -167,6 +167,7 @@ def address(payload: bytes) -> bytes:
 
 
 PARTS = "kind string, key binary, payload binary, doc_id bigint, rid string, n_tokens bigint, refs binary"
+RECIPES = "doc_id bigint, rid string, n_tokens bigint, refs binary"
 
 
 def _encode(path: str):
@@ -183,8 +184,8 @@ def _encode(path: str):
                 while hi < len(all_ids) and size < 8 << 20:
                     size += len(all_texts[hi])
                     hi += 1
-                rows = []
-                for doc, found in zip(all_ids[lo:hi], enc.encode(all_texts[lo:hi])):
+                rows, at = [], []  # at: the batch row that a recipe stands for
+                for k, (doc, found) in enumerate(zip(all_ids[lo:hi], enc.encode(all_texts[lo:hi])), lo):
                     ids, last, refs = np.concatenate([found, end]), 0, []
                     for cut in cuts(ids):
                         payload = pack(ids[last:cut])
@@ -196,10 +197,14 @@ def _encode(path: str):
                                 seen.clear()
                             seen.add(key)
                             rows.append(("chunk", key, payload, None, None, None, None))
+                            at.append(None)
                     rid = f"{task}-{count}"
                     count += 1
                     rows.append(("recipe", address(rid.encode()), None, doc, rid, len(ids), b"".join(refs)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], ["kind", "key", "payload", "doc_id", "rid", "n_tokens", "refs"])
+                    at.append(k)
+                cols = [pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.binary()))]
+                take, places = pa.array(at, pa.int64()), batch.schema.names[2:]
+                yield pa.RecordBatch.from_arrays([*cols, *(batch.column(c).take(take) for c in places)], ["kind", "key", "payload", "doc_id", "rid", "n_tokens", "refs", *places])
                 lo = hi
         if len(enc.cache) > CACHE_WORDS // 2:
             enc.shrink()
@@ -219,16 +224,20 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep))
 
 
-def write_store(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
+def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, order: tuple[str, ...] = ("doc_id",)) -> None:
     """Encode ``docs`` (doc_id, text) and write the store. Null text is empty: its stream is the end id alone.
 
-    Repeated rows and rows with one doc_id each get a recipe of their own; null doc_ids come first.
+    Documents follow one another by the columns of ``order``, nulls first. Repeated rows and rows with one doc_id each get
+    a recipe of their own.
     """
     spark, n = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_encode(vocabulary or default_vocabulary()), PARTS)
-    rows.repartition(n, "key").mapInArrow(_once, PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
-    recipes = spark.read.schema("doc_id bigint, rid string, n_tokens bigint, refs binary").parquet(f"{path}/parts/kind=recipe")
-    recipes.repartitionByRange(n, "doc_id", "rid").sortWithinPartitions("doc_id", "rid").write.parquet(f"{path}/recipes")
+    places = [f"at{k}" for k in range(len(order))]
+    given = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *(F.col(c).alias(p) for c, p in zip(order, places)))
+    typed = ", ".join(f"{p} {given.schema[p].dataType.simpleString()}" for p in places)
+    rows = given.mapInArrow(_encode(vocabulary or default_vocabulary()), f"{PARTS}, {typed}")
+    rows.repartition(n, "key").mapInArrow(_once, f"{PARTS}, {typed}").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    recipes = spark.read.schema(f"{RECIPES}, {typed}").parquet(f"{path}/parts/kind=recipe")
+    recipes.repartitionByRange(n, *places, "rid").sortWithinPartitions(*places, "rid").drop(*places).write.parquet(f"{path}/recipes")
     merkle(chunks(spark, path)).write.parquet(f"{path}/manifest")
 
 
@@ -317,11 +326,11 @@ def _part_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with ``start``: the ids of all documents before, by totals of the sorted files and a sum within each."""
-    rows = spark.read.schema("doc_id bigint, rid string, n_tokens bigint, refs binary").parquet(f"{path}/recipes").withColumn("file", F.col("_metadata.file_name"))
+    rows = spark.read.schema(RECIPES).parquet(f"{path}/recipes").withColumns({"file": F.col("_metadata.file_name"), "nth": F.col("_metadata.row_index")})
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = files.select("file", F.coalesce(F.sum("total").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("file").orderBy("doc_id", "rid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("inside", inside).join(before, "file").withColumn("start", F.col("before") + F.col("inside")).drop("file", "before", "inside")
+    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("file").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("inside", inside).join(before, "file").withColumn("start", F.col("before") + F.col("inside")).drop("file", "nth", "before", "inside")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
