@@ -257,3 +257,12 @@ def test_vendor_boards(spark):
     assert {r.company_id: (r.complete, r.foreign) for r in verdict.collect()} == {"full": (True, False), "cut": (False, False), "alien": (True, True), "empty": (True, False)}
     rows = spark.createDataFrame([("Teller", "Pay: $20 to $25 per hour", "", None, None, "unknown", "UNKNOWN"), ("Chief Officer", "", "$90,000 - $95,000 a year", 1.0, 2.0, "x", "IC")], "title string, description string, pay_text string, pay_min double, pay_max double, pay_period string, role_type string")
     assert [tuple(r)[3:] for r in boards.enrich(rows).collect()] == [(20.0, 25.0, "hourly", "IC"), (90000.0, 95000.0, "annual", "IC")]
+
+
+def test_pay_query_reads_whole_documents(spark, tmp_path):
+    from tidewell.plans.queries import QUERIES
+
+    texts = ["plain words " * 60 + "Salary range $80,000-$105,000 annually", "Pay: $24.50 to $31.75 per hour", "no pay here", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = rows(QUERIES["pay_extract"](spark, f"file://{tmp_path}").select("doc_id", "low", "high", "period"), "doc_id")
+    assert got == [(0, 80000, 105000, "annual"), (1, 24, 32, "hourly"), (2, None, None, "unknown"), (3, None, None, "unknown")]
