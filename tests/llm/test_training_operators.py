@@ -382,6 +382,16 @@ def test_template_slot_without_article(spark):
     assert {r.text for r in got} == {f"T{k}\ntext & more {k} words of the story" for k in range(6)}
 
 
+def test_heading_and_lead_beside_the_body_stay(spark):
+    page = "<html><body><div class='top'>The Daily Template</div><div class='post'><h1>Title {0}</h1><p>lead {0}</p><div class='entry-content'>{1}</div></div></body></html>"
+    split = "<html><body><main><p>before {0}</p><article>{1}</article></main></body></html>"
+    rows = [(k, "http://blog.example/p", page.format(k, f"<p>{f'long story {k} ' * 90}</p>")) for k in range(6)]
+    rows += [(k, "http://main.example/p", split.format(k, f"<p>{f'long story {k} ' * 90}</p>")) for k in range(6, 12)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).select("row.page_id", "text").collect()}
+    story = {k: f"long story {k} " * 90 for k in range(12)}
+    assert got == {k: (f"Title {k}\nlead {k}\n" if k < 6 else f"before {k}\n") + story[k].strip() for k in range(12)}
+
+
 def test_html_edges(spark):
     rows = [(1, None, None), (2, "no url", ""), (3, "http://a.b/c", "plain text <b"), (4, "http://a.b/c", "<p>" * 2000 + "deep"), (4, "http://a.b/c", "<p>" * 2000 + "deep"), (5, "http://a.b/c", "<script>var a='</p>'</script><!-- x > y --><p title='a>b'>ok&nbsp;&#233;</p>"), (6, "http://a.b/c", "</div></p>x<li>1<li>2")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"text": F.lit("x"), "slot": F.lit("x"), "host": F.lit("x")})

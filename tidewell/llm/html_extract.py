@@ -3,7 +3,8 @@
 Pass 1 lists each page's container tokens: the path of container tags (with class and id) from the root. Tokens of one host
 that have the same occurrence vector over its pages form an equivalence class; vectors are compared by two sums of keyed page
 hashes weighted with the counts, so no vector is ever gathered. A class is valid if its paths nest; nested valid classes
-make the host's template. The template slot with the host's running text is its main slot.
+make the host's template. The main slot is the deepest template slot that holds all of the host's running text, not counting
+text that repeats at its place on nine tenths of the pages: what stands beside it is dropped by markup or is template text.
 
 Pass 2 extracts what stands in that slot, less the parts that are no article by their markup (menus, adverts, forms, comments
 and so on). A page without the slot falls back to its article, its main element, or its body.
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 SALTS, MAX_SENT = 64, shared.MAX_BROADCAST_BYTES // 4
+LISTED = "host string, path string, piece bigint, n bigint, a bigint, b bigint, size bigint"
 #: Elements whose content is never article text; elements that hold others; elements that end a block.
 DROPPED = frozenset("script style noscript template iframe svg nav footer aside form button select textarea dialog head menu".split())
 RAW = frozenset("script style noscript template iframe svg textarea".split())
@@ -100,18 +102,22 @@ def events(page: str) -> Iterator[tuple[str, object, list[Element]]]:
             yield "block", None, stack
 
 
-def tokens(page: str) -> dict[str, list[int]]:
-    """path -> [times opened, characters of running text below it]."""
+def tokens(page: str) -> tuple[dict[str, list[int]], dict[tuple[str, str], int]]:
+    """path -> [times opened, characters of running text below it]; (innermost path, piece of text) -> its characters."""
     out: dict[str, list[int]] = {}
+    pieces: dict[tuple[str, str], int] = {}
     for kind, what, stack in events(page):
         if kind == "open":
             if not what.dropped:
                 out.setdefault(what.path, [0, 0])[0] += 1
         elif kind == "text" and stack and not stack[-1].dropped:
-            size = len(what.strip())
+            piece = what.strip()
+            size = len(piece)
             for path in {e.path for e in stack} if size else ():
                 out.setdefault(path, [0, 0])[1] += size
-    return out
+            if size:
+                pieces[stack[-1].path, piece] = pieces.get((stack[-1].path, piece), 0) + size
+    return out, pieces
 
 
 def main_text(page: str | None, slot: str | None = None) -> str:
@@ -153,28 +159,38 @@ def _list_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, page in zip(hosts, pages):
             # the page's place in the vector: two hashes of its content, wrapped to keep the sums in range
             a, b = (int(np.int64(xxhash.xxh3_64_intdigest(page or "", seed) >> 24)) for seed in (1, 2))
-            out += [(h, path, n, a * n, b * n, size) for path, (n, size) in tokens(page or "").items()]
-        cols = list(zip(*out)) or [[]] * 6
-        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["host", "path", "n", "a", "b", "size"])
+            found, pieces = tokens(page or "")
+            out += [(h, path, None, n, a * n, b * n, size) for path, (n, size) in found.items()]
+            out += [(h, path, int(np.int64(xxhash.xxh3_64_intdigest(piece) >> 1)), 1, 0, 0, size) for (path, piece), size in pieces.items()]
+        cols = list(zip(*out)) or [[]] * 7
+        types = (pa.string(), pa.string(), *[pa.int64()] * 5)
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["host", "path", "piece", "n", "a", "b", "size"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, slot): the main slot of each host's template."""
-    listed = pages.select(host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_list_tokens, "host string, path string, n bigint, a bigint, b bigint, size bigint")
+    listed = pages.select(host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_list_tokens, LISTED)
     total = F.sum(F.col("a").cast("decimal(38,0)")).alias("a"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b")
     # kept: all tokens of a host, a row each; pages are summed up before the shuffle
-    vectors = listed.groupBy("host", "path").agg(F.count("*").alias("support"), F.sum("n").alias("times"), *total, F.sum("size").alias("size"))
+    counted = shared.stored(listed.groupBy("host", "path", "piece").agg(F.count("*").alias("support"), F.sum("n").alias("times"), *total, F.sum("size").alias("size")).where("piece is null or support > 1"), "tokens")
+    vectors = counted.where("piece is null").drop("piece")
     depth = F.size(F.split("path", "/"))
     classes = vectors.groupBy("host", "support", "times", "a", "b").agg(F.max(depth).alias("deepest"), F.count("*").alias("members"), F.min(F.struct(depth, "path")).getField("path").alias("outer"), F.collect_list(F.struct("path", "size")).alias("tokens"))
     # valid: every path of the class lies below its outermost one, once for each time that stands
     valid = classes.where(F.forall("tokens", lambda t: t.getField("path").startswith(F.col("outer"))))
     whole = valid.groupBy("host").agg(F.max("support").alias("pages"))
     inner = valid.join(whole, "host").where("2 * support >= pages AND times = support").select("host", F.explode("tokens").alias("t"), "pages").select("host", "t.path", "t.size")
-    most = inner.groupBy("host").agg(F.max("size").alias("most"))
+    # template text: pieces at one place on nine tenths of the pages; it counts for none of the paths above it
+    repeated = counted.where("piece is not null").join(whole, "host").where("10 * support >= 9 * pages")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    template = repeated.select("host", "size", F.explode(above).alias("path")).groupBy("host", "path").agg(F.sum("size").alias("template"))
+    inner = inner.join(template, ["host", "path"], "left").withColumn("own", F.col("size") - F.coalesce("template", F.lit(0))).drop("template")
+    most = inner.groupBy("host").agg(F.max("size").alias("most"), F.max("own").alias("most_own"))
     slots = inner.join(most, "host").withColumn("tag", F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^[a-z]+", 0)).where(F.col("tag").isin(*SLOTS))
-    named = F.when(F.col("tag").isin("article", "main") & (2 * F.col("size") >= F.col("most")), 2).when(10 * F.col("size") >= 9 * F.col("most"), 1).otherwise(0)
-    return slots.withColumn("rank", named).where("rank > 0").groupBy("host").agg(F.max(F.struct("rank", F.size(F.split("path", "/")), "size", "path")).getField("path").alias("slot"))
+    named = F.when(F.col("tag").isin("article", "main") & (2 * F.col("size") >= F.col("most")), 2).when(F.col("own") >= F.col("most_own"), 1).otherwise(0)
+    held = F.when(F.col("most_own") > 0, F.col("own")).otherwise(F.col("size"))  # pages that are all alike have no text of their own
+    return slots.withColumn("rank", named).withColumn("held", held).where("rank > 0").groupBy("host").agg(F.max(F.struct("rank", "held", F.size(F.split("path", "/")), "path")).getField("path").alias("slot"))
 
 
 @shared.tidy
