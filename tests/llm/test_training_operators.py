@@ -294,6 +294,15 @@ def test_surrogates(spark):
     assert re.fullmatch(r"Mr\. [А-Яа-я]+ [А-Яа-я]+", got[6][0])
 
 
+def test_phone_forms(spark):
+    phones = ["555-123-4567", "1-555-123-4568", "+15551234567", "+49 30 1234567", "+49 151 23456789", "+33 1 23 45 67 89"]
+    stay = ["5551234567", "1234-555-123-4567", "555-123-4567-89", "a +12 b", "2024-01-15", "+12345678901234567"]
+    got = [tuple(r) for r in surrogates.replace_entities(docs(spark, *(f"call {p}, now" for p in phones + stay))).orderBy("row.doc_id").select("text", "n_entities").collect()]
+    for p, (text, n) in zip(phones, got):
+        assert n == 1 and p not in text and re.fullmatch("call " + re.sub(r"\d", r"\\d", re.escape(p)) + ", now", text)
+    assert got[len(phones) :] == [(f"call {p}, now", 0) for p in stay]
+
+
 def test_surrogates_stay_distinct(spark):
     many = [f"{a}.{b}@m.io" for a in "abcdefghijklmnop" for b in "abcdefghijklmnop"]
     rows = surrogates.assign(spark.createDataFrame([("email", m) for m in many], "kind string, norm string")).collect()

@@ -22,11 +22,13 @@ MALE = "Adam Alan Carlos David Erik Felix Hugo Ivan Jan Jonas Karl Leo Lukas Mar
 FEMALE_TITLES, MALE_TITLES = "Mrs Ms Miss Frau Mme Madame Sra".split(), "Mr Herr Monsieur Sr".split()
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: + and 7 to 15 digits in groups of any size or none; NNN-NNN-NNNN that is no part of a longer run.
+_WORLD, _LOCAL = _EDGE + r"\+[1-9](?:[ .-]?[0-9]){6,14}" + _END, _EDGE + r"(?<![0-9]-)(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}(?!-[0-9])" + _END
 #: type, pattern; the first that matches a mention whole names its type.
 TYPES = (
     ("email", r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("ip", _EDGE + r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])" + r"(?![\p{L}\p{N}]|\.[0-9])"),
-    ("phone", r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END + r"|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}" + _END),
+    ("phone", r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END + r"|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}" + _END + f"|{_WORLD}|{_LOCAL}"),
     ("card", _EDGE + r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{4}" + _END),
     ("ssn", _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END),
     ("name", r"(?<![\p{L}\p{N}])(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?" + _END),
