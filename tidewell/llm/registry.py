@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": near_dedup.ORACLE,
+    "op3_secret_scan": secret_scan.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }

@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound, in bytes, of any table this package broadcasts.
@@ -26,18 +26,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; where that is unset, a temporary one in local mode, where there is
+    one machine, and an error on a cluster, whose executors share no temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = "file://" + tempfile.mkdtemp(prefix="tidewell-")
     return shared_dir.own
 
 
+_PLACES: list[str] = []
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _PLACES.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _PLACES[-1]
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _PLACES.remove(path)
+
+
+def clean(spark: SparkSession, keep: int = 0) -> None:
+    """Removes what this session has written to the shared folder (but for the first ``keep`` paths): call it when the results
+    are written, for DataFrames that read from there fail afterwards."""
+    remove(spark, _PLACES[keep:])
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """df written and read again; all that was written since (``mark``) and led to it is removed."""
+    old = _PLACES[since:]
+    out = stored(df, name)
+    remove(df.sparkSession, old)
+    return out
+
+
+def mark() -> int:
+    return len(_PLACES)
+
+
+#: A key with more rows than one in KEYS_SPLIT of all (and than ROWS_A_KEY) is split; so at most KEYS_SPLIT keys are.
+KEYS_SPLIT, ROWS_A_KEY = 100_000, 2000
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: list[str], copies: str, spread: Column, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and, in ``copies``, the number of left's rows with that key.
+
+    A hot key's rows are dealt over several tasks by a hash of ``spread``, and right's row is repeated for each of them. The
+    list of hot keys is broadcast: it has at most KEYS_SPLIT rows, whatever the sizes.
+    """
+    total = right.agg(F.sum(copies)).first()[0] or 0
+    most = max(ROWS_A_KEY, total // KEYS_SPLIT)
+    salts = lambda c: F.ceil(c / F.lit(most))
+    hot = right.where(F.col(copies) > most).select(*key, salts(F.col(copies)).alias("salts"))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("salts")), F.lit(0))).drop("salts")
+    repeated = right.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(salts(F.col(copies)), F.lit(1)).cast("bigint") - 1))).drop(copies)
+    return dealt.join(repeated, [*key, "salt"], how).drop("salt")
 
 
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:

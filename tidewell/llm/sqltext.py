@@ -13,6 +13,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_BLOCK = 64
+
+
+def _short_sums(values: Column) -> Column:
+    """Running sums, copying the array at every step: for short arrays only."""
+    return F.aggregate(values, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+
+
+def running_sums(values: Column, levels: int = 2) -> Column:
+    """Running sums of an array<int> that is not empty: within blocks, and, level by level, over the blocks' totals, so that
+    the work stays linear in the array's length."""
+    if not levels:
+        return _short_sums(values)
+
+    def of_blocks(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        before = F.concat(F.array(F.lit(0)), running_sums(totals, levels - 1))
+        return let(before, lambda ends: F.flatten(F.transform(blocks, lambda b, i: let(F.get(ends, i), lambda at: F.transform(_short_sums(b), lambda x: x + at)))))
+
+    return let(let(values, lambda v: F.transform(F.sequence(F.lit(1), F.size(v), F.lit(_BLOCK)), lambda i: F.slice(v, i, F.lit(_BLOCK)))), of_blocks)
+
+
 def found(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, match>>: code points, end exclusive.
 
@@ -20,15 +42,8 @@ def found(text: Column, pattern: str) -> Column:
     """
 
     def placed(matches: Column) -> Column:
-        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("match")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            a = acc.getField("at") + x.getField("gap")
-            b = a + F.length(x.getField("match"))
-            return F.struct(b.alias("at"), F.concat(acc.getField("out"), F.array(F.struct(a.alias("start"), b.alias("end"), x.getField("match").alias("match")))).alias("out"))
-
-        return F.aggregate(steps, start, step).getField("out")
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m))
+        return F.zip_with(running_sums(steps), matches, lambda b, m: F.struct((b - F.length(m)).alias("start"), b.alias("end"), m.alias("match")))
 
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m)))
