@@ -3,9 +3,17 @@
 A source's documents, in a hashed order, are packed into blocks of ``BLOCK_CHARS`` characters. With integer shares n of
 T = sum(n), block j of a source may run from slot floor(j*T/n) on and must run before slot ceil((j+1)*T/n); earliest
 deadline first then keeps every source within one block of its share at every slot (Pfair). The schedule repeats after T
-slots, so it is a table of at most T entries a phase, whatever the corpus holds. When a source runs out, the next phase
+slots, so a phase is a table of T entries, whatever the corpus holds. When a source runs out, the next phase
 goes on with the other sources' shares; no document is dropped or repeated.
 
+Up to ``FAN`` sources make one schedule. More are dealt into groups, each with a schedule of its own over the slots that the
+groups' schedule gives it, and so on upwards; each level adds less than one block to the deviation. Schedules are computed
+group by group in Spark tasks.
+
+Slots count whole blocks. A document belongs to the slot in which it begins, so where documents are longer than a block, the
+characters emitted so far may also differ by what the last document of a source has beyond its block: the bound on characters is
+one block a level and the longest document.
+
 Places within a source come from bucket totals and a sum inside each bucket, so a source with a third of all rows is
 spread over all tasks.
 """
@@ -22,8 +30,11 @@ from pyspark.sql import functions as F
 from . import shared
 
 BLOCK_CHARS, DENOMINATOR, TEMPERATURE = 16_384, 1000, 0.5
-#: Sources times period: bounds the schedule table.
-MAX_ENTRIES = 4_000_000
+#: Sources in one schedule; beyond that they are dealt into groups of about half as many. Integer shares are taken as they are
+#: up to a period of LONGEST slots.
+FAN, LONGEST = 256, 20_000
+#: Blocks of one source that meet the schedule in one task, where that is too large for a broadcast.
+CHUNK = 4096
 
 
 def period(shares: dict[str, int]) -> dict[str, list[int]]:
@@ -65,9 +76,9 @@ def schedule(blocks: dict[str, int], shares: dict[str, int]) -> list[tuple[str,
     return out
 
 
-def tempered(totals: dict[str, int], temperature: float = TEMPERATURE, denominator: int = DENOMINATOR) -> dict[str, int]:
+def tempered(totals: dict[str, float], temperature: float = TEMPERATURE, denominator: int = DENOMINATOR) -> dict[str, int]:
     """Integer shares proportional to total^temperature, at least 1 each, by largest remainder."""
-    weight = {s: max(1, t) ** temperature for s, t in totals.items()}
+    weight = {s: max(t, 1e-9) ** temperature for s, t in totals.items()}
     exact = {s: w * denominator / sum(weight.values()) for s, w in weight.items()}
     shares = {s: max(1, int(x)) for s, x in exact.items()}
     for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, denominator - sum(shares.values()))]:
@@ -75,36 +86,88 @@ def tempered(totals: dict[str, int], temperature: float = TEMPERATURE, denominat
     return shares
 
 
-def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
-    """``row`` (all columns of docs, or those of ``keep``), ``source``, ``share``, ``block``, ``slot`` and ``place``: rows in order of (slot, place) are the mix.
+SCHEDULE = "node string, share double, up string, first bigint, last bigint, slot0 bigint, period bigint, slots array<int>"
+
+
+def _schedule_group(rows):
+    """The schedule of one group of nodes (node, share, up, blocks, weight)."""
+    import pandas as pd
+
+    weights, blocks = dict(zip(rows["node"], rows["weight"])), {n: int(b) for n, b in zip(rows["node"], rows["blocks"])}
+    beside = {n: (s, u) for n, s, u in zip(rows["node"], rows["share"], rows["up"])}
+    whole = all(float(w).is_integer() and w >= 1 for w in weights.values()) and sum(weights.values()) <= LONGEST
+    shares = {n: int(w) for n, w in weights.items()} if whole else tempered(weights, 1.0, max(DENOMINATOR, 8 * len(weights)))
+    out = [(n, *beside[n], *x) for n, *x in schedule(blocks, shares)]
+    return pd.DataFrame(out, columns=["node", "share", "up", "first", "last", "slot0", "period", "slots"])
+
+
+def schedules(sources: DataFrame, fan: int = FAN) -> list[DataFrame]:
+    """A schedule table for each level, from the sources (node, share, blocks, weight) up to one group that holds all."""
+    levels, nodes, n = [], sources, sources.count()
+    while True:
+        groups = 1 if n <= fan else -(-2 * n // fan)
+        up = F.concat(F.lit(f"{len(levels)}:"), F.pmod(F.xxhash64("node"), F.lit(groups)).cast("string"))
+        nodes = nodes.withColumn("up", up)
+        levels.append(shared.stored(nodes.groupBy("up").applyInPandas(_schedule_group, SCHEDULE), "schedule"))
+        if groups == 1:
+            return levels
+        nodes = shared.stored(nodes.groupBy(F.col("up").alias("node")).agg(F.sum("share").alias("share"), F.sum("blocks").alias("blocks"), F.sum("weight").alias("weight")), "groups")
+        n = groups
+
+
+def _timed(rows: DataFrame, table: DataFrame, node: str, block: str) -> DataFrame:
+    """rows with the slot of their block, and the group that the slots are those of. The table is broadcast while its arrays have at
+    most MAX_BROADCAST_BYTES / 4 bytes; else both sides are joined by node and chunk of blocks, so that a large source is spread."""
+    size = table.agg(F.sum(F.size("slots") * 4 + 100)).first()[0] or 0
+    table = table.withColumnsRenamed({"node": "s_node"})
+    mine = (F.col(block) >= F.col("first")) & (F.col(block) < F.col("last"))
+    if size <= shared.MAX_BROADCAST_BYTES // 4:
+        met = rows.join(F.broadcast(table), (F.col(node) == F.col("s_node")) & mine)
+    else:
+        chunks = table.withColumn("s_chunk", F.explode(F.sequence(F.floor(F.col("first") / CHUNK), F.floor((F.col("last") - 1) / CHUNK))))
+        met = rows.join(chunks, (F.col(node) == F.col("s_node")) & (F.floor(F.col(block) / CHUNK) == F.col("s_chunk")) & mine)
+    step = F.col(block) - F.col("first")
+    slot = F.col("slot0") + F.floor(step / F.size("slots")) * F.col("period") + F.get("slots", (step % F.size("slots")).cast("int"))
+    return met.withColumn("slot", slot)
+
 
-    A null source is the source ''; a null or empty text takes one character; rows given twice are two documents. A source
-    without a share in ``shares`` has share 1.
+def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None, fan: int = FAN) -> DataFrame:
+    """``row`` (all columns of docs, or those of ``keep``), ``source``, ``share`` (target, of 1), ``block``, ``slot`` and ``place``: rows in
+    order of (slot, place) are the mix. ``shares``: integers; without it they follow the characters of a source to the power
+    TEMPERATURE.
+
+    A null source is the source ''; a null or empty text takes one character; rows given twice are two documents; an empty
+    table gives an empty mix. A long text stays whole, in the slot where it begins. A source without a share in ``shares``
+    has share 1. Columns with clashing names stay in ``row``. Any number of sources will do; only counts reach the driver.
     """
     spark, keep = docs.sparkSession, keep or docs.columns
     size = F.greatest(F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lit(1)).cast("bigint")
     rows = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), size.alias("size"), F.xxhash64("doc_id", "text").alias("h"))
     light = rows.drop("row")
-    counted = light.groupBy("source").agg(F.sum("size"), F.count("*"))
-    found = counted.limit(MAX_ENTRIES // DENOMINATOR + 1).collect()  # one row a source
-    if len(found) * DENOMINATOR > MAX_ENTRIES:
-        raise ValueError("too many sources for one schedule: mix groups of sources first")
-    totals = {r[0]: r[1] for r in found}
-    shares = {s: (shares or {}).get(s, 1) for s in totals} if shares else tempered(totals)
-    buckets = min(65_536, max(64, sum(r[2] for r in found) // 50_000))
-    bucket = F.pmod(F.col("h"), F.lit(buckets))
-
+    sources = shared.stored(light.groupBy(F.col("source").alias("node")).agg(F.sum("size").alias("chars"), F.count("*").alias("n")), "sources")
+    if shares:
+        given = spark.createDataFrame(list(shares.items()), "node string, given bigint")
+        weighted = sources.join(given, "node", "left").withColumn("weight", F.coalesce("given", F.lit(1)).cast("double"))
+    else:
+        weighted = sources.withColumn("weight", F.pow(F.col("chars").cast("double"), F.lit(TEMPERATURE)))
+    weighted = shared.stored(weighted.select("node", "weight", "n", F.ceil(F.col("chars") / F.lit(block_chars)).alias("blocks")), "weights")
+    total, n_rows = weighted.agg(F.sum("weight"), F.sum("n")).first()
+    levels = schedules(weighted.withColumn("share", F.col("weight") / F.lit(total or 1.0)), fan)
+
+    bucket = F.pmod(F.col("h"), F.lit(min(65_536, max(64, (n_rows or 0) // 50_000))))
     sums = light.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("held"))
     before = sums.select("source", "bucket", F.coalesce(F.sum("held").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     inside = F.coalesce(F.sum("size").over(W.partitionBy("source", "bucket").orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = rows.withColumn("bucket", bucket).withColumn("inside", inside).join(before, ["source", "bucket"]).withColumn("place", F.col("before") + F.col("inside"))
 
-    blocks = {s: -(-t // block_chars) for s, t in totals.items()}
-    table = spark.createDataFrame([(s, shares[s], *x) for s, *x in schedule(blocks, shares)], "source string, share int, first bigint, last bigint, slot0 bigint, period bigint, slots array<int>")
-    at = placed.withColumn("block", F.floor(F.col("place") / block_chars)).join(F.broadcast(table), "source").where("block >= first and block < last")
-    step = F.col("block") - F.col("first")
-    slot = F.col("slot0") + F.floor(step / F.size("slots")) * F.col("period") + F.get("slots", (step % F.size("slots")).cast("int"))
-    return at.select("row", "source", "share", "block", slot.alias("slot"), "place")
+    at = placed.select("row", "source", "place", F.floor(F.col("place") / block_chars).alias("block"))
+    for k, table in enumerate(levels):
+        if k == 0:
+            at = _timed(at, table, "source", "block").select("row", "source", "share", "block", "place", "slot", "up")
+        else:
+            upper = at.withColumnsRenamed({"slot": "turn", "up": "member"})
+            at = _timed(upper, table.drop("share"), "member", "turn").select("row", "source", "share", "block", "place", "slot", "up")
+    return at.select("row", "source", "share", "block", "slot", "place")
 
 
 def mixed(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
