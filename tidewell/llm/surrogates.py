@@ -3,37 +3,53 @@
 Every detected entity gets a surrogate of its own type and shape: digits for digits in the same layout, letters for letters of
 the same case and script, a given name of the same gender, a card number with a valid check digit, an address with
 valid octets. The surrogate depends on the key, the type and the entity's normal form, so one entity has one surrogate
-in the whole corpus. Surrogates that two entities share, or that equal a real entity, are drawn again until none is left.
+in the whole corpus. Surrogates that two entities share, or that equal a real entity, are drawn again until none is left; a
+shape without free values is widened by a letter or digit after every ``WIDEN`` draws, so drawing always ends.
+
+Names are two entities: the surname, and the given name within its surname. A name that stands behind a title (or begins
+with a common given name) makes its parts known in that text, so that "Mr. John Smith", "Mr. Smith", "John Smith", "Smith" and
+"John" all change, and all to parts of one surrogate.
+
+Texts are scanned once for mentions; only those with one are scanned again, for the parts of names that are now known.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 from .sqltext import let
 
-KEY = "tidewell"
-MAX_DRAWS = 64
-#: Given names by gender, titles by gender.
+#: Names the secret key in the session's configuration; without it, each session draws a key of its own.
+KEY_SETTING = "spark.tidewell.surrogateKey"
+WIDEN = 8
+#: Given names by gender, titles by gender or none.
 FEMALE = "Alice Anna Carla Clara Elena Emma Eva Ines Julia Laura Lea Lena Lucia Maria Marta Nina Nora Paula Rosa Sara".split()
 MALE = "Adam Alan Carlos David Erik Felix Hugo Ivan Jan Jonas Karl Leo Lukas Marco Martin Max Oscar Paul Peter Victor".split()
-FEMALE_TITLES, MALE_TITLES = "Mrs Ms Miss Frau Mme Madame Sra".split(), "Mr Herr Monsieur Sr".split()
+FEMALE_TITLES, MALE_TITLES, TITLES = "Mrs Ms Miss Frau Mme Madame Sra".split(), "Mr Herr Monsieur Sr".split(), "Dr Prof".split()
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_LOCAL_PART = r"[\p{L}\p{N}._%+-]"
+_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + TITLES) + r")\.? (?:(?:" + "|".join(TITLES) + r")\.? )*"
 #: + and 7 to 15 digits in groups of any size or none; NNN-NNN-NNNN that is no part of a longer run.
 _WORLD, _LOCAL = _EDGE + r"\+[1-9](?:[ .-]?[0-9]){6,14}" + _END, _EDGE + r"(?<![0-9]-)(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}(?!-[0-9])" + _END
-#: type, pattern; the first that matches a mention whole names its type.
+#: type, pattern; the first that matches a mention whole names its type. An address begins where its run of characters does
+#: (or where a match ended), so a long run is read once.
 TYPES = (
-    ("email", r"[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", rf"(?:\G|(?<!{_LOCAL_PART})){_LOCAL_PART}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}"),
     ("ip", _EDGE + r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])" + r"(?![\p{L}\p{N}]|\.[0-9])"),
     ("phone", r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END + r"|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}" + _END + f"|{_WORLD}|{_LOCAL}"),
     ("card", _EDGE + r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{4}" + _END),
     ("ssn", _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END),
-    ("name", r"(?<![\p{L}\p{N}])(?:" + "|".join(FEMALE_TITLES + MALE_TITLES) + r")\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?" + _END),
+    ("name", _EDGE + f"(?:{_TITLE}{_WORD}(?: {_WORD}){{0,2}}|(?:" + "|".join(FEMALE + MALE) + f") {_WORD})" + _END),
 )
-MENTION = "|".join(f"(?:{p})" for _, p in TYPES)
+_P = dict(TYPES)
+# what can begin with a digit, a plus or a bracket is tried only there, and names only at capitals
+MENTION = f"{_P['email']}|(?=[0-9+(])(?:" + "|".join(f"(?:{_P[k]})" for k in ("ip", "phone", "card", "ssn")) + rf")|(?=\p{{Lu}}){_P['name']}"
 #: Characters that stand for others of their kind, by script and case. Fixed values.
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SCRIPTS = (
@@ -49,11 +65,62 @@ def kind_of(mention: Column) -> Column:
     return kind
 
 
-def normal_form(kind: Column, mention: Column) -> Column:
-    """What mentions of one entity share: digits alone, or lower case; a name without its title."""
-    bare = F.regexp_replace(mention, r"^\S+ ", "")
-    gender = F.when(F.regexp_replace(F.split(mention, " ")[0], r"\.", "").isin(FEMALE_TITLES), F.lit("f ")).otherwise(F.lit("m "))
-    return F.when(kind == "name", F.concat(gender, bare)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(mention, "[^0-9]", "")).otherwise(F.lower(mention))
+_NAME = "struct<title:string,given:string,last:string,gender:string>"
+
+
+def _name(mention: Column) -> Column:
+    """A name's title, given names, surname (one word behind a title is a surname) and gender: by the title, or by the given name."""
+
+    def parts(bare: Column) -> Column:
+        title = F.substring(mention, F.lit(1), F.length(mention) - F.length(bare))
+        first, given = F.regexp_extract(title, r"^\p{L}+", 0), F.regexp_extract(bare, r"^(.+) \S+$", 1)
+        known = F.split(bare, " ")[0]
+        gender = F.when(first.isin(FEMALE_TITLES) | ~first.isin(MALE_TITLES) & known.isin(FEMALE), "f").when(first.isin(MALE_TITLES) | known.isin(MALE), "m")
+        return F.struct(title.alias("title"), F.nullif(given, F.lit("")).alias("given"), F.regexp_extract(bare, r"\S+$", 0).alias("last"), gender.alias("gender"))
+
+    return let(F.regexp_replace(mention, f"^{_TITLE}", ""), parts)
+
+
+def names_in(mentions: Column) -> Column:
+    """The distinct names among a text's mentions."""
+    said = F.filter(mentions, lambda m: m.rlike(f"^(?:{_P['name']})$"))
+    return F.array_distinct(F.transform(said, lambda m: _name(m).cast(_NAME)))
+
+
+def wider(names: Column) -> Column:
+    """MENTION, and the parts of these names where they stand alone, longest first."""
+    forms = F.flatten(F.transform(names, lambda n: F.array(F.concat_ws(" ", n.getField("given"), n.getField("last")), n.getField("last"), F.coalesce(n.getField("given"), n.getField("last")))))
+    longest = F.array_sort(F.array_distinct(forms), lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(names) == 0, F.lit(MENTION)).otherwise(F.concat(F.lit(f"{MENTION}|{_EDGE}(?:"), F.array_join(longest, "|"), F.lit(f"){_END}")))
+
+
+def parsed(mention: Column, names: Column) -> Column:
+    """What a mention says: kind and normal form; for a name the title, given name and surname that stand there, and the entity
+    of each (``person`` and ``family``). One word is the given name of the text's first person of that name, else a surname."""
+
+    def by_kind(kind: Column) -> Column:
+        plain = F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(mention, "[^0-9]", "")).otherwise(F.lower(mention))
+
+        def named(n: Column) -> Column:
+            alone = F.get(F.filter(names, lambda k: n.getField("given").isNull() & (k.getField("given") == n.getField("last"))), F.lit(0))
+
+            def out(p: Column) -> Column:
+                called = p.isNotNull()
+                given = F.when(called, n.getField("last")).otherwise(n.getField("given"))
+                last = F.when(~called, n.getField("last"))
+                person = F.when(called, F.concat_ws(" ", p.getField("given"), p.getField("last"))).when(given.isNotNull(), F.concat_ws(" ", given, last))
+                name = kind == "name"
+                gender = F.coalesce(n.getField("gender"), p.getField("gender"))
+                return F.struct(
+                    mention.alias("mention"), kind.alias("kind"), F.when(~name, plain).alias("norm"), F.when(name, n.getField("title")).alias("title"), F.when(name, given).alias("given"), F.when(name, last).alias("last"),
+                    F.when(name, F.lower(person)).alias("person"), F.when(name, F.lower(last)).alias("family"), F.when(name, gender).alias("gender"),
+                )
+
+            return let(alone, out)
+
+        return let(_name(mention).cast(_NAME), named)
+
+    return let(kind_of(mention), by_kind)
 
 
 def _draw(secret: Column, i: Column) -> Column:
@@ -80,8 +147,9 @@ def _characters(text: Column, secret: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _digits(n: Column, secret: Column, first: int = 0) -> Column:
-    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, _draw(secret, i) % (10 - first) + first).otherwise(_draw(secret, i) % 10).cast("string")), "")
+def _digits(n: Column, secret: Column, least: Column) -> Column:
+    """n digits, the first at least ``least``."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == 0, _draw(secret, i) % (10 - least) + least).otherwise(_draw(secret, i) % 10).cast("string")), "")
 
 
 def _check_digit(body: Column) -> Column:
@@ -90,73 +158,113 @@ def _check_digit(body: Column) -> Column:
     return ((10 - F.aggregate(digits, F.lit(0), lambda a, x: a + x) % 10) % 10).cast("string")
 
 
-def surrogate(kind: Column, norm: Column, draw: Column, key: str) -> Column:
-    """The surrogate's normal form, of norm's own shape."""
-    secret = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, draw.cast("string")), 256)
-    tld = F.regexp_extract(norm, r"\.[^.]+$", 0)
-    email = F.concat(_characters(F.substring(norm, F.lit(1), F.length(norm) - F.length(tld)), secret), tld)
+def surrogate(kind: Column, norm: Column, gender: Column, draw: int, key: str) -> Column:
+    """The surrogate's normal form, of norm's own shape; one letter or digit longer for every WIDEN draws before."""
+    secret, more = F.sha2(F.concat_ws("|", F.lit(key), kind, norm, F.lit(str(draw))), 256), draw // WIDEN
+    size, tld = F.length(norm), F.regexp_extract(norm, r"\.[^.]+$", 0)
     ip = F.concat_ws(".", *(((_draw(secret, F.lit(i)) % (254 if i in (0, 3) else 256)) + (1 if i in (0, 3) else 0)).cast("string") for i in range(4)))
-    phone = F.when(F.length(norm) > 10, F.concat(F.substring(norm, F.lit(1), F.length(norm) - 10), _digits(F.lit(10), secret, 2))).otherwise(_digits(F.length(norm), secret, 2))
-    card = let(F.concat(F.substring(norm, 1, 1), _digits(F.length(norm) - 2, secret)), lambda body: F.concat(body, _check_digit(body)))
-    given = F.when(norm.startswith("f "), F.get(F.array(*map(F.lit, FEMALE)), _draw(secret, F.lit(0)) % len(FEMALE))).otherwise(F.get(F.array(*map(F.lit, MALE)), _draw(secret, F.lit(0)) % len(MALE)))
-    own = F.regexp_extract(norm, r"^. (\S+)", 1)
-    given = F.when(own.rlike(r"^\p{IsLatin}+$"), given).otherwise(_characters(own, F.sha2(secret, 256)))  # the pools are Latin
-    last = F.regexp_extract(norm, r"^. \S+ (\S+)$", 1)
-    name = F.concat(F.substring(norm, 1, 2), F.when(last == "", _characters(F.substring(norm, 3, 999), secret)).otherwise(F.concat_ws(" ", given, _characters(last, secret))))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ssn", _digits(F.length(norm), secret, 1)).otherwise(name)
+    country = F.when((kind == "phone") & (size > 10), F.substring(norm, F.lit(1), size - 10)).otherwise("")
+    digits = _digits(F.when(kind == "card", size - 2).otherwise(size - F.length(country)) + more, secret, F.when(kind == "phone", 2).when(kind == "card", 0).otherwise(1))
+    card = let(F.concat(F.substring(norm, 1, 1), digits), lambda body: F.concat(body, _check_digit(body)))
+    own = F.when(kind == "given", F.regexp_extract(norm, r"^(.+) \S+$", 1)).when(kind == "email", F.substring(norm, F.lit(1), size - F.length(tld))).otherwise(norm)
+    # more letters: like an address's first, like a name's last
+    wide = F.when(kind == "email", F.concat(F.lit("a" * more), own)).otherwise(F.concat(own, F.repeat(F.substring(own, -1, 1), F.lit(more))))
+    letters = _characters(wide, F.sha2(secret, 256))
+    lower = lambda names: F.array(*(F.lit(n.lower()) for n in names))
+    of = lambda names: F.get(lower(names), _draw(secret, F.lit(0)) % len(names))
+    pool = F.when(gender == "f", of(FEMALE)).when(gender == "m", of(MALE)).otherwise(of(FEMALE + MALE))
+    # the pools are Latin and small: other scripts, and a surname that has used its pool up, get letters
+    given = letters if more else F.when(own.rlike(r"^[\p{IsLatin} -]+$"), pool).otherwise(letters)
+    out = F.when(kind == "ip", ip).when(kind == "card", card).when(kind.isin("phone", "ssn"), F.concat(country, digits))
+    return out.when(kind == "email", F.concat(letters, tld)).when(kind == "given", given).otherwise(letters)
+
+
+def cased(mention: Column, drawn: Column) -> Column:
+    """drawn with the capitals of the mention."""
+    return F.array_join(F.zip_with(F.split(mention, ""), F.split(drawn, ""), lambda m, d: F.when(F.lower(m) != m, F.upper(d)).otherwise(d)), "")
 
 
 def laid_out(kind: Column, mention: Column, drawn: Column) -> Column:
-    """The surrogate in the mention's own layout: its separators, its case, its title."""
+    """The surrogate in the mention's own layout: its separators, its capitals. Digits more than it has stand at the end."""
     gaps = F.split(mention, "[0-9]", -1)
     digits = F.array_join(F.zip_with(gaps, F.split(drawn, ""), lambda g, d: F.concat(F.coalesce(g, F.lit("")), F.coalesce(d, F.lit("")))), "")
-    cased = F.array_join(F.zip_with(F.split(mention, ""), F.split(drawn, ""), lambda m, d: F.when(F.lower(m) != m, F.upper(d)).otherwise(d)), "")
-    title = F.regexp_extract(mention, r"^\S+ ", 0)
-    return F.when(kind == "name", F.concat(title, F.substring(drawn, 3, 999))).when(kind == "email", cased).when(kind == "ip", drawn).otherwise(digits)
+    return F.when(kind == "ip", drawn).when(kind.isin("phone", "card", "ssn"), digits).otherwise(cased(mention, drawn))
 
 
-def assign(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, norm, drawn) for distinct entities (kind, norm): distinct surrogates, none equal to a real entity.
+def assign(entities: DataFrame, key: str = "") -> DataFrame:
+    """(kind, norm, drawn) for distinct entities (kind, norm and, if there, gender and any others): distinct surrogates, none
+    equal to a real entity. A given name's norm ends with the surname, and is held apart from the others of that surname.
 
-    Each round keeps what is free and draws the rest again; surrogates given out stay. Only counts reach the driver.
+    Each round keeps what is free and draws the rest again; surrogates given out stay. Only counts reach the driver. Addresses
+    of four octets are not widened: they end as long as the corpus holds fewer than the four thousand million there are.
     """
-    entities = shared.stored(entities.select("kind", "norm").distinct(), "entities")
-    given = None
-    left = entities
-    for draw in range(MAX_DRAWS):
-        tried = shared.stored(left.select("kind", "norm", surrogate(F.col("kind"), F.col("norm"), F.lit(draw), key).alias("drawn")), "drawn")
-        firsts = tried.groupBy("kind", "drawn").agg(F.min("norm").alias("norm"))
-        free = firsts.join(entities.select("kind", F.col("norm").alias("drawn")), ["kind", "drawn"], "left_anti")
+    scope, own = F.when(F.col("kind") == "given", F.regexp_extract("norm", r"\S+$", 0)).otherwise(""), F.when(F.col("kind") == "given", F.regexp_extract("norm", r"^(.+) \S+$", 1)).otherwise(F.col("norm"))
+    gender = F.min("gender") if "gender" in entities.columns else F.lit(None).cast("string")
+    entities = shared.stored(entities.groupBy("kind", "norm").agg(gender.alias("gender")).withColumns({"scope": scope, "own": own}), "entities")
+    at, given, left, draw = ["kind", "scope", "drawn"], None, entities, 0
+    while given is None or not left.isEmpty():
+        tried = shared.stored(left.select("kind", "scope", "norm", "gender", surrogate(F.col("kind"), F.col("norm"), F.col("gender"), draw, key).alias("drawn")), "drawn")
+        free = tried.groupBy(*at).agg(F.min("norm").alias("norm")).join(entities.select("kind", "scope", F.col("own").alias("drawn")), at, "left_anti")
         if given is not None:
-            free = free.join(given.select("kind", "drawn"), ["kind", "drawn"], "left_anti")
-        free = shared.stored(free.select("kind", "norm", "drawn"), "given")
+            free = free.join(given.select(*at), at, "left_anti")
+        free = shared.stored(free.select("kind", "scope", "norm", "drawn"), "given")
         given = free if given is None else given.union(free)
-        left = tried.select("kind", "norm").join(free.select("kind", "norm"), ["kind", "norm"], "left_anti")
-        if left.isEmpty():
-            return given
-    raise ValueError(f"{MAX_DRAWS} draws leave entities without a surrogate of their own: a type's shape has too few values")
+        left = tried.drop("drawn").join(free.select("kind", "norm"), ["kind", "norm"], "left_anti")
+        draw += 1
+    return given.select("kind", "norm", "drawn")
+
+
+def secret_key(spark: SparkSession) -> str:
+    """The key of KEY_SETTING, else one drawn for this session."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        named = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, named)
+    return named
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``row`` (all columns of docs), ``text`` with surrogates, ``n_entities``. Null stays null, with no entity.
+def replace_entities(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``row`` (all columns of docs but text), ``text`` with surrogates, ``n_entities``.
 
-    Texts without an entity pass in one projection; only the others are joined with the surrogates, by a key of their content.
+    A null text stays null and an empty one empty, with no entity; an empty table gives an empty one. Rows given twice are
+    replaced alike. A text of any length is scanned whole, in time linear in it. Columns with clashing names stay in ``row``. A null
+    doc_id does not matter: rows meet their surrogates by a key of their text, and many copies of one text are dealt
+    over several tasks.
     """
-    source = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    hit = F.coalesce(F.col("text").rlike(MENTION), F.lit(False))
-    clean = source.where(~hit).select("row", "text", F.lit(0).cast("bigint").alias("n_entities"))
-    held = source.where(hit).withColumn("tk", shared.text_key())
-    mentions = held.select("tk", F.posexplode(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0))).alias("i", "mention")).distinct()
-    mentions = mentions.withColumn("kind", kind_of(F.col("mention")))
-    mentions = shared.stored(mentions.withColumn("norm", normal_form(F.col("kind"), F.col("mention"))), "mentions")
-    given = assign(mentions, key)
-    put = mentions.join(given, ["kind", "norm"]).select("tk", "i", laid_out(F.col("kind"), F.col("mention"), F.col("drawn")).alias("put"))
-    lists = put.groupBy("tk").agg(F.sort_array(F.collect_list(F.struct("i", "put"))).alias("puts"))
-    pieces = F.zip_with(F.split("text", MENTION, -1), F.col("puts"), lambda p, x: F.concat(p, F.coalesce(x.getField("put"), F.lit(""))))
-    done = held.join(lists, "tk").select("row", F.array_join(pieces, "").alias("text"), F.size("puts").cast("bigint").alias("n_entities"))
-    return clean.union(done)
+    key = secret_key(docs.sparkSession) if key is None else key
+    kept = [c for c in docs.columns if c != "text"]
+    row = F.struct(*kept) if kept else F.struct(F.lit(None).cast("string").alias("none"))
+    none = F.array().cast("array<string>")
+    seen = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
+    seen = shared.stored(seen.withColumn("said", F.coalesce(F.regexp_extract_all("text", F.lit(MENTION), F.lit(0)), none)), "seen")
+    clean = seen.where("size(said) = 0").select("row", "text", F.lit(0).cast("bigint").alias("n_entities"))
+    held = seen.where("size(said) > 0").select("row", "text", names_in(F.col("said")).alias("names")).withColumn("pattern", wider(F.col("names")))
+    mentions = F.transform(F.regexp_extract_all("text", F.col("pattern"), F.lit(0)), lambda m: parsed(m, F.col("names")))
+    held = shared.stored(held.select("row", shared.text_key().alias("tk"), F.split("text", F.col("pattern"), -1).alias("pieces"), mentions.alias("mentions")), "held")
+
+    texts = held.groupBy("tk").agg(F.first("mentions").alias("mentions"), F.count("*").alias("copies"))
+    one = lambda kind, norm, gender: F.struct(kind.alias("kind"), norm.alias("norm"), gender.alias("gender"))
+    field = lambda m, *names: [m.getField(n) for n in names]
+    listed = F.flatten(F.transform("mentions", lambda m: F.array(one(*field(m, "kind", "norm", "gender")), one(F.lit("given"), *field(m, "person", "gender")), one(F.lit("surname"), *field(m, "family", "gender")))))
+    said = texts.select("tk", "copies", F.explode(F.array_distinct(F.filter(listed, lambda e: e.getField("norm").isNotNull()))).alias("e")).select("tk", "copies", "e.*")
+    said = shared.stored(said, "said")
+    given = assign(said, key)
+    held_by = given.join(said.groupBy("kind", "norm").agg(F.count("*").alias("n")), ["kind", "norm"])
+    put = shared.join_spread(said.groupBy("tk", "kind", "norm").agg(F.first("copies").alias("copies")), held_by, ["kind", "norm"], "n", F.col("tk"))
+    lists = shared.stored(put.groupBy("tk").agg(F.first("copies").alias("copies"), F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "norm"), "drawn"))).alias("drawn")), "lists")
+
+    def shown(m: Column) -> Column:
+        drawn = lambda kind, norm: F.col("drawn")[F.concat_ws("|", kind, norm)]
+        part = lambda text, kind, norm: F.when(text.isNotNull(), cased(text, drawn(F.lit(kind), norm)))
+        name = F.concat(m.getField("title"), F.concat_ws(" ", part(m.getField("given"), "given", m.getField("person")), part(m.getField("last"), "surname", m.getField("family"))))
+        return F.when(m.getField("kind") == "name", name).otherwise(laid_out(m.getField("kind"), m.getField("mention"), drawn(m.getField("kind"), m.getField("norm"))))
+
+    pieces = F.zip_with("pieces", F.transform("mentions", shown), lambda p, x: F.concat(p, F.coalesce(x, F.lit(""))))
+    done = shared.join_spread(held, lists, ["tk"], "copies", F.monotonically_increasing_id())
+    return clean.union(done.select("row", F.array_join(pieces, "").alias("text"), F.size("mentions").cast("bigint").alias("n_entities")))
 
 
 def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = replace_entities(shared.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents; the key is fixed here so that the query gives the same rows in every session."""
+    found = replace_entities(shared.table(spark, sf_dir, "documents").select("doc_id", "text"), key="op6 on invented documents")
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_entities", "text")
