@@ -1,13 +1,16 @@
 """Main text of web pages by equivalence classes of template tokens.
 
-Pass 1 lists each page's container tokens: the path of container tags (with class and id) from the root. Tokens of one host
-that have the same occurrence vector over its pages form an equivalence class; vectors are compared by two sums of keyed page
-hashes weighted with the counts, so no vector is ever gathered. A class is valid if its paths nest; nested valid classes
-make the host's template. The main slot is the deepest template slot that holds all of the host's running text, not counting
-text that repeats at its place on nine tenths of the pages: what stands beside it is dropped by markup or is template text.
-
-Pass 2 extracts what stands in that slot, less the parts that are no article by their markup (menus, adverts, forms, comments
-and so on). A page without the slot falls back to its article, its main element, or its body.
+Pass 1 lists each page's tokens: container tokens (the path of container tags, with class and id, from the root) and text tokens
+(a block of text at its innermost path). Tokens of one host that have the same occurrence vector over its pages form an
+equivalence class; vectors are compared by two sums of keyed page hashes weighted with the counts, so no vector is ever
+gathered. A class is valid if its paths nest; nested valid classes make the host's template, and so do the text tokens
+that stand at their place on nine tenths of the pages. The main slot is the deepest template slot that holds all of the
+host's running text, not counting template text: what stands beside it is dropped by markup or is template text.
+
+Pass 2 extracts what remains in that slot: less the blocks that are template text, less the parts that are no article by their
+markup (menus, adverts, forms, comments and so on). A page without the slot falls back to its article, its main element, or its
+body. Template text inside the slot counts only on hosts of LEAST_PAGES pages or more, and only where it is less than half of
+the slot's text: pages that are copies of one another show no template.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SALTS, MAX_SENT = 64, shared.MAX_BROADCAST_BYTES // 4
+SALTS, MAX_SENT, LEAST_PAGES = 64, shared.MAX_BROADCAST_BYTES // 4, 4
 LISTED = "host string, path string, piece bigint, n bigint, a bigint, b bigint, size bigint"
 #: Elements whose content is never article text; elements that hold others; elements that end a block.
 DROPPED = frozenset("script style noscript template iframe svg nav footer aside form button select textarea dialog head menu".split())
@@ -102,47 +105,68 @@ def events(page: str) -> Iterator[tuple[str, object, list[Element]]]:
             yield "block", None, stack
 
 
-def tokens(page: str) -> tuple[dict[str, list[int]], dict[tuple[str, str], int]]:
-    """path -> [times opened, characters of running text below it]; (innermost path, piece of text) -> its characters."""
-    out: dict[str, list[int]] = {}
-    pieces: dict[tuple[str, str], int] = {}
+def blocks(page: str) -> Iterator[tuple[str, list[Element], bool]]:
+    """(block of text as it stands, elements above it, None) in page order, less dropped parts; and the elements as they open
+    ("", stack, True)."""
+    pieces: list[str] = []
+    above: list[Element] = []
     for kind, what, stack in events(page):
+        if kind == "text":
+            if not (stack and stack[-1].dropped):
+                if not pieces:
+                    above = list(stack)
+                pieces.append(what)
+            continue
+        if pieces:
+            yield "".join(pieces), above, False
+            pieces = []
         if kind == "open":
-            if not what.dropped:
-                out.setdefault(what.path, [0, 0])[0] += 1
-        elif kind == "text" and stack and not stack[-1].dropped:
-            piece = what.strip()
-            size = len(piece)
+            yield "", stack, True
+    if pieces:
+        yield "".join(pieces), above, False
+
+
+def key_of(block: str) -> int:
+    """What text tokens are compared by: 63 bits of a hash of the block, its white space evened out."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(" ".join(block.split())) >> 1
+
+
+def tokens(page: str) -> tuple[dict[str, list[int]], dict[tuple[str, int], int]]:
+    """path -> [times opened, characters of running text below it]; (innermost path, key of a block of text) -> its characters."""
+    out: dict[str, list[int]] = {}
+    texts: dict[tuple[str, int], int] = {}
+    for block, stack, opened in blocks(page):
+        if opened:
+            if not stack[-1].dropped:
+                out.setdefault(stack[-1].path, [0, 0])[0] += 1
+        elif stack:
+            size = len(block.strip())
             for path in {e.path for e in stack} if size else ():
                 out.setdefault(path, [0, 0])[1] += size
             if size:
-                pieces[stack[-1].path, piece] = pieces.get((stack[-1].path, piece), 0) + size
-    return out, pieces
+                k = stack[-1].path, key_of(block)
+                texts[k] = texts.get(k, 0) + size
+    return out, texts
 
 
-def main_text(page: str | None, slot: str | None = None) -> str:
-    """Blocks of the slot (or the fallback) joined by newlines; white space inside a block is one space."""
+def main_text(page: str | None, slot: str | None = None, template: frozenset[int] = frozenset()) -> str:
+    """Blocks of the slot, but for those whose key is in ``template``, or of the fallback, joined by newlines; white space inside a
+    block is one space."""
     if not page:
         return ""
-    inside = {"slot": [], "article": [], "main": [], "body": []}  # blocks as lists of raw pieces
-    open_block: dict[str, list[str]] = {k: [] for k in inside}
-
-    def close() -> None:
-        for k, pieces in open_block.items():
-            if pieces:
-                block = " ".join(entities.unescape("".join(pieces)).split())
-                if block:
-                    inside[k].append(block)
-                pieces.clear()
-
-    for kind, what, stack in events(page):
-        if kind == "block":
-            close()
-        elif kind == "text" and not (stack and stack[-1].dropped):
-            for k in open_block:
-                if k == "body" or any(e.path == slot if k == "slot" else e.tag == k for e in stack):
-                    open_block[k].append(what)
-    close()
+    inside: dict[str, list[str]] = {"slot": [], "article": [], "main": [], "body": []}
+    for block, stack, opened in blocks(page):
+        if opened:
+            continue
+        text = " ".join(entities.unescape(block).split())
+        if not text:
+            continue
+        for k, held in inside.items():
+            if k == "body" or any(e.path == slot if k == "slot" else e.tag == k for e in stack):
+                if k != "slot" or not template or key_of(block) not in template:
+                    held.append(text)
     return "\n".join(next((inside[k] for k in ("slot", "article", "main", "body") if inside[k]), []))
 
 
@@ -159,16 +183,16 @@ def _list_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, page in zip(hosts, pages):
             # the page's place in the vector: two hashes of its content, wrapped to keep the sums in range
             a, b = (int(np.int64(xxhash.xxh3_64_intdigest(page or "", seed) >> 24)) for seed in (1, 2))
-            found, pieces = tokens(page or "")
+            found, texts = tokens(page or "")
             out += [(h, path, None, n, a * n, b * n, size) for path, (n, size) in found.items()]
-            out += [(h, path, int(np.int64(xxhash.xxh3_64_intdigest(piece) >> 1)), 1, 0, 0, size) for (path, piece), size in pieces.items()]
+            out += [(h, path, key, 1, 0, 0, size) for (path, key), size in texts.items()]
         cols = list(zip(*out)) or [[]] * 7
         types = (pa.string(), pa.string(), *[pa.int64()] * 5)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["host", "path", "piece", "n", "a", "b", "size"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, slot): the main slot of each host's template."""
+    """(host, slot, template): the main slot of each host's template, and the keys of the template text inside it."""
     listed = pages.select(host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_list_tokens, LISTED)
     total = F.sum(F.col("a").cast("decimal(38,0)")).alias("a"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b")
     # kept: all tokens of a host, a row each; pages are summed up before the shuffle
@@ -179,7 +203,7 @@ def templates(pages: DataFrame) -> DataFrame:
     # valid: every path of the class lies below its outermost one, once for each time that stands
     valid = classes.where(F.forall("tokens", lambda t: t.getField("path").startswith(F.col("outer"))))
     whole = valid.groupBy("host").agg(F.max("support").alias("pages"))
-    inner = valid.join(whole, "host").where("2 * support >= pages AND times = support").select("host", F.explode("tokens").alias("t"), "pages").select("host", "t.path", "t.size")
+    inner = valid.join(whole, "host").where("2 * support >= pages AND times = support").select("host", F.explode("tokens").alias("t"), "pages").select("host", "pages", "t.path", "t.size")
     # template text: pieces at one place on nine tenths of the pages; it counts for none of the paths above it
     repeated = counted.where("piece is not null").join(whole, "host").where("10 * support >= 9 * pages")
     parts = F.split("path", "/")
@@ -190,24 +214,34 @@ def templates(pages: DataFrame) -> DataFrame:
     slots = inner.join(most, "host").withColumn("tag", F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^[a-z]+", 0)).where(F.col("tag").isin(*SLOTS))
     named = F.when(F.col("tag").isin("article", "main") & (2 * F.col("size") >= F.col("most")), 2).when(F.col("own") >= F.col("most_own"), 1).otherwise(0)
     held = F.when(F.col("most_own") > 0, F.col("own")).otherwise(F.col("size"))  # pages that are all alike have no text of their own
-    return slots.withColumn("rank", named).withColumn("held", held).where("rank > 0").groupBy("host").agg(F.max(F.struct("rank", "held", F.size(F.split("path", "/")), "path")).getField("path").alias("slot"))
+    best = F.max(F.struct("rank", "held", F.size(F.split("path", "/")), "path", "size")).alias("best")
+    main = slots.withColumn("rank", named).withColumn("held", held).where("rank > 0").groupBy("host").agg(best, F.first("pages").alias("pages")).select("host", "pages", "best.path", "best.size")
+    main = main.withColumnsRenamed({"path": "slot", "size": "slot_size"})
+    below = (F.col("path") == F.col("slot")) | F.col("path").startswith(F.concat("slot", F.lit("/")))
+    texts = repeated.drop("pages").join(main, "host").where(below).groupBy("host").agg(F.collect_set("piece").alias("keys"), F.sum("size").alias("held"))
+    few = (F.col("pages") >= LEAST_PAGES) & (2 * F.col("held") < F.col("slot_size"))
+    return main.join(texts, "host", "left").select("host", "slot", F.when(few, F.col("keys")).otherwise(F.array().cast("array<bigint>")).alias("template"))
 
 
 @shared.tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(page, slot) for page, slot in zip(batch.column("html").to_pylist(), batch.column("slot").to_pylist())]
+        rows = zip(batch.column("html").to_pylist(), batch.column("slot").to_pylist(), batch.column("template").to_pylist())
+        texts = [main_text(page, slot, frozenset(template or ())) for page, slot, template in rows]
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("slot"), pa.array(texts, pa.string())], ["row", "slot", "text"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """``row`` (all columns of pages but html), ``slot`` and ``text`` for every page; null or empty html gives ''.
 
+    A null or odd url is the host ''. Rows given twice are extracted alike, and an empty table gives an empty one. Pages of any length
+    are read whole. Columns with clashing names stay in ``row``.
+
     Slots of up to MAX_SENT bytes in all go to the pages as a broadcast. More are joined by host and salt, so that a host with a
     third of all pages is spread over SALTS tasks.
     """
     slots = shared.stored(templates(pages), "slots")
-    held = slots.agg(F.sum(F.length("host") + F.length("slot") + 100)).first()[0] or 0
+    held = slots.agg(F.sum(F.length("host") + F.length("slot") + 8 * F.size("template") + 100)).first()[0] or 0
     kept = [c for c in pages.columns if c != "html"]
     source = pages.select(F.struct(*kept).alias("row"), F.col("html").cast("string").alias("html"), host().alias("host"))
     if held <= MAX_SENT:
@@ -215,7 +249,7 @@ def extract(pages: DataFrame) -> DataFrame:
     else:
         salted = slots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = source.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    met = met.select("row", "html", "slot")
+    met = met.select("row", "html", "slot", "template")
     return met.mapInArrow(_extract, f"row {met.schema['row'].dataType.simpleString()}, slot string, text string")
 
 
