@@ -41,7 +41,7 @@ _WORLD, _LOCAL = _EDGE + r"\+[1-9](?:[ .-]?[0-9]){6,14}" + _END, _EDGE + r"(?<![
 #: (or where a match ended), so a long run is read once.
 TYPES = (
     ("email", rf"(?:\G|(?<!{_LOCAL_PART})){_LOCAL_PART}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}}"),
-    ("ip", _EDGE + r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])" + r"(?![\p{L}\p{N}]|\.[0-9])"),
+    ("ip", _EDGE + r"(?<![0-9]\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])" + r"(?![\p{L}\p{N}]|\.[0-9])"),
     ("phone", r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}" + _END + r"|(?<![\p{L}\p{N}])\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,5}" + _END + f"|{_WORLD}|{_LOCAL}"),
     ("card", _EDGE + r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{4}" + _END),
     ("ssn", _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END),
