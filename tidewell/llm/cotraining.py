@@ -32,8 +32,8 @@ from .quality_rules import STOP_WORDS
 class Settings:
     """max_labelled: labelled documents fitted on. max_words, screen_z: words of the content view at most, and how many standard
     errors their frequency must differ between the classes. rounds, steps: co-training rounds and passes over the unlabelled in
-    each. rank: the share of a class, by rank, that a view labels; precise: the held-out precision it must have there, as a share
-    of the way from the class's frequency to 1. teachers: the views that hand labels on."""
+    each. ranks: shares of a class, by rank, that a view may label, the largest first; precise: the held-out precision it must have
+    there, as a share of the way from the class's frequency to 1. teachers: the views that hand labels on."""
 
     max_labelled: int = 12_000
     max_words: int = 150
@@ -41,7 +41,7 @@ class Settings:
     least: int = 15
     rounds: int = 2
     steps: int = 2
-    rank: float = 0.4
+    ranks: tuple[float, ...] = (0.4, 0.2, 0.1, 0.05)
     precise: float = 0.9
     teachers: tuple[int, ...] = (0, 1)
 
@@ -198,7 +198,7 @@ class Learner:
 
     def settle(self, views: list[np.ndarray]) -> None:
         """Takes new weights: held-out scores by folds, the calibration on them, and the ranks that each view is sure of."""
-        head, y, s = self.head, self.y, self.settings
+        head, y = self.head, self.y
         fold, self.held = np.arange(len(y)) % FOLDS, []
         for x, w, pull in zip(self.x, views, self.pulls):
             z = np.zeros(len(y))
@@ -208,16 +208,19 @@ class Learner:
         head.views = views
         head.scales = [fit(z[:, None].astype(np.float32), y, ridge=1e-3) for z in self.held]
         self.held = [calibrated(z, c) for z, c in zip(self.held, head.scales)]
-        head.joint = fit(np.stack(self.held, axis=1).astype(np.float32), y, ridge=0.1)
-        head.sure = []
-        for z in self.held:
-            order, cuts = np.argsort(z, kind="stable"), []
-            for label, ranked in ((0, order), (1, order[::-1])):
-                share = (y == label).mean()
-                top = ranked[: max(1, int(s.rank * share * len(y)))]
-                precise = (y[top] == label).mean() >= share + s.precise * (1 - share)
-                cuts.append(float(z[top[-1]]) if precise else None)
-            head.sure.append((cuts[0], cuts[1]))
+        # independent views add up their evidence; what is fitted stays near that, for a view that says little can take any weight
+        centre = np.asarray([1.0, 1.0, -np.log(head.prior / (1 - head.prior))])
+        head.joint = fit(np.stack(self.held, axis=1).astype(np.float32), y, ridge=0.0, start=centre, pull=(np.zeros(3), 10 * np.eye(3), centre))
+        head.sure = [tuple(self._cut(z, label) for label in (0, 1)) for z in self.held]
+
+    def _cut(self, z: np.ndarray, label: int) -> float | None:
+        """The score from which on a view labels: of its best ranks of a class the largest share that is precise enough."""
+        order, share = np.argsort(z, kind="stable"), (self.y == label).mean()
+        for rank in self.settings.ranks:
+            top = (order[::-1] if label else order)[: int(rank * share * len(z))]
+            if len(top) >= 5 and (self.y[top] == label).mean() >= share + self.settings.precise * (1 - share):
+                return float(z[top[-1]])
+        return None
 
     def learn(self, found: dict[int, dict[int, tuple[int, np.ndarray, np.ndarray]]]) -> None:
         """One step: found[view][label] are the number, gradient and curvature of what the other view has labelled so. Together they weigh
