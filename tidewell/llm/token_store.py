@@ -214,14 +214,13 @@ def _encode(path: str):
 
 @shared.tidy
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """After the shuffle on the key: the first row of each key."""
-    seen: set[bytes] = set()
+    """Of rows in order of the key, the first of each key."""
+    last = None
     for batch in batches:
-        keep = []
-        for key in batch.column(1).to_pylist():
-            keep.append(key not in seen)
-            seen.add(key)
-        yield batch.filter(pa.array(keep))
+        keys = batch.column(1).to_pylist()
+        keep = [a != b for a, b in zip(keys, [last, *keys])]
+        last = keys[-1] if keys else last
+        yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, order: tuple[str, ...] = ("doc_id",)) -> None:
@@ -235,7 +234,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, order
     given = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *(F.col(c).alias(p) for c, p in zip(order, places)))
     typed = ", ".join(f"{p} {given.schema[p].dataType.simpleString()}" for p in places)
     rows = given.mapInArrow(_encode(vocabulary or default_vocabulary()), f"{PARTS}, {typed}")
-    rows.repartition(n, "key").mapInArrow(_once, f"{PARTS}, {typed}").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_once, f"{PARTS}, {typed}").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
     recipes = spark.read.schema(f"{RECIPES}, {typed}").parquet(f"{path}/parts/kind=recipe")
     recipes.repartitionByRange(n, *places, "rid").sortWithinPartitions(*places, "rid").drop(*places).write.parquet(f"{path}/recipes")
     merkle(chunks(spark, path)).write.parquet(f"{path}/manifest")
@@ -324,13 +323,22 @@ def _part_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "rid", "n_tokens", "start", "sound")), pa.array(crc.astype(np.int64))], ["doc_id", "rid", "n_tokens", "start", "sound", "part"])
 
 
+#: Recipes of one file that are summed up together.
+RUN = 50_000
+
+
 def recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with ``start``: the ids of all documents before, by totals of the sorted files and a sum within each."""
-    rows = spark.read.schema(RECIPES).parquet(f"{path}/recipes").withColumns({"file": F.col("_metadata.file_name"), "nth": F.col("_metadata.row_index")})
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = files.select("file", F.coalesce(F.sum("total").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.coalesce(F.sum("n_tokens").over(W.partitionBy("file").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("inside", inside).join(before, "file").withColumn("start", F.col("before") + F.col("inside")).drop("file", "nth", "before", "inside")
+    """Recipes with ``start``: the ids of all documents before, by totals of the sorted files, of runs of RUN rows in each, and a sum
+    within a run."""
+    rows = spark.read.schema(RECIPES).parquet(f"{path}/recipes").withColumns({"file": F.col("_metadata.file_name"), "nth": F.col("_metadata.row_index")}).withColumn("run", F.floor(F.col("nth") / RUN))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    runs = rows.groupBy("file", "run").agg(F.sum("n_tokens").alias("total"))
+    files = runs.groupBy("file").agg(F.sum("total").alias("held"))
+    files = files.select("file", earlier("held", W.orderBy("file")).alias("before_file"))  # a row a file
+    before = runs.select("file", "run", earlier("total", W.partitionBy("file").orderBy("run")).alias("before_run")).join(files, "file")
+    inside = earlier("n_tokens", W.partitionBy("file", "run").orderBy("nth"))
+    found = rows.withColumn("inside", inside).join(before, ["file", "run"])
+    return found.withColumn("start", F.col("before_file") + F.col("before_run") + F.col("inside")).drop("file", "run", "nth", "before_file", "before_run", "inside")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
