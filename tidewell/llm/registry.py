@@ -21,5 +21,6 @@ ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": near_dedup.ORACLE,
     "op3_secret_scan": secret_scan.ORACLE,
     "op4_decontamination": decontamination.ORACLE,
+    "op8_suffix_repeats": repeats.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }

@@ -166,14 +166,14 @@ def _cut(length: int):
                 spans.append(merged)
                 shas.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column("dk"), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["dk", "spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("copies"), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["dk", "copies", "spans", "kept_sha256", "kept"])
 
     return shared.tidy(run)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(dk, spans, kept_sha256, kept) of every distinct text that has a repeated string of ``length`` bytes: the removed byte
-    ranges, and the bytes that stay with their SHA-256. dk is xxhash64 of the text (null: '').
+    """(dk, copies, spans, kept_sha256, kept) of every distinct text that has a repeated string of ``length`` bytes: how many rows have it,
+    the removed byte ranges, and the bytes that stay with their SHA-256. dk is xxhash64 of the text (null: '').
 
     A row given twice repeats itself, so both lose every window; texts shorter than ``length`` lose nothing.
     """
@@ -184,7 +184,7 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = [shared.stored(done, "repeated-0")]
     rest = shared.stored(rest, "open-0")
     hold = settled[0].select("dk").union(rest.select("dk")).distinct()
-    texts = shared.stored(long.join(hold, "dk", "left_semi").groupBy("dk").agg(F.first("text").alias("text")), "texts")
+    texts = shared.stored(long.join(hold, "dk", "left_semi").groupBy("dk").agg(F.first("text").alias("text"), F.count("*").alias("copies")), "texts")
     listed = lambda rows: texts.join(rows.groupBy("dk").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("rows")), "dk")
     for k, width in enumerate(WIDTHS[1:], 1):
         done, rest = _settle(listed(rest).mapInArrow(_next_round(width, length, gram), ROWS), f"anchors-{k}")
@@ -193,14 +193,29 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     every = settled[0]
     for more in settled[1:]:
         every = every.union(more)
-    return listed(every).mapInArrow(_cut(length), "dk bigint, spans array<array<bigint>>, kept_sha256 string, kept binary")
+    return listed(every).mapInArrow(_cut(length), "dk bigint, copies bigint, spans array<array<bigint>>, kept_sha256 string, kept binary")
 
 
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.table(spark, sf_dir, "documents")
+    docs, since = shared.table(spark, sf_dir, "documents"), shared.mark()
     text = F.coalesce("text", F.lit(""))
     light = docs.select("doc_id", F.xxhash64(text).alias("dk"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
-    found = repeats(docs).select("dk", "spans", "kept_sha256")
-    return light.join(found, "dk", "left").select(
-        "doc_id", "n_bytes", F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s[1] - s[0]), F.lit(0)).alias("n_removed"), F.coalesce(F.size("spans"), F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"),
-    )
+    n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s[1] - s[0])
+    found = repeats(docs).select("dk", "copies", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+    found = shared.settled(found, "found", since)
+    # texts without a repeat stay as they are; short ones cannot have one and get keys of their own, so that copies do not meet
+    keyed = light.withColumn("dk", F.when(F.col("n_bytes") >= LENGTH, F.col("dk")))
+    rows = shared.join_spread(keyed.withColumn("dk", F.coalesce("dk", -F.monotonically_increasing_id() - 1)), found, ["dk"], "copies", F.monotonically_increasing_id(), "left")
+    return rows.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - {LENGTH - 1}))) AS i FROM d)),
+r AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH}, true) AS new FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT *, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM r) GROUP BY doc_id, k),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM s),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(x, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL AND tail IS NULL THEN x ELSE coalesce(kept, '') || substr(x, 2 * tail + 1) END)) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
