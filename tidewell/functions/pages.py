@@ -4,6 +4,7 @@ surroundings; every rule over them is a Column expression.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
@@ -17,35 +18,71 @@ from . import text as T
 HIDDEN = frozenset(("script", "style", "noscript", "template"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 DEPTH = 12
+#: Elements whose text is what stands around a link, and the headings above a list of openings. Fixed values.
+CARDS = frozenset(("li", "tr", "article", "section", "div", "td", "p", "dd"))
+HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
+OPENINGS = re.compile(r"^(?:available|current|open)\s+(?:job\s+)?(?:positions|openings|opportunities)$|^employment\s+opportunities$", re.I)
 
 
 class Flat(HTMLParser):
-    """Links, visible text, title, first headings and description of one page."""
+    """Links, visible text, title, first headings and description of one page.
+
+    A link's ``near`` is the text of the innermost card-like element around it, its ``section`` the heading of the list of openings
+    that it stands below (up to the next heading of that rank or above)."""
 
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
         self.base, self.stack, self.text, self.links, self.open = base, [], [], [], []
         self.title, self.h1, self.description, self.json_ld = [], [], "", []
+        self.cards, self.heading, self.section = [], None, None  # cards: (place in text, links); heading: its words; section: (rank, words)
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag == "meta" and a.get("name", "").lower() == "description":
             self.description = a.get("content", "")
         if tag == "a" and "href" in a or tag == "iframe" and a.get("src"):
-            link = {"tag": tag, "href": a.get("href") or a.get("src"), "text": [], "around": [f"{t}|{c}|{r}" for t, c, r in reversed(self.stack[-DEPTH:])]}
+            link = {"tag": tag, "href": a.get("href") or a.get("src"), "text": [], "near": "", "section": self.section[1] if self.section else "", "around": [f"{t}|{c}|{r}" for t, c, r in reversed(self.stack[-DEPTH:])]}
             self.links.append(link)
+            if self.cards:
+                self.cards[-1][1].append(link)
             if tag == "a":
                 self.open.append(link)
+        if tag in HEADINGS:
+            self.heading = []
+            if self.section and HEADINGS[tag] <= self.section[0]:
+                self.section = None
+        if tag in CARDS:
+            self.cards.append((len(self.text), []))
         if tag not in VOID:
             self.stack.append((tag, f"{a.get('class', '')} {a.get('id', '')}".strip(), a.get("type" if tag == "script" else "role", "")))
 
     def handle_endtag(self, tag):
+        if tag in HEADINGS and self.heading is not None:
+            words, self.heading = " ".join("".join(self.heading).split()), None
+            if OPENINGS.match(words):
+                self.section = (HEADINGS[tag], words)
         if any(t == tag for t, _, _ in self.stack):
-            while self.stack.pop()[0] != tag:
-                pass
+            while True:
+                ended = self.stack.pop()[0]
+                if ended in CARDS and self.cards:
+                    self.end_card()
+                if ended == tag:
+                    break
         if tag == "a" and self.open:
             self.open.pop()
 
+    def end_card(self):
+        at, links = self.cards.pop()
+        if links:
+            near = " ".join(" ".join(self.text[at:]).split())
+            for link in links:
+                link["near"] = near
+
+    def close(self):
+        super().close()
+        while self.cards:
+            self.end_card()
+
     def handle_data(self, data):
         tags = [t for t, _, _ in self.stack]
         if self.stack and self.stack[-1][0] == "script" and "ld+json" in self.stack[-1][2]:
@@ -56,6 +93,8 @@ class Flat(HTMLParser):
             self.title.append(data)
             return
         self.text.append(data)
+        if self.heading is not None:
+            self.heading.append(data)
         if "h1" in tags:
             self.h1.append(data)
         for link in self.open:
@@ -75,24 +114,24 @@ def _flat(page: str, base: str) -> dict:
             url = urldefrag(urljoin(base or "", href))[0]
         except ValueError:
             continue
-        links.append({"tag": x["tag"], "href": href, "url": url, "label": " ".join("".join(x["text"]).split()), "around": x["around"]})
+        links.append({"tag": x["tag"], "href": href, "url": url, "label": " ".join("".join(x["text"]).split()), "around": x["around"], "near": x["near"], "section": x["section"]})
     join = lambda parts: " ".join(" ".join(parts).split())
     return {"title": join(p.title), "h1": join(p.h1), "description": p.description, "text": join(p.text), "json_ld": p.json_ld, "links": links}
 
 
-_LINK = pa.struct([("tag", pa.string()), ("href", pa.string()), ("url", pa.string()), ("label", pa.string()), ("around", pa.list_(pa.string()))])
+_LINK = pa.struct([("tag", pa.string()), ("href", pa.string()), ("url", pa.string()), ("label", pa.string()), ("around", pa.list_(pa.string())), ("near", pa.string()), ("section", pa.string())])
 _PAGE = pa.struct([("title", pa.string()), ("h1", pa.string()), ("description", pa.string()), ("text", pa.string()), ("json_ld", pa.list_(pa.string())), ("links", pa.list_(_LINK))])
 
 
 def flatten(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, h1, description, text, json_ld, links: array<struct<tag, href, url, label, around>>)."""
+    """(page_id, url, title, h1, description, text, json_ld, links: array<struct<tag, href, url, label, around, near, section>>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [_flat(h, u) for u, h in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(rows, _PAGE)], ["page_id", "url", "page"])
 
-    schema = "page_id bigint, url string, page struct<title:string,h1:string,description:string,text:string,json_ld:array<string>,links:array<struct<tag:string,href:string,url:string,label:string,around:array<string>>>>"
+    schema = "page_id bigint, url string, page struct<title:string,h1:string,description:string,text:string,json_ld:array<string>,links:array<struct<tag:string,href:string,url:string,label:string,around:array<string>,near:string,section:string>>>"
     return pages.select("page_id", "url", "html").mapInArrow(run, schema).select("page_id", "url", "page.*")
 
 
@@ -128,6 +167,30 @@ def in_job_list(around: Column | str) -> Column:
     return F.exists(F.slice(T.col(around), 1, 10), lambda x: x.rlike(r"(?i)(?:^|[-_\s|])(job|jobs|career|careers|opening|openings|position|positions|vacanc(?:y|ies)|posting|postings)(?:$|[-_\s|])"))
 
 
+#: Words by which a page says that it has no openings, and marks of a page that no script has rendered. Fixed values.
+NO_OPENINGS = (
+    "no current openings", "no current job openings", "no open positions", "no open positions at this time", "no openings at this time", "no job openings at this time", "no positions available at this time",
+    "there are currently no openings", "there are no open positions", "we do not have any openings", "we don't have any openings", "no vacancies at this time", "0 jobs found", "0 open positions",
+)
+SHELL_MARKS = (
+    "${", "{{", "pagestatedata", "please enable javascript", "enable javascript to run this app", "you need to enable javascript", "we're sorry but", "doesn't work properly without javascript",
+    "this application requires javascript",
+)
+EMPTY_ROOT = r"""(?i)<div[^>]+id=["'](?:root|app|__next|main|react-root|ember-app)["'][^>]*>\s*</div>"""
+
+
+def says_none(text: Column | str) -> Column:
+    """The page says outright that there are no openings."""
+    return T.contains_any(F.lower(T.squash(text)), NO_OPENINGS)
+
+
+def unrendered(html: Column | str, text: Column | str) -> Column:
+    """A page whose scripts have not run: a mark of it, an empty root with two scripts, or three scripts and hardly any text."""
+    low = F.lower(T.blank(html))
+    scripts = F.size(F.split(low, "<script")) - 1
+    return T.contains_any(low, SHELL_MARKS) | (low.rlike(EMPTY_ROOT) & (scripts >= 2)) | ((scripts >= 3) & (F.length(T.squash(text)) < 400))
+
+
 def job_postings(flat: DataFrame) -> DataFrame:
     """JobPosting items of a page's JSON-LD (page_id, item VARIANT), wherever they stand: at the top, in a list, in @graph, graph or itemListElement."""
     docs = flat.select("page_id", F.explode("json_ld").alias("j")).select("page_id", F.try_parse_json("j").alias("v")).where("v is not null")

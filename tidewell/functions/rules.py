@@ -193,14 +193,30 @@ SOCIAL_HOSTS = (
     "glassdoor.com", "indeed.com", "ziprecruiter.com", "simplyhired.com", "monster.com", "careerbuilder.com",
 )
 SEGMENT_REASONS = {
-    "account/product application link": "open-an-account openanaccount open-account openaccount account-opening apply-for-a-loan apply-for-loan loan-application mortgage-application card-application switch-kit",
-    "branch/ATM link": "location locations branch branches atm atms branch-locator locator find-a-branch find-a-location find-an-atm hours directions",
-    "login/registration link": "login log-in signin sign-in signon sign-on logon logout sign-out register registration enroll enrollment password forgot-password reset-password online-banking onlinebanking mobile-banking account-login",
-    "contact/email link": "contact contact-us contactus email-us feedback appointment schedule-appointment book-appointment",
-    "privacy/legal/accessibility page link": "privacy privacy-policy privacy-notice legal terms terms-of-use terms-and-conditions disclosure disclosures disclaimer accessibility sitemap site-map cookies cookie-policy security fraud patriot-act esign eeo equal-opportunity",
-    "marketing/product page link": "rates products personal business commercial checking savings loans mortgage mortgages credit-cards creditcards insurance investments wealth promotions offers calculators financial-education resources news newsroom press blog events community about about-us aboutus history leadership board-of-directors testimonials faq faqs help support",
-}
-CAREER_SEGMENTS = "career careers job jobs employment opening openings opportunity opportunities join-our-team join-us work-with-us workhere work-here hiring recruiting recruitment vacancy vacancies positions apply".split()
+    "account/product application link": (
+        "open-an-account", "openanaccount", "open-account", "openaccount", "account-opening", "apply-for-a-loan", "apply-for-loan", "loan-application", "mortgage-application",
+        "card-application", "switch-kit",
+    ),
+    "branch/ATM link": (
+        "location", "locations", "branch", "branches", "atm", "atms", "branch-locator", "locator", "find-a-branch", "find-a-location", "find-an-atm", "hours", "directions",
+    ),
+    "login/registration link": (
+        "login", "log-in", "signin", "sign-in", "signon", "sign-on", "logon", "logout", "sign-out", "register", "registration", "enroll", "enrollment", "password", "forgot-password",
+        "reset-password", "online-banking", "onlinebanking", "mobile-banking", "account-login",
+    ),
+    "contact/email link": (
+        "contact", "contact-us", "contactus", "email-us", "feedback", "appointment", "schedule-appointment", "book-appointment",
+    ),
+    "privacy/legal/accessibility page link": (
+        "privacy", "privacy-policy", "privacy-notice", "legal", "terms", "terms-of-use", "terms-and-conditions", "disclosure", "disclosures", "disclaimer", "accessibility", "sitemap",
+        "site-map", "cookies", "cookie-policy", "security", "fraud", "patriot-act", "esign", "eeo", "equal-opportunity",
+    ),
+    "marketing/product page link": (
+        "rates", "products", "personal", "business", "commercial", "checking", "savings", "loans", "mortgage", "mortgages", "credit-cards", "creditcards", "insurance", "investments", "wealth",
+        "promotions", "offers", "calculators", "financial-education", "resources", "news", "newsroom", "press", "blog", "events", "community", "about", "about-us", "aboutus", "history",
+        "leadership", "board-of-directors", "testimonials", "faq", "faqs", "help", "support",
+    ),
+}
 
 
 def destination_reason(target: Column | str, page_url: Column | str | None = None) -> Column:
@@ -214,12 +230,12 @@ def destination_reason(target: Column | str, page_url: Column | str | None = Non
     social = F.lit(None).cast("string")
     for s in reversed(SOCIAL_HOSTS):
         social = F.when(U.in_domain(h, s), F.lit(f"social/aggregator link ({s})")).otherwise(social)
-    reasons = F.create_map(*(F.lit(x) for why, words in SEGMENT_REASONS.items() for w in words.split() for x in (w, why)))
+    reasons = F.create_map(*(F.lit(x) for why, words in SEGMENT_REASONS.items() for w in words for x in (w, why)))
     named = F.filter(F.transform(parts, lambda s: F.try_element_at(reasons, s)), lambda x: x.isNotNull())
     away = F.lit(False) if page_url is None else (h != "") & (U.host(page_url) != "") & (h != U.host(page_url))
     return (
         F.when(value == "", "").when(value.startswith("#"), "in-page anchor, not a posting URL").when(scheme.isin(*SCHEMES), F.concat(scheme, F.lit(": link, not a posting URL"))).when(social.isNotNull(), social)
-        .when(F.size(parts) == 0, F.when(away, "").otherwise("site root, not a posting URL")).when(F.exists(parts, lambda s: s.isin(*CAREER_SEGMENTS)), "").otherwise(F.coalesce(F.get(named, F.lit(0)), F.lit("")))
+        .when(F.size(parts) == 0, F.when(away, "").otherwise("site root, not a posting URL")).when(F.exists(parts, lambda s: s.isin(*U.CAREER_SEGMENTS)), "").otherwise(F.coalesce(F.get(named, F.lit(0)), F.lit("")))
     )
 
 
@@ -252,14 +268,24 @@ def soft_404(c: Column | str) -> Column:
     return T.longest_phrase(F.substring(T.squash(c), 1, 800), ERROR_PHRASES)
 
 
+#: What marks posting metadata. Fixed values.
+METADATA_LABELS = (
+    r"(?i)\b(location|locations|department|division|business unit|job type|employment type|job category|category|schedule|shift|hours|status|posted|date posted|posting date|closing date|apply by|salary|pay|"
+    r"pay range|pay rate|compensation|wage|rate of pay|req(?:uisition)?\s*(?:#|no\.?|number|id)|job\s*(?:#|no\.?|number|id)|fte|reports to)\s*[:\-–]"
+)
+EMPLOYMENT_TYPES = r"(?i)\b(?:full[\s-]?time|part[\s-]?time|temporary|seasonal|internship|intern|per[\s-]diem|contract|contingent|casual|exempt|non[\s-]?exempt|hourly|salaried)\b"
+CITY_STATE = r"\b[A-Z][A-Za-z.'-]+(?:\s+[A-Z][A-Za-z.'-]+)*,\s*(?:[A-Z]{2}\b|[A-Z][a-z]+\b)"
+PUBLISHED_PAY = (
+    r"(?i)\$\s?\d[\d,]*(?:\.\d{2})?\s*(?:-|to|–)?\s*(?:\$\s?\d[\d,]*(?:\.\d{2})?)?\s*(?:per\s+(?:hour|hr|year|yr|week|month)|/\s*(?:hour|hr|year|yr)|annually|hourly)"
+)
+
+
 def metadata_signals(c: Column | str) -> Column:
     """Which posting metadata a text shows."""
     v = T.squash(c)
     return F.array_compact(F.array(
-        F.when(v.rlike(r"(?i)\b(?:department|location|category|employment type|job type|posted|closing date|requisition)\s*:"), "metadata label"),
-        F.when(v.rlike(r"(?i)\b(?:full[- ]time|part[- ]time|temporary|seasonal|internship|contract)\b"), "employment type"),
-        F.when(v.rlike(r"\b[A-Z][A-Za-z.]+(?: [A-Z][A-Za-z.]+)*, [A-Z]{2}\b"), "city and state"),
-        F.when(v.rlike(PAY_SIGNED), "pay"),
+        F.when(v.rlike(METADATA_LABELS), F.concat(F.lit("labelled metadata ("), F.lower(F.regexp_extract(v, METADATA_LABELS, 1)), F.lit(")"))),
+        F.when(v.rlike(EMPLOYMENT_TYPES), "employment type"), F.when(v.rlike(CITY_STATE), "city/state location"), F.when(v.rlike(PUBLISHED_PAY), "published pay"),
     ))
 
 
@@ -271,19 +297,31 @@ def benefit_terms(c: Column | str) -> Column:
     return F.array_compact(F.array(*(F.when(low.contains(b), F.lit(b)) for b in BENEFITS)))
 
 
-def evidence(title: Column, target: Column, chrome: Column, in_list: Column, signals: Column, structured: Column, page_url: Column | None = None) -> Column:
-    """struct(accepted, reason): the verdict on a candidate. Against: page chrome, text, destination; for: a requisition id or a
-    structured source, then a list with metadata, then a slug behind a posting anchor."""
+def evidence(
+    title: Column, target: Column, chrome: Column, in_list: Column, signals: Column, structured: Column, page_url: Column | None = None, document: Column | None = None, careers: Column | None = None
+) -> Column:
+    """struct(accepted, reason): the verdict on a candidate. Against: page chrome, text, destination. For: structured data, a vendor's
+    posting URL or a requisition id; then a list with metadata; then a posting's slug in a list, or with metadata on a careers page;
+    then a job description document in a list or on a careers page."""
     said = lambda ok, why: F.struct(F.lit(ok).alias("accepted"), (why if isinstance(why, Column) else F.lit(why)).alias("reason"))
-    by_text, by_place = text_reason(title), destination_reason(target, page_url)
-    s = U.segments(target)
-    slugged = F.exists(F.transform(s, lambda x, i: (i > 0) & F.get(s, F.greatest(i - 1, F.lit(0))).isin(*U.ID_ANCHORS) & x.contains("-")), lambda x: x)
-    return (
-        F.when(chrome != "", said(False, chrome)).when(by_text != "", said(False, by_text)).when(by_place != "", said(False, by_place))
-        .when(structured, said(True, "structured posting data")).when(U.requisition(target) != "", said(True, "requisition id in the URL"))
-        .when(in_list & (F.size(signals) > 0), said(True, "job list with posting metadata")).when(slugged & valid_title(title), said(True, "posting URL and job title"))
-        .otherwise(said(False, F.concat(F.lit("missing evidence: "), F.concat_ws(", ", F.when(~in_list, F.lit("job list")), F.when(F.size(signals) == 0, F.lit("posting metadata")), F.lit("requisition id")))))
-    )
+    document, careers = (F.lit(False) if x is None else x for x in (document, careers))
+    facts = {
+        "chrome": chrome, "text": text_reason(title), "place": destination_reason(target, page_url), "vendor": U.detail_vendor(target), "id": U.requisition(target), "slug": U.posting_slug(target) != "",
+        "structured": structured, "in_list": in_list, "known": F.size(signals) > 0, "document": document, "careers": careers,
+    }
+
+    def verdict(x: Column) -> Column:
+        f = {k: x.getField(k) for k in facts}
+        missing = F.concat_ws(", ", F.when(~f["in_list"], F.lit("job list")), F.when(~f["known"], F.lit("posting metadata")), F.lit("requisition id"))
+        return (
+            F.when(f["chrome"] != "", said(False, f["chrome"])).when(f["text"] != "", said(False, f["text"])).when(f["place"] != "", said(False, f["place"]))
+            .when(f["structured"], said(True, "structured posting data")).when(f["vendor"] != "", said(True, F.concat(f["vendor"], F.lit(" posting URL")))).when(f["id"] != "", said(True, "requisition id in the URL"))
+            .when(f["in_list"] & f["known"], said(True, "job list with posting metadata")).when(f["slug"] & f["in_list"], said(True, "posting slug in a job list"))
+            .when(f["slug"] & f["known"] & f["careers"], said(True, "posting slug with metadata on a careers page")).when(f["document"] & (f["in_list"] | f["careers"]), said(True, "job description document"))
+            .otherwise(said(False, F.concat(F.lit("missing evidence: "), missing)))
+        )
+
+    return F.get(F.transform(F.array(F.struct(*(c.alias(k) for k, c in facts.items()))), verdict), F.lit(0))  # each fact is found once
 
 
 #: Routing of a source to its collector, tried in order: parts of the URL, parts of the platform's name. The last takes the rest. Fixed values.

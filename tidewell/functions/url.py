@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import blank, domain_name, identity_tokens, slug
+from .text import blank, domain_name, identity_tokens, slug, squash
 
 #: Domain, then platform, in the order in which they are tried. Fixed values.
 PLATFORMS = (
@@ -74,15 +74,16 @@ def in_domain(h: Column, domain: Column | str) -> Column:
     return (h != "") & ((h == d) | h.endswith(F.concat(F.lit("."), d)))
 
 
+def _once(value: Column, body) -> Column:
+    """Evaluate value once and use it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def platform(*urls: Column | str) -> Column:
     """The platform of the first URL that has one; domains are tried in their own order."""
-    out = F.lit("")
-    for u in reversed(urls):
-        h, here = host(u), out
-        for domain, name in reversed(PLATFORMS):
-            here = F.when(in_domain(h, domain), name).otherwise(here)
-        out = F.when(blank(u) != "", here).otherwise(out)
-    return out
+    names = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(n).alias("name")) for d, n in PLATFORMS))
+    found = [_once(host(u), lambda h: F.get(F.filter(names, lambda p: in_domain(h, p.getField("domain"))), F.lit(0)).getField("name")) for u in urls]
+    return F.coalesce(*(F.when(blank(u) != "", f) for u, f in zip(urls, found)), F.lit(""))
 
 
 def registered_domain(c: Column | str, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> Column:
@@ -142,34 +143,95 @@ def public_shape(c: Column | str) -> Column:
     return canonical(c).isNotNull() & ~private
 
 
-#: Query keys that carry a requisition id, and segments that stand before one. Fixed values.
-ID_KEYS = ("jobid", "job_id", "reqid", "req_id", "requisitionid", "requisition_id", "gh_jid", "jid", "jobreqid", "posting", "postingid", "positionid", "opportunityid", "vacancyid")
-ID_ANCHORS = ("job", "jobs", "position", "positions", "opening", "openings", "posting", "postings", "opportunity", "requisition", "vacancy", "careers", "career")
+#: Query keys that carry a requisition id, in the order in which they are tried. Fixed values.
+ID_KEYS = ("jobid", "job_id", "reqid", "req_id", "requisitionid", "requisition_id", "postingid", "posting_id", "jobcode", "job_code", "jvi", "jobreqid", "opportunityid", "vacancyid")
+#: Segments that stand before an id or a posting's slug. Fixed values.
+ID_ANCHORS = (
+    "job", "jobs", "career", "careers", "opening", "openings", "opportunity", "opportunities", "position", "positions", "posting", "postings", "requisition", "requisitions", "vacancy", "vacancies",
+    "apply", "employment",
+)
+#: Segments of a careers area. Fixed values.
+CAREER_SEGMENTS = (
+    "career", "careers", "job", "jobs", "employment", "opening", "openings", "opportunity", "opportunities", "join-our-team", "join-us", "work-with-us", "workhere", "work-here", "hiring", "recruiting",
+    "recruitment", "vacancy", "vacancies", "positions", "apply",
+)
+#: Domain, then what path and query of a posting's own page hold there, in the order in which they are tried. Fixed values.
+DETAIL_SHAPES = (
+    ("greenhouse.io", r"/jobs/\d+"), ("lever.co", r"/[^/]+/[0-9a-f]{8}-[0-9a-f-]{27,}"), ("myworkdayjobs.com", r"/job/"), ("icims.com", r"/jobs/\d+"), ("applicantpro.com", r"/jobs/\d+"),
+    ("isolvedhire.com", r"/jobs/\d+"), ("ultipro.com", r"/opportunitydetail"), ("workforcenow.adp.com", r"/recruitment/recruitment\.html|jobid="), ("recruiting.adp.com", r"/srccar/public/"),
+    ("paycomonline.net", r"/viewjobdetails|/jobs/\d+"), ("recruitingbypaycor.com", r"/career/jobintroduction"), ("paylocity.com", r"/details/\d+"), ("jobs.dayforcehcm.com", r"/jobs/\d+"),
+    ("csod.com", r"/requisition/\d+|/jobdetails"), ("hrmdirect.com", r"/employment/job-opening\.php"), ("applytojob.com", r"/apply/"), ("jazzhr.com", r"/apply/"), ("smartrecruiters.com", r"/\d{9,}"),
+    ("jobvite.com", r"/job/"), ("bamboohr.com", r"/careers/\d+"), ("successfactors.com", r"/job/"), ("oraclecloud.com", r"/job/"), ("saashr.com", r"/ta/|/jobdetail"),
+)
+#: The board path of the vendor whose postings' URLs hold it, and the culture it has where none is named. Fixed values.
+BOARD_HOST, BOARD_PATH, CULTURE = "jobs.dayforcehcm.com", r"(?i)^/(?:([A-Za-z]{2,3}(?:-[A-Za-z]{2})?)/)?([A-Za-z0-9_-]+)/([A-Za-z0-9_-]+)(?:/jobs/[0-9]+)?/?$", "en-US"
+
+
+def _anchored(c: Column | str) -> Column:
+    """The segments right behind an anchor that are no anchors or careers segments themselves."""
+    s = segments(c)
+    behind = F.transform(s, lambda x, i: F.when((i > 0) & F.get(s, F.greatest(i - 1, F.lit(0))).isin(*ID_ANCHORS) & ~x.isin(*ID_ANCHORS, *CAREER_SEGMENTS), x))
+    return F.filter(behind, lambda x: x.isNotNull())
+
+
+_NUMBERED = r"^(?=.*\d)[A-Za-z0-9][A-Za-z0-9._-]{1,63}$"
 
 
 def requisition(c: Column | str) -> Column:
-    """The requisition id in a query or behind an anchor segment; ''."""
-    by_key = F.lit("")
-    q = F.concat(F.lit("&"), F.lower(query(c)))
+    """The requisition id in a query, as it stands there, or behind an anchor segment; ''."""
+    by_key, q = F.lit(""), query(c)
     for k in reversed(ID_KEYS):
-        v = F.regexp_extract(q, rf"&{k}=([^&]+)", 1)
-        by_key = F.when(v != "", v).otherwise(by_key)
-    s = segments(c)
-    after = F.filter(F.transform(s, lambda x, i: F.when((i > 0) & F.get(s, F.greatest(i - 1, F.lit(0))).isin(*ID_ANCHORS) & x.rlike(r"\d"), x)), lambda x: x.isNotNull())
-    return F.when(by_key != "", by_key).otherwise(F.coalesce(F.get(after, F.lit(0)), F.lit("")))
+        v = F.trim(F.regexp_replace(F.regexp_extract(q, rf"(?i)(?:^|&){k}=([^&]+)", 1), r"\+", " "))
+        by_key = F.when(v != "", F.coalesce(F.try_url_decode(v), v)).otherwise(by_key)
+    return F.when(by_key != "", by_key).otherwise(F.coalesce(F.get(F.filter(_anchored(c), lambda x: x.rlike(_NUMBERED)), F.lit(0)), F.lit("")))
 
 
-def crawl(links: DataFrame, seeds: DataFrame, depth: int = 3, most: int = 8) -> DataFrame:
+def posting_slug(c: Column | str) -> Column:
+    """A slug without digits behind an anchor segment; ''. Weak evidence: a benefits page has the same shape."""
+    return F.coalesce(F.get(F.filter(_anchored(c), lambda x: ~x.rlike(_NUMBERED) & x.rlike("^[a-z0-9]+(?:-[a-z0-9]+)+$")), F.lit(0)), F.lit(""))
+
+
+def detail_vendor(c: Column | str) -> Column:
+    """The domain whose posting pages look like this URL; ''. Only a URL with a scheme has a host."""
+    s = F.trim(blank(c))
+    shapes = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(f"(?i){p}").alias("shape")) for d, p in DETAIL_SHAPES))
+    at = F.struct(F.when(s.contains("://"), host(s)).otherwise("").alias("host"), F.concat(path(s), F.lit("?"), query(s)).alias("target"))
+    fits = lambda x: F.filter(shapes, lambda p: in_domain(x.getField("host"), p.getField("domain")) & F.regexp_like(x.getField("target"), p.getField("shape")))
+    return F.coalesce(_once(at, lambda x: F.get(fits(x), F.lit(0)).getField("domain")), F.lit(""))
+
+
+def canonical_board(c: Column | str) -> Column:
+    """The board's root for a board or posting URL of the one vendor that has both in one path; any other URL as it is, trimmed."""
+    s = F.trim(blank(c))
+    authority, route = F.lower(netloc(s)), path(s)
+    known = s.rlike("(?i)^https://") & authority.isin(BOARD_HOST, f"{BOARD_HOST}:443", f"{BOARD_HOST}.", f"{BOARD_HOST}:") & route.rlike(BOARD_PATH)
+    part = lambda k: F.regexp_extract(route, BOARD_PATH, k)
+    return F.when(known, F.concat_ws("/", F.lit(f"https://{BOARD_HOST}"), F.when(part(1) == "", CULTURE).otherwise(part(1)), part(2), part(3))).otherwise(s)
+
+
+def careers_context(page_url: Column | str, h1: Column | str, title: Column | str) -> Column:
+    """Why a page is a careers page: a segment of its URL, its heading, its title; ''."""
+    named = F.get(F.filter(segments(page_url), lambda x: x.isin(*CAREER_SEGMENTS)), F.lit(0))
+    words = r"(?i)\b(?:careers?|jobs?|employment|openings?|opportunit(?:y|ies)|join our team|work (?:with|for) us|hiring)\b"
+    said = lambda c, kind: F.when(squash(c).rlike(words), F.concat(F.lit(f'careers page {kind} ("'), F.substring(squash(c), 1, 80), F.lit('")')))
+    return F.coalesce(F.concat(F.lit('careers URL segment ("'), named, F.lit('")')), said(h1, "h1"), said(title, "title"), F.lit(""))
+
+
+def crawl(links: DataFrame, seeds: DataFrame, depth: int | None = None, most: int = 8) -> DataFrame:
     """Breadth-first over a landed edge table links(src, dst) from seeds(site, url), inside one registered domain: at most
-    ``most`` pages a site, in order of depth, then URL. One join a level; ``depth`` bounds the plan."""
+    ``most`` pages a site, in order of depth, then URL. One join a level, down to the level at which every site has its pages or
+    has no links left (or to ``depth``); only the number of new pages reaches the driver."""
     from pyspark.sql import Window as W
 
     front = seeds.select("site", F.col("url").alias("url"), F.lit(0).alias("depth"))
-    seen = front
+    seen, d = front, 0
     edges = links.select(F.col("src").alias("url"), "dst").where(registered_domain("src") == registered_domain("dst"))
-    for d in range(1, depth + 1):
-        front = front.join(edges, "url").select("site", F.col("dst").alias("url"), F.lit(d).alias("depth")).distinct().join(seen.select("site", "url"), ["site", "url"], "left_anti")
-        seen = seen.unionByName(front)
+    while depth is None or d < depth:
+        d += 1
+        wanting = seen.groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") < most).select("site")
+        new = front.join(edges, "url").select("site", F.col("dst").alias("url"), F.lit(d).alias("depth")).distinct().join(seen.select("site", "url"), ["site", "url"], "left_anti")
+        new = new.join(wanting, "site", "left_semi")
+        if depth is None and new.isEmpty():
+            break
+        front, seen = new, seen.unionByName(new)
     return seen.withColumn("rank", F.row_number().over(W.partitionBy("site").orderBy("depth", "url"))).where(F.col("rank") <= most)
-
-

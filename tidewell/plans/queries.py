@@ -326,7 +326,7 @@ def _job_list(spark, sf):
 
 def _listed(name: str):
     def run(spark, sf):
-        return paging.page_of(_job_list(spark, sf), _ORDERS[name][0](), 1, 50, total=50).select("o_orderkey", "c_name", "n_name", "o_totalprice", "score", "role_rank")
+        return paging.page_of(_job_list(spark, sf), _ORDERS[name][0](), 1, 50).select("o_orderkey", "c_name", "n_name", "o_totalprice", "score", "role_rank")
 
     run.__name__ = f"job_list_{name}"
     run.__doc__ = f"First 50 open postings of a filtered list, by {name}."
@@ -387,7 +387,7 @@ def _alternatives(words) -> str:
     return "|".join(w.replace("(", r"\(").replace(")", r"\)") for w in words)
 
 
-_TITLE = f"""WITH x AS (SELECT doc_id, substr(regexp_replace(trim(regexp_replace(string_split(text, chr(10))[1], '[\\s]+', ' ', 'g')), '^(?i)(job title|title)\\s*[:\\-]\\s*', ''), 1, 60) AS shown FROM documents),
+_TITLE = f"""WITH x AS (SELECT doc_id, substr(regexp_replace(trim(regexp_replace(string_split(text, chr(10))[1], '[\\s]+', ' ', 'g')), '^(?i)(job title|title)\\s*[:\\-]\\s*', ''), 1, 180) AS shown FROM documents),
 y AS (SELECT *, lower(shown) AS low, regexp_extract_all(lower(shown), '[a-z0-9]+') AS w FROM x),
 z AS (SELECT *, len(list_filter(w, lambda v: v IN ({", ".join(f"'{v}'" for v in R.GENERIC_WORDS)}))) AS g, regexp_matches(low, '{_alternatives(R.PART_REJECTS)}') AS part,
  len(list_filter(w, lambda v: v IN ({", ".join(f"'{v}'" for v in R.ROLE_NOUNS)}))) > 0 AS noun FROM y),
@@ -398,7 +398,7 @@ SELECT doc_id, score, CASE WHEN shown = '' THEN 'blank title' WHEN length(shown)
 
 @query(_TITLE)
 def title_normalise_score_reason(spark, sf):
-    line = F.substring(T.job_title(F.get(F.split("text", "\n"), F.lit(0))), 1, 60)
+    line = T.job_title(F.get(F.split("text", "\n"), F.lit(0)))
     d = t(spark, sf, "documents").select("doc_id", line.alias("line"))
     return d.select("doc_id", R.title_score("line").alias("score"), R.title_rejection("line").alias("reason"))
 
@@ -434,7 +434,7 @@ def _match_sql() -> str:
     words = lambda x: f"list_filter(string_split({x}, ' '), lambda v: length(v) > 4 AND v NOT IN ({stop}))"
     tracked = "[" + ", ".join(f"'{k}'" for k in R.TRACKED) + "]"
     first = lambda x: f"list_filter({x}, lambda v, i: list_position({x}, v) = i)"  # noqa: E731  distinct, in order
-    return f"""WITH d AS (SELECT doc_id, {norm("substr(text, 1, 80)")} AS title, {norm("substr(text, 1, 80) || ' ' || substr(text, 81, 920)")} AS n, {norm("(SELECT string_agg(text, ' ' ORDER BY turn) FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations))")} AS resume FROM documents),
+    return f"""WITH d AS (SELECT doc_id, {norm("substr(text, 1, 80)")} AS title, {norm("substr(text, 1, 80) || ' ' || substr(text, 81)")} AS n, {norm("(SELECT string_agg(text, ' ' ORDER BY turn) FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations))")} AS resume FROM documents),
 w AS (SELECT *, {words("n")} AS nw, {words("title")} AS tw FROM d), u AS (SELECT *, {first("nw")} AS un, {first("tw")} AS ut FROM w),
 k AS (SELECT *, list_concat(list_filter({tracked}, lambda v: contains(n, v)), un[1:30]) AS ka FROM u), q AS (SELECT *, {first("ka")} AS kw FROM k),
 h AS (SELECT *, len(list_filter(kw, lambda v: contains(resume, v))) AS hk, len(list_filter(ut, lambda v: contains(resume, v))) AS ht FROM q),
@@ -451,7 +451,7 @@ def _resume(spark, sf):
 
 @query(_match_sql())
 def resume_match_score(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 920).alias("body"))
+    d = t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("body"))
     one = F.broadcast(_resume(spark, sf).select(T.match_text("resume").alias("resume")))  # one row
     return d.join(one, F.lit(True), "left").select("doc_id", R.match(F.col("resume"), "title", "body", F.lit("")).alias("m")).select("doc_id", "m.score", F.size("m.matched").cast("bigint").alias("matched"), "m.label")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import records
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "records"]
