@@ -43,7 +43,8 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1)
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def slice_by_rank(df: DataFrame, order: list[Column], n: int) -> tuple[DataFrame, DataFrame]:
-    """(first n rows, the rest), split at the n-th row's place without ranking all rows in one task."""
+def slice_by_rank(df: DataFrame, order: list[Column], n: int, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(first n rows, the rest), split at the n-th row's place without ranking all rows in one task. With a unique ``key`` the rest is
+    an anti-join with the n keys; without one all columns are compared."""
     head = df.orderBy(*order).limit(n)
-    return head, df.exceptAll(head)
+    return head, df.join(head.select(*key), key, "left_anti") if key else df.exceptAll(head)

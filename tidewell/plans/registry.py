@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import records
+from . import cases, records
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "records"]
+__all__ = ["ORACLES", "QUERIES", "cases", "records"]
