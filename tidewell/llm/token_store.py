@@ -227,7 +227,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, order
     """Encode ``docs`` (doc_id, text) and write the store. Null text is empty: its stream is the end id alone.
 
     Documents follow one another by the columns of ``order``, nulls first. Repeated rows and rows with one doc_id each get
-    a recipe of their own.
+    a recipe of their own. An empty table gives an empty store; columns beside those named are not read.
     """
     spark, n = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = [f"at{k}" for k in range(len(order))]
@@ -235,13 +235,18 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, order
     typed = ", ".join(f"{p} {given.schema[p].dataType.simpleString()}" for p in places)
     rows = given.mapInArrow(_encode(vocabulary or default_vocabulary()), f"{PARTS}, {typed}")
     rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_once, f"{PARTS}, {typed}").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
-    recipes = spark.read.schema(f"{RECIPES}, {typed}").parquet(f"{path}/parts/kind=recipe")
+    recipes = _parts(spark, path, "recipe", f"{RECIPES}, {typed}")
     recipes.repartitionByRange(n, *places, "rid").sortWithinPartitions(*places, "rid").drop(*places).write.parquet(f"{path}/recipes")
     merkle(chunks(spark, path)).write.parquet(f"{path}/manifest")
 
 
+def _parts(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    """Rows of one kind; none where no document was written. Spark reads that kind's folder alone."""
+    return spark.read.schema(f"{schema}, kind string").parquet(f"{path}/parts").where(F.col("kind") == kind).drop("kind")
+
+
 def chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, payload binary").parquet(f"{path}/parts/kind=chunk")
+    return _parts(spark, path, "chunk", "key binary, payload binary")
 
 
 def merkle(keys: DataFrame) -> DataFrame:
