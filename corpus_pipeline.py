@@ -50,9 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = shared.table(spark, sf_dir, "documents")
+    """All stages over documents. What the stages hand on is removed when the token store stands; the store stays."""
+    since, docs = shared.mark(), shared.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = shared.place(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    done = shared.mark()
+    rows = STAGES[-1][1](spark, docs, sf_dir)
+    shared.remove(spark, shared._PLACES[since:done])
+    return rows
