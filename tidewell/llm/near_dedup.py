@@ -4,9 +4,8 @@
    odd sketch: the samples folded into a 1,024-bit parity map. Equal sets share one *node*, so copies cost one row each.
 2. A bucket is a band value that two or more nodes share. Its leader (the member that meets most others over all bands) is
    paired with the members of other components, components are taken, and the next leader has its turn, until few pairs of
-   *different* components are left in the buckets. The members that are left meet by rare shingles: two sets that are similar
-   enough share one of the rarest quarter of each, so texts that have only common passages together never meet. Pairs inside one
-   component can change nothing, so no group is expanded into all its pairs.
+   *different* components are left in the buckets; those are all tried. Pairs inside one component can change nothing, so no
+   group is expanded into all its pairs.
 3. A pair goes on if its set sizes allow the similarity and the XOR population count of the sketches estimates at least
    ``SKETCH_FLOOR`` (about eight standard deviations below 0.75); it is confirmed on the full sets.
 
@@ -20,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shared
@@ -28,7 +26,7 @@ from . import shared
 WORDS, SIMILARITY = 5, 75  # per cent
 BANDS, ROWS, SKETCH_BITS, SKETCH_FLOOR = 40, 5, 1024, 0.5
 #: Leaders are tried in turn until the pairs left are FEW_PAIRS for each member, a turn links under 1 % of its pairs, or MAX_TURNS are over;
-#: then the members left meet by rare shingles.
+#: then all pairs left are tried.
 MAX_TURNS, FEW_PAIRS = 4, 4
 #: Rows that a task takes where tables are small; pairs that are broadcast at most.
 ROWS_A_TASK, MOST_SENT = 20_000, 200_000
@@ -179,9 +177,9 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, shingle) of these nodes; and the shingles (shingle, n, freq) that more than one of them has."""
+    """(node, shingle) of these nodes; and the shingles (shingle, n) that more than one of them has."""
     sets = shared.stored(texts.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_explode, "node bigint, shingle bigint"), "sets")
-    twice = shared.stored(sets.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").withColumn("freq", F.col("n")), "twice")
+    twice = shared.stored(sets.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     return sets, twice
 
 
@@ -199,19 +197,6 @@ def _able(rows: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return _mixed(shared.stored(few(known.join(least, "band").where("7 * common >= 3 * (size + least)").drop("least"), n), "able"), n)
 
 
-def _by_rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes (node, label, size, common) of different labels that may be similar enough. In the order of frequency, then
-    value, two such sets share a shingle among the first |x| / 4 + 1 of each, for they have at most a quarter apart."""
-    sets, twice = _sets(nodes, texts)
-    met = shared.join_spread(sets, twice, ["shingle"], "n", F.col("node"), "left").withColumn("freq", F.coalesce("freq", F.lit(1)))
-    place = F.row_number().over(W.partitionBy("node").orderBy("freq", "shingle"))
-    first = met.withColumn("place", place).join(nodes, "node").where("freq > 1 AND place <= floor(size / 4) + 1").select("shingle", "node", "label", "size", "common")
-    first = shared.stored(first, "rare")
-    other = first.select("shingle", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "size", "common")))
-    fits = (7 * F.least("common", "other_common") >= 3 * (F.col("size") + F.col("other_size"))) & (4 * F.least("size", "other_size") >= 3 * F.greatest("size", "other_size"))
-    return first.join(other, "shingle").where(F.expr("label < other_label") & fits).select(F.col("node").alias("a"), F.col("other_node").alias("b")).distinct()
-
-
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
@@ -252,12 +237,13 @@ def classes(docs: DataFrame) -> DataFrame:
         pairs, held = sizes.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if pairs <= FEW_PAIRS * held or 100 * linked < n_tried:
             break
-    nodes = shared.stored(few(open_.groupBy("node").agg(*(F.first(c).alias(c) for c in ("label", "size", "common"))), n), "nodes")
-    fine = shared.stored(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_fine, "node bigint, fine array<bigint>"), "fine")
-    pairs = shared.stored(_by_rare_shingles(nodes, texts), "pairs")
-    side = lambda c: fine.select(F.col("node").alias(c), F.col("fine").alias(f"fine_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(estimate(F.col("fine_a"), F.col("fine_b"), FINE_SAMPLES, FINE_BITS) >= FINE_FLOOR)
-    across = shared.stored(few(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n), "across")
+    fine = few(texts.join(few(open_.select("node").distinct(), n), "node", "left_semi"), n).select("node", "text").mapInArrow(_fine, "node bigint, fine array<bigint>")
+    held = few(open_.groupBy("node").agg(F.collect_list("band").alias("mine")), n)  # at most BANDS
+    open_ = shared.stored(open_.join(shared.stored(fine.join(held, "node"), "fine"), "node"), "last")
+    other = open_.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "label", "size", "common", "fine", "mine")))
+    fits = (7 * F.least("common", "other_common") >= 3 * (F.col("size") + F.col("other_size"))) & (estimate(F.col("fine"), F.col("other_fine"), FINE_SAMPLES, FINE_BITS) >= FINE_FLOOR)
+    once = F.array_min(F.array_intersect("mine", "other_mine")) == F.col("band")  # in the first bucket that both share
+    across = shared.stored(open_.join(other, "band").where(F.expr("label < other_label") & fits & once).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct(), "across")
     found = shared.stored(confirm(across, across.count(), active, texts), "links")
     if not found.isEmpty():
         label = shared.stored(components(links.union(found)), "labels")
