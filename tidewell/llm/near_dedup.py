@@ -202,9 +202,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
     No text or no words: the empty set, its own component. Rows with equal sets are one class whatever their ids; a null
     doc_id joins its class and is kept only where the whole class has no id. An empty table gives an empty one; texts of any
-    length are read whole.
+    length are read whole. Only doc_id and text are read, whatever other columns are called.
     """
-    since = shared.mark()
+    with shared.Scope(docs.sparkSession, "near-dedup") as scope:  # one small row a document stays; the tables that led to it go
+        return scope.settled(_classes(docs), "classes")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("bigint"), shared.text_key().alias("tk"), F.col("text").cast("string"))
     sketches = shared.stored(source.mapInArrow(_sketch, SKETCHES), "sketches")
     banded = sketches.select("node", F.explode("bands").alias("band"))
@@ -251,8 +255,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = sketches.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
     least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     found = rows.join(least, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    # one small row a document; the tables that led to it are removed
-    return shared.settled(found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")), "classes", since)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotraining, decontamination, html_extract, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
+from . import cotraining, decontamination, html_extract, manifest, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_repeats": repeats.op8_suffix_repeats,
     "op9_html_main_text": html_extract.op9_html_main_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": decontamination.ORACLE,
     "op8_suffix_repeats": repeats.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op12_merkle_manifest": manifest.ORACLE,
 }

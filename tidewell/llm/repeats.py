@@ -197,12 +197,13 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def op8_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, since = shared.table(spark, sf_dir, "documents"), shared.mark()
+    docs = shared.table(spark, sf_dir, "documents")
     text = F.coalesce("text", F.lit(""))
     light = docs.select("doc_id", F.xxhash64(text).alias("dk"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.sha2(text, 256).alias("whole"))
     n_removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s[1] - s[0])
-    found = repeats(docs).select("dk", "copies", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
-    found = shared.settled(found, "found", since)
+    with shared.Scope(spark, "repeats") as scope:
+        found = repeats(docs).select("dk", "copies", n_removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept_sha256")
+        found = scope.settled(found, "found")
     # texts without a repeat stay as they are; short ones cannot have one and get keys of their own, so that copies do not meet
     keyed = light.withColumn("dk", F.when(F.col("n_bytes") >= LENGTH, F.col("dk")))
     rows = shared.join_spread(keyed.withColumn("dk", F.coalesce("dk", -F.monotonically_increasing_id() - 1)), found, ["dk"], "copies", F.monotonically_increasing_id(), "left")

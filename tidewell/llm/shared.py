@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,34 +41,72 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir.own
 
 
+#: Paths in the shared folder that outlive the call that wrote them.
 _PLACES: list[str] = []
+_SCOPE: ContextVar[Scope | None] = ContextVar("scope", default=None)
 
 
-def place(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    _PLACES.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
-    return _PLACES[-1]
+class Scope:
+    """The tables of one call, in a folder of their own below the shared one, so that calls that run at once never see each other's.
 
+    ``with Scope(...)`` makes it the place of every ``stored`` in the block (of this thread) and removes the folder at its end;
+    what the block returns is written outside by ``settled``. Without ``with``, the folder stays until ``remove``.
+    """
 
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        _PLACES.remove(path)
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self._n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", itertools.count()
 
+    def place(self, name: str) -> str:
+        return f"{self.path}/{next(self._n)}-{name}"
 
-def clean(spark: SparkSession, keep: int = 0) -> None:
-    """Removes what this session has written to the shared folder (but for the first ``keep`` paths): call it when the results
-    are written, for DataFrames that read from there fail afterwards."""
-    remove(spark, _PLACES[keep:])
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, self.place(name))
+
+    @contextmanager
+    def outside(self):
+        """What is stored in this block stays when the scope goes."""
+        token = _SCOPE.set(self._outer)
+        try:
+            yield
+        finally:
+            _SCOPE.reset(token)
+
+    def settled(self, df: DataFrame, name: str) -> DataFrame:
+        """df written outside this scope, where it stays, and read again."""
+        with self.outside():
+            return stored(df, name)
+
+    def remove(self) -> None:
+        _delete(self.spark, self.path)
+
+    def __enter__(self) -> Scope:
+        self._outer = _SCOPE.get()
+        self._token = _SCOPE.set(self)
+        return self
 
+    def __exit__(self, *_) -> None:
+        _SCOPE.reset(self._token)
+        self.remove()
 
-def settled(df: DataFrame, name: str, since: int) -> DataFrame:
-    """df written and read again; all that was written since (``mark``) and led to it is removed."""
-    old = _PLACES[since:]
-    out = stored(df, name)
-    remove(df.sparkSession, old)
-    return out
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A fresh path: in the scope that is entered, or in the shared folder itself."""
+    if scope := _SCOPE.get():
+        return scope.place(name)
+    _PLACES.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _PLACES[-1]
+
+
+def clean(spark: SparkSession, keep: int = 0) -> None:
+    """Removes what this session has left in the shared folder (but for the first ``keep`` paths): call it when the results
+    are written and no other call is running, for DataFrames that read from there fail afterwards."""
+    while len(_PLACES) > keep:
+        _delete(spark, _PLACES.pop())
 
 
 def mark() -> int:
@@ -91,11 +132,14 @@ def join_spread(left: DataFrame, right: DataFrame, key: list[str], copies: str,
     return dealt.join(repeated, [*key, "salt"], how).drop("salt")
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, place(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, place(df.sparkSession, name))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
