@@ -1,62 +1,5 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
+"""The corpus pipeline at the repository's top; its body is tidewell.llm.pipeline."""
 
-Counted as part of tidewell.llm. SQL can express neither the classifier nor the tokenizer, so ORACLE_SQL is None; the
-tests hold the pipeline against the operators' brute-force versions.
-"""
+from tidewell.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tidewell.llm import cotraining, decontamination, mixing, near_dedup, shared, token_store
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents that it rejects go."""
-    return cotraining.filter_documents(docs, shared.table(spark, sf_dir, "labels"))
-
-
-def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: one document of each group stays, the one with the smallest id."""
-    return near_dedup.deduplicate(docs)
-
-
-def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: contaminated documents go."""
-    return decontamination.decontaminate(docs, shared.table(spark, sf_dir, "benchmark"))
-
-
-def in_target_shares(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing to target weights: every document stays; the files, read in order, are the mix."""
-    return mixing.mixed(docs)
-
-
-def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token-ID output in the order of the mix, which is that of the files read; the store is written and read back, one row for each document."""
-    path = shared.place(spark, "corpus")
-    token_store.write_store(docs, path, order=("_metadata.file_name", "_metadata.row_index"))
-    return token_store.read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "sound")
-
-
-STAGES = [
-    ("quality_classifier", keep_good),
-    ("near_dedup", keep_one_of_each),
-    ("decontamination", keep_uncontaminated),
-    ("source_mix", in_target_shares),
-    ("token_output", as_tokens),
-]
-
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. What the stages hand on is removed when the token store stands; the store stays."""
-    since, docs = shared.mark(), shared.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        path = shared.place(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    done = shared.mark()
-    rows = STAGES[-1][1](spark, docs, sf_dir)
-    shared.remove(spark, shared._PLACES[since:done])
-    return rows
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
