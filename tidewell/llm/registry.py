@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotraining, decontamination, html_extract, manifest, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
+from . import cotraining, decontamination, html_extract, lexical_search, manifest, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_main_text": html_extract.op9_html_main_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLES: dict[str, str] = {
     "op8_suffix_repeats": repeats.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
     "op12_merkle_manifest": manifest.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
 }
