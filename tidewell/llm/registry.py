@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cotraining, decontamination, html_extract, lexical_search, manifest, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
+from . import cotraining, decontamination, html_extract, lexical_search, manifest, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store, toxicity
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_repeats": repeats.op8_suffix_repeats,
     "op9_html_main_text": html_extract.op9_html_main_text,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_merkle_manifest": manifest.op12_merkle_manifest,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
