@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,43 @@ def test_levels_deviate_less_than_a_block_each(spark):
         assert max(abs(sent[f"s{k}"] - (slot + 1) / 24) for k in range(24)) < 2  # groups of groups: two levels
 
 
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}, {"a": 2**0.5, "b": 1, "c": 0.1, "d": 3**0.5}, {"a": 20_000, "b": 1}, {"a": 19_999, "b": 1, "c": 1e-3}, {f"s{k}": (k + 1) ** 0.5 for k in range(20)}])
+def test_every_slot_is_within_one_block_of_the_exact_weight(weights):
+    total, n = sum(weights.values()), 60_000
+    blocks = {s: int(n * w / total) + 2 for s, w in weights.items()}
+    at = np.full(sum(blocks.values()), -1)
+    for k, s in enumerate(sorted(blocks)):
+        for x, first, last, slot0, span, slots in mixing.schedule(blocks, mixing.exact(weights)):
+            if x == s:
+                assert len(slots) == last - first <= mixing.CHUNK and first // mixing.CHUNK == (last - 1) // mixing.CHUNK and slots[-1] + 1 == span
+                at[slot0 + np.asarray(slots)] = k
+    assert (at >= 0).all()
+    ends = min(np.flatnonzero(at == k)[-1] for k in range(len(blocks))) + 1  # until then all sources run
+    assert ends > 50_000
+    for k, s in enumerate(sorted(blocks)):
+        assert np.abs(np.cumsum(at[:ends] == k) - np.arange(1, ends + 1) * (weights[s] / total)).max() < 1 + 1e-6
+
+
+def test_emitted_rows_hold_the_share_they_state(spark):
+    n = {"a": 30_000, "b": 18_000, "c": 7_000, "d": 400}
+    df = spark.range(sum(n.values())).select(F.col("id").alias("doc_id"), F.lit("xxxxxxxxxx").alias("text"), F.expr("case when id < 30000 then 'a' when id < 48000 then 'b' when id < 55000 then 'c' else 'd' end").alias("source"))
+    rows = mixing.mix(df, block_chars=10, keep=["doc_id"]).select("slot", "source", "share").toPandas().sort_values("slot")
+    share = dict(zip(rows.source, rows.share))
+    assert rows.slot.tolist() == list(range(len(rows))) and abs(sum(share.values()) - 1) < 1e-12
+    assert all(abs(share[s] - n[s] ** 0.5 / sum(x**0.5 for x in n.values())) < 1e-12 for s in n)
+    ends = min(rows[rows.source == s].slot.max() for s in n) + 1
+    for s in n:
+        assert ((rows.source == s).cumsum()[:ends] - (rows.slot[:ends] + 1) * share[s]).abs().max() < 1
+
+
+def test_blocks_grow_with_the_corpus_and_shares_are_checked(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 4)
+    df = corpus(spark, {"a": [100_000] * 5, "b": [10] * 3})
+    assert mixing.mix(df).agg(F.max("block")).first()[0] < 4 < mixing.mix(df, block_chars=16_384).agg(F.max("block")).first()[0]
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"a": 0, "b": 1})
+
+
 def test_edges(spark):
     rows = [(1, None, None), (1, None, None), (None, "", "a"), (3, "x" * 200_000, "a"), (4, "y", "b")]
     df = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("c") for c in ("slot", "node", "share", "up", "block", "place", "row", "size", "h", "bucket", "first", "last")})

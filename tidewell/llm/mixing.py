@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents, in a hashed order, are packed into blocks of ``BLOCK_CHARS`` characters. With integer shares n of
-T = sum(n), block j of a source may run from slot floor(j*T/n) on and must run before slot ceil((j+1)*T/n); earliest
-deadline first then keeps every source within one block of its share at every slot (Pfair). The schedule repeats after T
-slots, so a phase is a table of T entries, whatever the corpus holds. When a source runs out, the next phase
-goes on with the other sources' shares; no document is dropped or repeated.
+A source's documents, in a hashed order, are packed into blocks of ``block_chars`` characters. With the target weight w, block j of a
+source may run from slot floor(j/w) on and must run before slot ceil((j+1)/w); earliest deadline first then keeps every source
+within one block of its weight at every slot (Pfair). Weights are taken as they are: floats are fractions, and the windows are computed
+in whole numbers, so nothing drifts however long the mix is. When a source runs out, the next phase goes on with the
+other sources' weights; no document is dropped or repeated.
+
+A schedule is one pass over its blocks with a heap, some 3 microseconds a block, in a Spark task. Blocks have BLOCK_CHARS characters,
+or, where that would make more than MOST_BLOCKS of them, twice, four times ... as many, so the pass is bounded whatever the corpus holds.
 
 Up to ``FAN`` sources make one schedule. More are dealt into groups, each with a schedule of its own over the slots that the
-groups' schedule gives it, and so on upwards; each level adds less than one block to the deviation. Schedules are computed
-group by group in Spark tasks.
+groups' schedule gives it, and so on upwards; each level adds less than one block to the deviation.
 
 Slots count whole blocks. A document belongs to the slot in which it begins, so where documents are longer than a block, the
 characters emitted so far may also differ by what the last document of a source has beyond its block: the bound on characters is
@@ -21,7 +23,6 @@ spread over all tasks.
 from __future__ import annotations
 
 import heapq
-import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -29,76 +30,74 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BLOCK_CHARS, DENOMINATOR, TEMPERATURE = 16_384, 1000, 0.5
-#: Sources in one schedule; beyond that they are dealt into groups of about half as many. Integer shares are taken as they are
-#: up to a period of LONGEST slots.
-FAN, LONGEST = 256, 20_000
-#: Blocks of one source that meet the schedule in one task, where that is too large for a broadcast.
+BLOCK_CHARS, MOST_BLOCKS, TEMPERATURE = 16_384, 1 << 22, 0.5
+#: Sources in one schedule; beyond that they are dealt into groups of about half as many.
+FAN = 256
+#: Blocks of one source in a row of the schedule.
 CHUNK = 4096
 
 
-def period(shares: dict[str, int]) -> dict[str, list[int]]:
-    """For each source the slots of its blocks in one period, earliest deadline first among the released blocks."""
-    total = sum(shares.values())
-    order = sorted(shares)
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights: a float is a fraction with a power of two below."""
+    ratio = {s: float(w).as_integer_ratio() for s, w in weights.items()}
+    below = max((d for _, d in ratio.values()), default=1)
+    return {s: n * (below // d) for s, (n, d) in ratio.items()}
+
+
+def edf(shares: dict[str, int], blocks: dict[str, int]) -> tuple[dict[str, list[int]], int]:
+    """For each source the slots of its blocks, earliest deadline first among the released ones, up to the slot in which the first
+    source runs out of blocks; and how many slots that are."""
+    total, order = sum(shares.values()), sorted(shares)
     waiting = [(0, k, 0) for k in range(len(order))]  # release, source, block
-    heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    slots: dict[str, list[int]] = {s: [] for s in order}
-    for slot in range(total):
+    slots: list[list[int]] = [[] for _ in order]
+    share, most, slot = [shares[s] for s in order], [blocks[s] for s in order], 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * total // shares[order[k]]), k, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // share[k]), k, j))
         _, k, j = heapq.heappop(ready)
-        slots[order[k]].append(slot)
-        if j + 1 < shares[order[k]]:
-            heapq.heappush(waiting, ((j + 1) * total // shares[order[k]], k, j + 1))
-    return slots
+        slots[k].append(slot)
+        slot += 1
+        if j + 1 == most[k]:
+            return dict(zip(order, slots)), slot
+        heapq.heappush(waiting, ((j + 1) * total // share[k], k, j + 1))
+
+
+def period(shares: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of one period of integer shares: as many as their sum."""
+    total = sum(shares.values())
+    slots, _ = edf(shares, {s: 2 * n + 2 for s, n in shares.items()})
+    return {s: [x for x in at if x < total] for s, at in slots.items()}
 
 
 def schedule(blocks: dict[str, int], shares: dict[str, int]) -> list[tuple[str, int, int, int, int, list[int]]]:
-    """(source, first block, end block, first slot, period, slots in a period) for every phase of every source."""
+    """(source, first block, end block, first slot, slots spanned, slots of the blocks from the first slot on) of every source, phase by
+    phase, in rows that do not go beyond a multiple of CHUNK blocks."""
     left, done, out, now = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), [], 0
     while left:
-        g = math.gcd(*(shares[s] for s in left))
-        active = {s: shares[s] // g for s in left}
-        total, slots = sum(active.values()), period(active)
-        last = min((left[s] - 1) // active[s] * total + slots[s][(left[s] - 1) % active[s]] for s in left) + 1
-        for s in list(left):
-            ran = last // total * active[s] + sum(p < last % total for p in slots[s])
-            if ran:
-                out.append((s, done[s], done[s] + ran, now, total, slots[s]))
-            done[s] += ran
-            left[s] -= ran
+        slots, ran = edf({s: shares[s] for s in left}, left)
+        for s, at in slots.items():
+            cuts = sorted({0, len(at), *range(-done[s] % CHUNK, len(at), CHUNK)})
+            out += [(s, done[s] + a, done[s] + b, now + at[a], at[b - 1] - at[a] + 1, [x - at[a] for x in at[a:b]]) for a, b in zip(cuts, cuts[1:])]
+            done[s] += len(at)
+            left[s] -= len(at)
             if not left[s]:
                 del left[s]
-        now += last
+        now += ran
     return out
 
 
-def tempered(totals: dict[str, float], temperature: float = TEMPERATURE, denominator: int = DENOMINATOR) -> dict[str, int]:
-    """Integer shares proportional to total^temperature, at least 1 each, by largest remainder."""
-    weight = {s: max(t, 1e-9) ** temperature for s, t in totals.items()}
-    exact = {s: w * denominator / sum(weight.values()) for s, w in weight.items()}
-    shares = {s: max(1, int(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, denominator - sum(shares.values()))]:
-        shares[s] += 1
-    return shares
-
-
-SCHEDULE = "node string, share double, up string, first bigint, last bigint, slot0 bigint, period bigint, slots array<int>"
+SCHEDULE = "node string, share double, up string, first bigint, last bigint, slot0 bigint, span bigint, slots array<int>"
 
 
 def _schedule_group(rows):
     """The schedule of one group of nodes (node, share, up, blocks, weight)."""
     import pandas as pd
 
-    weights, blocks = dict(zip(rows["node"], rows["weight"])), {n: int(b) for n, b in zip(rows["node"], rows["blocks"])}
     beside = {n: (s, u) for n, s, u in zip(rows["node"], rows["share"], rows["up"])}
-    whole = all(float(w).is_integer() and w >= 1 for w in weights.values()) and sum(weights.values()) <= LONGEST
-    shares = {n: int(w) for n, w in weights.items()} if whole else tempered(weights, 1.0, max(DENOMINATOR, 8 * len(weights)))
-    out = [(n, *beside[n], *x) for n, *x in schedule(blocks, shares)]
-    return pd.DataFrame(out, columns=["node", "share", "up", "first", "last", "slot0", "period", "slots"])
+    found = schedule({n: int(b) for n, b in zip(rows["node"], rows["blocks"])}, exact(dict(zip(rows["node"], rows["weight"]))))
+    return pd.DataFrame([(n, *beside[n], *x) for n, *x in found], columns=["node", "share", "up", "first", "last", "slot0", "span", "slots"])
 
 
 def schedules(sources: DataFrame, fan: int = FAN) -> list[DataFrame]:
@@ -119,22 +118,18 @@ def _timed(rows: DataFrame, table: DataFrame, node: str, block: str) -> DataFram
     """rows with the slot of their block, and the group that the slots are those of. The table is broadcast while its arrays have at
     most MAX_BROADCAST_BYTES / 4 bytes; else both sides are joined by node and chunk of blocks, so that a large source is spread."""
     size = table.agg(F.sum(F.size("slots") * 4 + 100)).first()[0] or 0
-    table = table.withColumnsRenamed({"node": "s_node"})
-    mine = (F.col(block) >= F.col("first")) & (F.col(block) < F.col("last"))
+    table = table.withColumns({"s_node": F.col("node"), "s_chunk": F.floor(F.col("first") / CHUNK)}).drop("node")
     if size <= shared.MAX_BROADCAST_BYTES // 4:
-        met = rows.join(F.broadcast(table), (F.col(node) == F.col("s_node")) & mine)
-    else:
-        chunks = table.withColumn("s_chunk", F.explode(F.sequence(F.floor(F.col("first") / CHUNK), F.floor((F.col("last") - 1) / CHUNK))))
-        met = rows.join(chunks, (F.col(node) == F.col("s_node")) & (F.floor(F.col(block) / CHUNK) == F.col("s_chunk")) & mine)
-    step = F.col(block) - F.col("first")
-    slot = F.col("slot0") + F.floor(step / F.size("slots")) * F.col("period") + F.get("slots", (step % F.size("slots")).cast("int"))
-    return met.withColumn("slot", slot)
+        table = F.broadcast(table)
+    mine = (F.col(block) >= F.col("first")) & (F.col(block) < F.col("last"))
+    met = rows.join(table, (F.col(node) == F.col("s_node")) & (F.floor(F.col(block) / CHUNK) == F.col("s_chunk")) & mine)
+    return met.withColumn("slot", F.col("slot0") + F.get("slots", (F.col(block) - F.col("first")).cast("int")))
 
 
-def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None, fan: int = FAN) -> DataFrame:
+def mix(docs: DataFrame, shares: dict[str, float] | None = None, block_chars: int | None = None, keep: list[str] | None = None, fan: int = FAN) -> DataFrame:
     """``row`` (all columns of docs, or those of ``keep``), ``source``, ``share`` (target, of 1), ``block``, ``slot`` and ``place``: rows in
-    order of (slot, place) are the mix. ``shares``: integers; without it they follow the characters of a source to the power
-    TEMPERATURE.
+    order of (slot, place) are the mix. ``shares``: numbers above 0, of any size; without it they follow the characters of a source to
+    the power TEMPERATURE. ``block_chars``: see above; a given size is kept.
 
     A null source is the source ''; a null or empty text takes one character; rows given twice are two documents; an empty
     table gives an empty mix. A long text stays whole, in the slot where it begins. A source without a share in ``shares``
@@ -146,10 +141,16 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int
     light = rows.drop("row")
     sources = shared.stored(light.groupBy(F.col("source").alias("node")).agg(F.sum("size").alias("chars"), F.count("*").alias("n")), "sources")
     if shares:
-        given = spark.createDataFrame(list(shares.items()), "node string, given bigint")
-        weighted = sources.join(given, "node", "left").withColumn("weight", F.coalesce("given", F.lit(1)).cast("double"))
+        if not all(0 < x < float("inf") for x in shares.values()):
+            raise ValueError("shares are numbers above 0")
+        given = spark.createDataFrame([(s, float(x)) for s, x in shares.items()], "node string, given double")
+        weighted = sources.join(given, "node", "left").withColumn("weight", F.coalesce("given", F.lit(1.0)))
     else:
         weighted = sources.withColumn("weight", F.pow(F.col("chars").cast("double"), F.lit(TEMPERATURE)))
+    if block_chars is None:
+        block_chars, chars = BLOCK_CHARS, sources.agg(F.sum("chars")).first()[0] or 0
+        while chars > block_chars * MOST_BLOCKS:
+            block_chars *= 2
     weighted = shared.stored(weighted.select("node", "weight", "n", F.ceil(F.col("chars") / F.lit(block_chars)).alias("blocks")), "weights")
     total, n_rows = weighted.agg(F.sum("weight"), F.sum("n")).first()
     levels = schedules(weighted.withColumn("share", F.col("weight") / F.lit(total or 1.0)), fan)
@@ -170,7 +171,7 @@ def mix(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int
     return at.select("row", "source", "share", "block", "slot", "place")
 
 
-def mixed(docs: DataFrame, shares: dict[str, int] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def mixed(docs: DataFrame, shares: dict[str, float] | None = None, block_chars: int | None = None) -> DataFrame:
     """The rows of docs in the order of the mix (range-partitioned, sorted inside: files read in order are the mix)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = mix(docs, shares, block_chars).select("row", "slot", "place")
