@@ -135,14 +135,33 @@ def currency(c: Column) -> Column:
     return F.when(up.rlike(r"CAD|CA\$"), "CAD").when(up.rlike("GBP|£"), "GBP").when(up.rlike("EUR|€"), "EUR").otherwise("USD")
 
 
+#: One of these, in lower case, and a digit stand in every text that names pay: they spare most texts the patterns.
+PAY_MARKS = ("$", "£", "€", "usd", "cad", "gbp", "eur", "dollar", "pay", "salary", "compensation", "starting", "up", "wage", "hourly", "annual")
+
+
 def pay(c: Column | str) -> Column:
     """struct(low, high, text, period, currency, source): the first pay named in a text, nulls and blanks if none is plausible."""
-    value = T.squash(c)
+    once = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))  # noqa: E731  a lambda would evaluate x anew wherever it stands
+    none = _pay_struct(F.lit(None), F.lit(None), F.lit(""), F.lit("unknown"), F.lit("USD"), F.lit(""))
+    marked = T.blank(c).rlike("[0-9]") & once(F.lower(T.blank(c)), lambda low: T.contains_any(low, PAY_MARKS))
+    return F.when(marked, once(T.squash(c), lambda value: once(_pay_found(value), lambda f: _pay_of(value, f)))).otherwise(none)
+
+
+def _pay_struct(*fields: Column) -> Column:
+    names, kinds = ("low", "high", "text", "period", "currency", "source"), ("bigint", "bigint", "string", "string", "string", "string")
+    return F.struct(*(f.cast(k).alias(n) for f, n, k in zip(fields, names, kinds)))
+
+
+def _pay_found(value: Column) -> Column:
     named, signed = F.regexp_extract(value, PAY_NAMED, 0), F.regexp_extract(value, PAY_SIGNED, 0)
     raw = F.when(named != "", named).otherwise(signed)
-    shown = F.btrim(T.squash(raw), F.lit(" .;,"))
+    return F.struct(raw.alias("raw"), F.btrim(raw, F.lit(" .;,")).alias("shown"), (named != "").alias("by_name"))
+
+
+def _pay_of(value: Column, f: Column) -> Column:
+    raw, shown, by_name = (f.getField(x) for x in ("raw", "shown", "by_name"))
     amounts = pay_numbers(shown)
-    per, top, by_name = pay_period(shown), F.array_max(amounts), named != ""
+    per, top = pay_period(shown), F.array_max(amounts)
     signless = ~shown.rlike(f"(?i){_SIGN}")
     after = F.substring(value, F.position(raw, value) + F.length(raw), F.lit(24))
     refused = (
@@ -151,9 +170,9 @@ def pay(c: Column | str) -> Column:
     )
     ok = (raw != "") & (F.size(amounts) > 0) & ~F.coalesce(refused, F.lit(False))
     two = F.size(amounts) >= 2
-    return F.struct(
-        F.when(ok, F.when(two, F.array_min(amounts)).otherwise(F.get(amounts, F.lit(0)))).alias("low"), F.when(ok & two, top).alias("high"), F.when(ok, shown).otherwise("").alias("text"),
-        F.when(ok, per).otherwise("unknown").alias("period"), F.when(ok, currency(shown)).otherwise("USD").alias("currency"), F.when(ok, F.when(by_name, "context").otherwise("currency")).otherwise("").alias("source"),
+    return _pay_struct(
+        F.when(ok, F.when(two, F.array_min(amounts)).otherwise(F.get(amounts, F.lit(0)))), F.when(ok & two, top), F.when(ok, shown).otherwise(""),
+        F.when(ok, per).otherwise("unknown"), F.when(ok, currency(shown)).otherwise("USD"), F.when(ok, F.when(by_name, "context").otherwise("currency")).otherwise(""),
     )
 
 

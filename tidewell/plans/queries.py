@@ -17,7 +17,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..functions import timefn as X
 from ..functions import url as U
-from ..operators import diff, merge, paging
+from ..operators import diff, keywords, merge, paging
 from ..operators import discovery as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -452,8 +452,18 @@ def _resume(spark, sf):
 @query(_match_sql())
 def resume_match_score(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), F.expr("substring(text, 81)").alias("body"))
-    one = F.broadcast(_resume(spark, sf).select(T.match_text("resume").alias("resume")))  # one row
-    return d.join(one, F.lit(True), "left").select("doc_id", R.match(F.col("resume"), "title", "body", F.lit("")).alias("m")).select("doc_id", "m.score", F.size("m.matched").cast("bigint").alias("matched"), "m.label")
+    found = keywords.score_postings(d, _resume(spark, sf).withColumn("resume_id", F.lit("current")), keep=["doc_id"])
+    return found.select("row.doc_id", F.col("score").cast("bigint").alias("score"), F.size("matched").cast("bigint").alias("matched"), "label")
+
+
+@query("""WITH k AS (SELECT DISTINCT k FROM (SELECT unnest(string_split(lower(text), ' ')) AS k FROM benchmark) WHERE length(k) >= 6),
+f AS (SELECT doc_id, string_agg(k, ' ' ORDER BY k) AS found, count(*) AS n_found FROM documents JOIN k ON contains(text, k) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_found, 0) AS n_found, md5(coalesce(found, '')) AS found_md5 FROM documents LEFT JOIN f USING (doc_id)""")
+def keyword_containment(spark, sf):
+    """Which of some thousand keywords stand anywhere in a text: one pass, however many there are."""
+    known = t(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("keyword")).where(F.length("keyword") >= 6)
+    found = keywords.contained(t(spark, sf, "documents").select("doc_id", "text"), F.col("text"), known)
+    return found.select("row.doc_id", F.size("found").cast("bigint").alias("n_found"), F.md5(F.array_join("found", " ")).alias("found_md5"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Not Matched' WHEN doc_id % 4 = 1 OR doc_id % 10 = 3 THEN 'Needs Rematch' WHEN doc_id % 3 = 0 THEN 'Match Failed' ELSE 'Matched' END AS status FROM documents")
