@@ -5,11 +5,13 @@ Scores are arithmetic over named signals; picks are aggregates by (score, earlie
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import url as U
+from . import scans
 
 # ---- Fixed values ----
 FINANCE = ("bank", "banking", "credit union", "federal credit union", "checking", "savings", "loans", "mortgage", "routing number", "ncua", "fdic", "online banking")
@@ -91,17 +93,72 @@ def best_board(candidates: DataFrame, key: str, stage: str, order: str) -> DataF
 
 def best_website(candidates: DataFrame, key: str, order: str) -> DataFrame:
     """One site a company: in order, a candidate takes over if its confidence ranks higher or its score is higher; a verified
-    High ends the search. "Or" makes this depend on the order, so it is a reduce over the company's few candidates."""
+    High ends the search. "Or" makes this depend on the order: a company's few candidates are folded as one array. A company with very
+    many is cut into segments, of which each is summed up as a table - for whatever leads before it, who leads behind it - and
+    only these are folded. ``order``: a number or time.
+    """
     rank = F.when(F.col("confidence") == "High", 3).when(F.col("confidence") == "Medium", 2).when(F.col("confidence") == "Low", 1).otherwise(0)
-    row = F.struct(F.col(order).alias("o"), rank.alias("rank"), "score", "url", "confidence", "verified")
-    rows = candidates.where("confidence <> 'None' OR score > 0").groupBy(key).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    kept = candidates.where("confidence <> 'None' OR score > 0").select(F.col(key).alias("_key"), F.col(order).alias("o"), rank.alias("rank"), "score", "url", "confidence", "verified")
+    kept, hot = scans.segmented(kept, "_key", "o")
+    few = kept.where("not _hot").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(*SITE))).alias("rows"))
 
     def step(best: Column, x: Column) -> Column:
         done = (best.getField("confidence") == "High") & best.getField("verified")
         better = (x.getField("rank") > best.getField("rank")) | (x.getField("score") > best.getField("score"))
         return F.when(~done & better, x).otherwise(best)
 
-    return rows.select(key, F.aggregate(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), F.get("rows", F.lit(0)), step).alias("b")).select(key, "b.url", "b.score", "b.confidence", "b.verified")
+    out = few.select("_key", F.aggregate(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), F.get("rows", F.lit(0)), step).alias("b"))
+    if hot:
+        row = kept.select(F.struct(*SITE).alias("row")).schema["row"].dataType.simpleString()
+        name = kept.schema["_key"].dataType.simpleString()
+        tables = kept.where("_hot").groupBy("_key", "_seg").applyInArrow(_site_segment, f"_key {name}, _seg int, first {row}, by_rank array<struct<at:bigint,row:{row}>>, by_score array<struct<at:bigint,score:double,row:{row}>>")
+        out = out.unionByName(tables.groupBy("_key").applyInArrow(_site_chain, f"_key {name}, b {row}"))
+    return out.select(F.col("_key").alias(key), "b.url", "b.score", "b.confidence", "b.verified")
+
+
+SITE = ("o", "rank", "score", "url", "confidence", "verified")
+
+
+def _site_segment(table: pa.Table) -> pa.Table:
+    """One segment as a table: who leads behind it if its first row leads at its start (first), if the leader before has rank r (by_rank[r]: from the
+    first row of a higher rank on), or a score below a record of the segment (by_score: from that record on)."""
+    rows = sorted(table.select(SITE).to_pylist(), key=lambda x: tuple(x[c] for c in SITE))
+    end, later, higher = [0] * len(rows), [len(rows)] * 4, []  # later[r]: the nearest row behind with a rank over r; higher: behind, ever larger scores
+    for i in range(len(rows) - 1, -1, -1):
+        x = rows[i]
+        while higher and rows[higher[-1]]["score"] <= x["score"]:
+            higher.pop()
+        follows = min(later[x["rank"]], higher[-1] if higher else len(rows))
+        end[i] = i if follows == len(rows) or x["confidence"] == "High" and x["verified"] else end[follows]
+        higher.append(i)
+        later = [i if x["rank"] > r else later[r] for r in range(4)]
+    by_rank = [{"at": at, "row": rows[end[at]] if at < len(rows) else None} for at in later]
+    by_score = [{"at": i, "score": float(rows[i]["score"]), "row": rows[end[i]]} for i in _records(rows)]
+    of = {"_key": [table["_key"][0].as_py()], "_seg": [table["_seg"][0].as_py()], "first": [rows[end[0]]], "by_rank": [by_rank], "by_score": [by_score]}
+    site = pa.struct([table.schema.field(c) for c in SITE])
+    kinds = (table.schema.field("_key").type, pa.int32(), site, pa.list_(pa.struct([("at", pa.int64()), ("row", site)])), pa.list_(pa.struct([("at", pa.int64()), ("score", pa.float64()), ("row", site)])))
+    return pa.table([pa.array(v, t) for v, t in zip(of.values(), kinds)], names=list(of))
+
+
+def _records(rows: list[dict]) -> list[int]:
+    """The rows with a higher score than all before them."""
+    out: list[int] = []
+    for i, x in enumerate(rows):
+        if not out or x["score"] > rows[out[-1]]["score"]:
+            out.append(i)
+    return out
+
+
+def _site_chain(table: pa.Table) -> pa.Table:
+    """The segments of one company, folded."""
+    best = None
+    for seg in sorted(table.to_pylist(), key=lambda s: s["_seg"]):
+        if best is None:
+            best = seg["first"]
+        elif not (best["confidence"] == "High" and best["verified"]):
+            ways = [x for x in (seg["by_rank"][best["rank"]], next((x for x in seg["by_score"] if x["score"] > best["score"]), None)) if x and x["row"]]
+            best = min(ways, key=lambda x: x["at"])["row"] if ways else best
+    return pa.table([pa.array([table["_key"][0].as_py()], table.schema.field("_key").type), pa.array([best], table.schema.field("first").type)], names=["_key", "b"])
 
 
 def rank_hits(hits: DataFrame, company: str = "company_id", most: int = 8, per_phrase: int = 4) -> DataFrame:

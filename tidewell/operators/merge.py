@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.url import domain_key
+from . import scans
 
 
 def _others(df: DataFrame, *out: str) -> list[str]:
@@ -151,26 +152,31 @@ def fold_companies(df: DataFrame, order: str) -> DataFrame:
     """One row a company, folded in order: of two rows the one with more (board, careers, site, confidence, checked) leads - the
     earlier if equal - and its blanks are filled from the other; notes are joined, confidence is the higher.
 
-    The fold depends on its order, since a filled blank raises the score of what is compared next: so it is one reduce over the
-    key's ordered rows. A company has few rows; only these columns are gathered.
+    The fold depends on its order, since a filled blank raises the score of what is compared next, but all that it compares with are running
+    values: which of the three links any earlier row had, their highest confidence, and the date of the leader, which is a running maximum
+    since the last row that led by links or confidence (or brought the first date). So each row can tell whether it took the lead, and
+    a field is that of the last leader that has it, else of the first row that has it. No key is gathered; a hot one is cut into segments. ``order``: a number or time.
     """
-    row = F.struct(*(T.blank(c).alias(c) for c in COMPANY_COLUMNS), F.coalesce("confidence", F.lit(0)).cast("int").alias("confidence"), T.blank("notes").alias("notes"))
-    rows = df.groupBy(company_key().alias("key")).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))).alias("rows"))
-
-    def quality(x: Column) -> Column:
-        has = lambda c: (x.getField(c) != "").cast("int")
-        return F.struct(has("job_board_url").alias("a"), has("careers_page_url").alias("b"), has("official_website").alias("c"), x.getField("confidence").alias("d"), x.getField("last_checked").alias("e"))
-
-    def step(acc: Column, x: Column) -> Column:
-        right = x.getField("r")
-        takes = quality(right) > quality(acc)
-        pick = lambda c: F.when(F.when(takes, right.getField(c)).otherwise(acc.getField(c)) != "", F.when(takes, right.getField(c)).otherwise(acc.getField(c))).otherwise(F.when(takes, acc.getField(c)).otherwise(right.getField(c)))
-        notes = F.array_join(F.array_distinct(F.filter(F.transform(F.concat(F.split(acc.getField("notes"), ";"), F.split(right.getField("notes"), ";")), lambda n: F.trim(n)), lambda n: n != "")), "; ")
-        return F.struct(*(pick(c).alias(c) for c in COMPANY_COLUMNS), F.greatest(acc.getField("confidence"), right.getField("confidence")).alias("confidence"), notes.alias("notes"))
-
-    first = F.get("rows", F.lit(0)).getField("r")
-    folded = F.aggregate(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0))), first, step)
-    return rows.select("key", folded.alias("f"), F.size("rows").alias("n_rows")).select("key", "f.*", "n_rows")
+    text = [T.blank(c).alias(c) for c in COMPANY_COLUMNS]
+    links = 4 * (F.col("job_board_url") != "").cast("int") + 2 * (F.col("careers_page_url") != "").cast("int") + (F.col("official_website") != "").cast("int")
+    rows = df.select(company_key().alias("key"), F.col(order).alias("o"), *text, F.coalesce("confidence", F.lit(0)).cast("int").alias("confidence"), T.blank("notes").alias("notes")).withColumn("links", links)
+    rows, hot = scans.segmented(rows, "key", "o")
+    by = ["o", *COMPANY_COLUMNS, "confidence", "notes"]
+    dated, date = F.col("last_checked") != "", F.col("last_checked")
+    rows = scans.before(rows, ["key"], by, hot, n=("sum", F.lit(1)), had=("bit_or", F.col("links")), best=("max", F.col("confidence")), dates=("sum", dated.cast("int")))
+    even = (F.col("links") == F.col("had")) & (F.col("n") > 0)
+    leads = (F.col("n") == 0) | (F.col("links") > F.col("had")) | even & (F.col("confidence") > F.col("best"))
+    rows = rows.withColumns({"leads": leads, "even": even & (F.col("confidence") == F.col("best")), "fresh": dated & (leads | (F.col("dates") == 0))})
+    rows = scans.before(rows, ["key"], by, hot, run=("sum", F.col("fresh").cast("int"))).withColumn("run", F.col("run") + F.col("fresh").cast("int"))
+    rows = scans.before(rows, ["key", "run"], by, hot, led=("max", F.when(F.col("fresh") | F.col("even"), date)))
+    rows = rows.withColumn("leads", F.col("leads") | F.col("even") & (date > F.coalesce("led", F.lit(""))))
+    at = F.struct(*by)
+    last = lambda c: F.max_by(c, F.when(F.col("leads") & (F.col(c) != ""), at))  # noqa: E731  null order: no candidate
+    first = lambda c: F.min_by(c, F.when(F.col(c) != "", at))
+    folded = rows.groupBy("key").agg(*(F.coalesce(last(c), first(c), F.lit("")).alias(c) for c in COMPANY_COLUMNS), F.max("confidence").alias("confidence"), F.min("notes").alias("alone"), F.count("*").cast("int").alias("n_rows"))
+    said = rows.where("notes <> ''").select("key", "o", F.posexplode(F.transform(F.split("notes", ";"), lambda x: F.trim(x))).alias("k", "note"), F.struct(*by).alias("at")).where("note <> ''")
+    notes = said.groupBy("key", "note").agg(F.min(F.struct("at", "k")).alias("at")).groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note"))), lambda x: x.getField("note")), "; ").alias("notes"))
+    return folded.join(notes, "key", "left").select("key", *COMPANY_COLUMNS, "confidence", F.when(F.col("n_rows") == 1, F.col("alone")).otherwise(F.coalesce("notes", F.lit(""))).alias("notes"), "n_rows")
 
 
 def ranked_fill(df: DataFrame, key: str, fields: list[str], id_col: str) -> DataFrame:

@@ -205,16 +205,27 @@ def resolve_by_id_or_last_name(spark, sf):
     return merge.resolve_last(c, "ref", "c_name", s.withColumn("id", F.col("id").cast("string")).withColumn("ord", F.col("id").cast("bigint")), "ord").select("c_custkey", "resolved_id")
 
 
-@query()
+_FOLD_PICKS = ", ".join(f"CASE WHEN CASE WHEN t THEN r.{c} ELSE f.{c} END <> '' THEN CASE WHEN t THEN r.{c} ELSE f.{c} END WHEN t THEN f.{c} ELSE r.{c} END" for c in merge.COMPANY_COLUMNS)
+_FOLD_NOTES = "array_to_string(list_filter(list_filter(list_transform(string_split(f.notes || ';' || r.notes, ';'), lambda x: trim(x)), lambda x: x <> ''), lambda x, i: list_position(list_filter(list_transform(string_split(f.notes || ';' || r.notes, ';'), lambda x: trim(x)), lambda x: x <> ''), x) = i), '; ')"
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS company_id, 'Company ' || (c_custkey % 97) AS company_name, '' AS city, CAST(c_custkey % 4 AS VARCHAR) AS state,
+ CASE WHEN c_custkey % 3 = 0 THEN 'https://www.site' || (c_custkey % 97) || '.example' ELSE '' END AS official_website, CASE WHEN c_custkey % 5 = 0 THEN 'https://careers.example' ELSE '' END AS careers_page_url,
+ CASE WHEN c_custkey % 7 = 0 THEN 'https://jobs.example' ELSE '' END AS job_board_url, CASE WHEN c_custkey % 11 < 4 THEN '2024-0' || (c_custkey % 11 % 4 + 1) ELSE '' END AS last_checked, CAST(c_custkey % 90 // 30 AS INTEGER) AS confidence, 'note ' || (c_custkey % 3) AS notes FROM customer),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY k) AS i FROM (SELECT *, CASE WHEN official_website <> '' THEN 'domain:site' || (k % 97) || '.example' ELSE 'name-state:company-' || (k % 97) || ':' || state END AS key FROM s)),
+f AS (SELECT key, i, {", ".join(merge.COMPANY_COLUMNS)}, confidence, notes FROM r WHERE i = 1
+ UNION ALL SELECT f.key, r.i, {_FOLD_PICKS}, greatest(f.confidence, r.confidence), {_FOLD_NOTES}
+ FROM f JOIN r ON r.key = f.key AND r.i = f.i + 1, LATERAL (SELECT (r.job_board_url <> '', r.careers_page_url <> '', r.official_website <> '', r.confidence, r.last_checked) > (f.job_board_url <> '', f.careers_page_url <> '', f.official_website <> '', f.confidence, f.last_checked) AS t) x)
+SELECT key, {", ".join(merge.COMPANY_COLUMNS)}, confidence, notes, CAST(i AS INTEGER) AS n_rows FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1""")
 def company_identity_fold(spark, sf):
-    """Order-dependent, with a running score: no plain SQL; tests fold small cases by hand."""
+    """Order-dependent, with a running score: the SQL folds row by row."""
     c = t(spark, sf, "customer")
     some = lambda test, v: F.when(test, v).otherwise("")
     k = F.col("c_custkey")
     rows = c.select(
         k.alias("ord"), k.cast("string").alias("company_id"), F.concat(F.lit("Company "), (k % 97).cast("string")).alias("company_name"), F.lit("").alias("city"), (k % 4).cast("string").alias("state"),
         some(k % 3 == 0, F.concat(F.lit("https://www.site"), (k % 97).cast("string"), F.lit(".example"))).alias("official_website"), some(k % 5 == 0, "https://careers.example").alias("careers_page_url"), some(k % 7 == 0, "https://jobs.example").alias("job_board_url"),
-        F.lit("").alias("last_checked"), (k % 90).alias("confidence"), F.concat(F.lit("note "), (k % 3).cast("string")).alias("notes"),
+        some(k % 11 < 4, F.concat(F.lit("2024-0"), (k % 11 % 4 + 1).cast("string"))).alias("last_checked"), F.floor(k % 90 / 30).alias("confidence"), F.concat(F.lit("note "), (k % 3).cast("string")).alias("notes"),
     )
     return merge.fold_companies(rows, "ord")
 
