@@ -129,7 +129,8 @@ def confirm(pairs: DataFrame, n: int, active: DataFrame, texts: DataFrame) -> Da
     sent = F.broadcast if n <= MOST_SENT else (lambda df: df)
     side = lambda c: active.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
     both = side("b").join(sent(side("a").join(sent(pairs), "a")), "b")
-    likely = shared.stored(few(both.where((100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (estimate(F.col("odd_a"), F.col("odd_b")) >= SKETCH_FLOOR)).select("a", "b"), n), "likely")
+    # the sketches of all active nodes stream past the pairs, in as many tasks as they have
+    likely = shared.stored(both.where((100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b")) & (estimate(F.col("odd_a"), F.col("odd_b")) >= SKETCH_FLOOR)).select("a", "b"), "likely")
     text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")).join(sent(likely), c)
     return text("a").join(text("b"), ["a", "b"]).select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a bigint, b bigint")
 
@@ -211,13 +212,15 @@ def classes(docs: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("bigint"), shared.text_key().alias("tk"), F.col("text").cast("string"))
     sketches = shared.stored(source.mapInArrow(_sketch, SKETCHES), "sketches")
-    banded = sketches.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("band", "leader")
-    members = shared.stored(banded.join(buckets, "band").select("band", "leader", "node").distinct(), "members")
-    met = members.select("node").distinct()
-    one = sketches.where("node is not null").join(met, "node", "left_semi").groupBy("node").agg(F.min("tk").alias("tk"), F.first("n_shingles").alias("n_shingles"), F.first("odd").alias("odd"))
-    active = shared.stored(one, "active")
-    texts = shared.stored(source.join(active.select("tk", "node"), "tk").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # copies end here: one row a set, with the number of its rows
+    once = sketches.where("node is not null").groupBy("node").agg(F.min("tk").alias("tk"), F.first("n_shingles").alias("n_shingles"), F.first("odd").alias("odd"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+    nodes = shared.stored(once, "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    buckets = shared.stored(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = shared.stored(shared.join_spread(banded, buckets, ["band"], "n", F.col("node")), "members")
+    active = shared.stored(nodes.drop("bands").join(members.select("node").distinct(), "node", "left_semi"), "active")
+    met = shared.join_spread(source, active.select("tk", "node", "copies"), ["tk"], "copies", F.monotonically_increasing_id())
+    texts = shared.stored(met.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     links = label = None
     n = members.count()
@@ -252,9 +255,11 @@ def _classes(docs: DataFrame) -> DataFrame:
     if not found.isEmpty():
         label = shared.stored(components(links.union(found)), "labels")
 
-    rows = sketches.join(label, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("label"))
-    least = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    found = rows.join(least, "label", "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")))
+    light = sketches.select("doc_id", "n_shingles", "node")
+    labelled = shared.stored(label.join(active.select("node", "copies"), "node"), "labelled")
+    rows = shared.stored(shared.join_spread(light, labelled, ["node"], "copies", F.monotonically_increasing_id(), "left").withColumn("label", F.coalesce("label", "node")), "rows")
+    least = shared.stored(rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+    found = shared.join_spread(rows, least, ["label"], "n", F.monotonically_increasing_id(), "left").withColumn("component_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")))
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -118,7 +118,7 @@ KEYS_SPLIT, ROWS_A_KEY = 100_000, 2000
 
 
 def join_spread(left: DataFrame, right: DataFrame, key: list[str], copies: str, spread: Column, how: str = "inner") -> DataFrame:
-    """left joined with right, which has one row a key and, in ``copies``, the number of left's rows with that key.
+    """left joined with right, a stored table (it is read three times) with one row a key and, in ``copies``, the number of left's rows with that key.
 
     A hot key's rows are dealt over several tasks by a hash of ``spread``, and right's row is repeated for each of them. The
     list of hot keys is broadcast: it has at most KEYS_SPLIT rows, whatever the sizes.
