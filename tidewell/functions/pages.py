@@ -4,6 +4,7 @@ surroundings; every rule over them is a Column expression.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -191,21 +192,60 @@ def unrendered(html: Column | str, text: Column | str) -> Column:
     return T.contains_any(low, SHELL_MARKS) | (low.rlike(EMPTY_ROOT) & (scripts >= 2)) | ((scripts >= 3) & (F.length(T.squash(text)) < 400))
 
 
-def job_postings(flat: DataFrame) -> DataFrame:
-    """JobPosting items of a page's JSON-LD (page_id, item VARIANT), wherever they stand: at the top, in a list, in @graph, graph or itemListElement."""
-    docs = flat.select("page_id", F.explode("json_ld").alias("j")).select("page_id", F.try_parse_json("j").alias("v")).where("v is not null")
-    level = docs
-    found = docs.limit(0).select("page_id", F.col("v").alias("item"))
-    for _ in range(4):  # nesting of lists and graphs
-        kind = F.schema_of_variant("v")
-        types = F.coalesce(F.try_variant_get("v", "$['@type']", "string"), F.array_join(F.try_variant_get("v", "$['@type']", "array<string>"), ","), F.lit(""))
-        found = found.union(level.where(kind.startswith("OBJECT") & F.regexp_replace(types, " ", "").contains("JobPosting")).select("page_id", F.col("v").alias("item")))
-        inner = [F.try_variant_get("v", p, "array<variant>") for p in ("$", "$['@graph']", "$.graph", "$.itemListElement")]
-        one = F.try_variant_get("v", "$.item", "variant")
-        level = level.select("page_id", F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<variant>")) for x in inner), F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<variant>")))).alias("v"))
+#: Where JSON-LD keeps further items, and the type of those that are postings. Fixed values.
+NESTED, POSTING = ("@graph", "graph", "itemListElement", "item"), "jobposting"
+
+
+def posting_items(text: str | None) -> list[dict]:
+    """The JobPosting objects of one JSON-LD text in order, however deep lists, graphs and list items nest; none of a text that is no JSON."""
+    try:
+        todo, found = [json.loads(text or "")], []
+    except (ValueError, RecursionError):
+        return []
+    while todo:
+        value = todo.pop()
+        if isinstance(value, list):
+            todo += reversed(value)
+        elif isinstance(value, dict):
+            kinds = value.get("@type") or value.get("type") or []
+            if any(POSTING in str(k).replace(" ", "").lower() for k in (kinds if isinstance(kinds, list) else [kinds])):
+                found.append(value)
+            todo += [value[k] for k in reversed(NESTED) if k in value]
     return found
 
 
+def job_postings(flat: DataFrame) -> DataFrame:
+    """JobPosting items of a page's JSON-LD (page_id, item VARIANT), wherever they stand: at the top, in lists, graphs and list items of any depth."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, json.dumps(x)) for p, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in texts or () for x in posting_items(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], ["page_id", "item"])
+
+    items = flat.where(F.size("json_ld") > 0).select("page_id", "json_ld").mapInArrow(run, "page_id bigint, item string")
+    return items.select("page_id", F.try_parse_json("item").alias("item")).where("item is not null")
+
+
+def assigned_json(script: Column | str, assignment: str) -> Column:
+    """The JSON value (VARIANT) that follows the first match of ``assignment``, say ``window\\.pageData\\s*=\\s*``, whatever code comes after it.
+
+    Strings are taken whole, so that brackets and quotes in them do not count; the value ends where its first bracket is closed. Null if there is no
+    assignment, if the text breaks off before the end, or if what stands there is no JSON.
+    """
+    once = lambda x, body: F.get(F.transform(F.array(x), body), F.lit(0))
+    rest = F.regexp_extract(T.blank(script), f"(?s){assignment}(.*)", 1)
+    scalar = F.regexp_extract(rest, r'(?s)^(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|"(?:[^"\\]++|\\.)*+")', 1)
+    tokens = F.regexp_extract_all(rest, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"|[\[\]{}]|[^"\[\]{}]++'), F.lit(0))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = acc.getField("depth") + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
+        return F.when(acc.getField("done"), acc).otherwise(F.struct(depth.alias("depth"), (acc.getField("n") + 1).alias("n"), (depth <= 0).alias("done")))
+
+    scanned = once(tokens, lambda ts: once(F.aggregate(ts, state, step), lambda end: F.when(end.getField("done"), F.array_join(F.slice(ts, F.lit(1), end.getField("n")), ""))))
+    return F.try_parse_json(F.when(scalar != "", scalar).when(rest.rlike(r"^[\[{]"), scanned))
+
+
 def founded_year(c: Column | str) -> Column:
     return F.regexp_extract(T.squash(c), r"(?i)\b(?:founded|established|since|chartered)\s+(?:in\s+)?((?:18|19|20)\d{2})\b", 1).try_cast("int")
 
