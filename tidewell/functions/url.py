@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,11 @@ def in_domain(h: Column, domain: Column | str) -> Column:
     return (h != "") & ((h == d) | h.endswith(F.concat(F.lit("."), d)))
 
 
+def in_domains(h: Column, domains: Iterable[str]) -> Column:
+    """The host is one of the domains or below one: a single test, however many there are."""
+    return h.rlike(r"(?:^|\.)(?:" + "|".join(f"\\Q{d}\\E" for d in domains) + ")$")
+
+
 def _once(value: Column, body) -> Column:
     """Evaluate value once and use it several times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -98,10 +105,7 @@ def registered_domain(c: Column | str, suffixes: tuple[str, ...] = PUBLIC_SUFFIX
 def disallowed(c: Column | str) -> Column:
     """A document, a listing or review page, or a site that is never a company's own."""
     low, h = F.lower(blank(c)), host(c)
-    out = low.rlike(r"\.(pdf|doc|docx)$") | low.rlike("|".join(DISALLOWED_PARTS))
-    for d in DISALLOWED:
-        out = out | in_domain(h, d)
-    return out
+    return low.rlike(r"\.(pdf|doc|docx)$") | low.rlike("|".join(DISALLOWED_PARTS)) | in_domains(h, DISALLOWED)
 
 
 def matches_company(name: Column | str, url: Column | str) -> Column:

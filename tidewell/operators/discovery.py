@@ -67,10 +67,7 @@ def link_score(label: Column | str, href: Column | str) -> Column:
 
 def board_rejection(url: Column | str) -> Column:
     """Why a URL is no job board, the first reason that holds; ''."""
-    low, h = F.lower(T.blank(url)), U.host(url)
-    aggregator = F.lit(False)
-    for a in AGGREGATORS:
-        aggregator = aggregator | U.in_domain(h, a)
+    low, aggregator = F.lower(T.blank(url)), U.in_domains(U.host(url), AGGREGATORS)
     return F.when(low == "", "blank URL").when(~low.startswith("http"), "unsupported URL").when(aggregator, "job aggregator").when(T.contains_any(low, NOT_A_BOARD), "rejected URL term").when(U.disallowed(url) & (U.platform(url) == ""), "third-party site").otherwise("")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, records
+from . import cases, landed, records
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cases", "records"]
+__all__ = ["ORACLES", "QUERIES", "cases", "landed", "records"]
