@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import text as T
 from ..functions import timefn as X
+from . import scans
 from .paging import top_per_key
 
 ACTIVE = ("Queued", "Running", "Cancelling")
@@ -54,3 +56,65 @@ def import_plan(incoming: DataFrame, existing: DataFrame, key: str, original: st
     known = existing.select(key).distinct().withColumn("_known", F.lit(True))
     out = incoming.join(known, key, "left")
     return out.withColumn("action", F.when(F.col(key) != F.col(original), "update-id").when(F.col("_known"), "update").otherwise("create")).drop("_known")
+
+
+#: From each status (blank: not there yet) to those that may follow. A run that has ended stays ended.
+TRANSITIONS = {
+    "": ("Queued", "Running", "Skipped"), "Queued": ("Running", "Cancelling", "Cancelled", "Failed"), "Running": ("Running", "Cancelling", "Completed", "Failed", "Cancelled"),
+    "Cancelling": ("Cancelling", "Cancelled", "Completed", "Failed"), "Completed": (), "Failed": (), "Cancelled": (), "Skipped": (),
+}
+STATES = tuple(TRANSITIONS)
+
+
+def _moves() -> Column:
+    """Where an event leads: element state * len(STATES) + status is the next state, or -1."""
+    return F.array(*(F.lit(k if b in TRANSITIONS[a] else -1) for a in STATES for k, b in enumerate(STATES)))
+
+
+def fold_events(events: DataFrame, run: str, order: str, status: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """(run, status, last, n_events, refused): the state of every run after its ordered events, the ``fields`` of the last event that counted, and the
+    events that may not follow (order, from, to), which change nothing.
+
+    Unknown statuses are refused; events of equal order go by status and fields. A run with very many events is cut into segments: each is summed up as a map
+    from the state before to the state behind, the maps are chained, and the segments are folded from where they begin.
+    """
+    known = F.array(*map(F.lit, STATES))
+    rows = events.select(F.col(run).alias("run"), F.col(order).alias("o"), T.blank(status).alias("to"), F.struct(*fields).alias("f") if fields else F.struct(F.lit(None).alias("none")).alias("f"))
+    rows = rows.withColumn("s", F.coalesce(F.array_position(known, F.col("to")), F.lit(0)).cast("int") - 1)
+    rows, hot = scans.segmented(rows, "run", "o")
+    held = rows.groupBy("run", "_seg").agg(F.array_sort(F.collect_list(F.struct("o", "to", "f", "s"))).alias("rows"), F.max("_hot").alias("_hot"))
+    move = lambda state, x: F.when(x.getField("s") < 0, -1).otherwise(F.get(_moves(), state * len(STATES) + x.getField("s")))
+    if hot:
+        start = F.array(*(F.lit(k) for k in range(len(STATES))))
+        after = lambda state, x: F.when(move(state, x) >= 0, move(state, x)).otherwise(state)
+        maps = held.where("_hot").select("run", "_seg", F.aggregate("rows", start, lambda acc, x: F.transform(acc, lambda state: after(state, x))).alias("map"))
+        chain = maps.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("_seg", "map"))).alias("maps"))  # at most SEGMENTS
+        none = F.array().cast("array<struct<_seg:int,state:int>>")
+        step = lambda acc, m: F.struct(F.concat(acc.getField("at"), F.array(F.struct(m.getField("_seg").alias("_seg"), acc.getField("state").alias("state")))).alias("at"), F.get(m.getField("map"), acc.getField("state")).alias("state"))
+        begins = chain.select("run", F.explode(F.aggregate("maps", F.struct(none.alias("at"), F.lit(0).alias("state")), step, lambda acc: acc.getField("at"))).alias("b")).select("run", "b._seg", F.col("b.state").alias("begin"))
+        held = held.join(F.broadcast(begins), ["run", "_seg"], "left")
+    else:
+        held = held.withColumn("begin", F.lit(0))
+    kind = dict(rows.select("o", "f").dtypes)
+    first = F.struct(F.coalesce("begin", F.lit(0)).alias("state"), F.lit(None).cast(kind["f"]).alias("last"), F.lit(None).cast(kind["o"]).alias("at"), F.array().cast(f"array<struct<o:{kind['o']},from:string,to:string>>").alias("refused"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        refused = F.struct(x.getField("o").alias("o"), F.get(known, acc.getField("state")).alias("from"), x.getField("to").alias("to"))
+        taken = F.struct(move(acc.getField("state"), x).cast("int").alias("state"), x.getField("f").alias("last"), x.getField("o").alias("at"), acc.getField("refused").alias("refused"))
+        return F.when(move(acc.getField("state"), x) >= 0, taken).otherwise(F.struct(acc.getField("state").alias("state"), acc.getField("last").alias("last"), acc.getField("at").alias("at"), F.concat(acc.getField("refused"), F.array(refused)).alias("refused")))
+
+    done = held.select("run", "_seg", F.size("rows").alias("n"), F.aggregate("rows", first, fold).alias("e"))
+    out = done.groupBy("run").agg(
+        F.max_by("e.state", "_seg").alias("state"), F.max_by("e.last", F.when(F.col("e.at").isNotNull(), F.col("_seg"))).alias("last"), F.sum("n").alias("n_events"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_seg", "e.refused"))), lambda x: x.getField("refused"))).alias("refused"),
+    )
+    return out.select(F.col("run").alias(run), F.get(known, F.col("state")).alias("status"), *([F.col("last")] if fields else []), "n_events", "refused")
+
+
+def cancel_requests(runs: DataFrame, asked: DataFrame, run: str, message: str = "Stopping after the current item finishes.") -> DataFrame:
+    """The events (run, status, message) that cancelling writes: for queued and running runs alone, each once."""
+    return runs.join(asked.select(run).distinct(), run, "left_semi").where(F.col("status").isin("Queued", "Running")).select(run, F.lit("Cancelling").alias("status"), F.lit(message).alias("message"))
+
+
+def skipped(actions: DataFrame, action: str, reason: str, now: str) -> DataFrame:
+    """The runs (job_key, status, message, error, started_at, completed_at, runtime_seconds) that are written for actions not started, with why."""
+    return actions.select(F.col(action).alias("job_key"), F.lit("Skipped").alias("status"), F.col(reason).alias("message"), F.col(reason).alias("error"), F.lit(now).alias("started_at"), F.lit(now).alias("completed_at"), F.lit(0.0).alias("runtime_seconds"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pages as P
 from ..operators import company_info as C
-from ..operators import domains
+from ..operators import domains, runs
 from ..sources import cards, feeds
 from .queries import query, t
 
@@ -70,3 +70,18 @@ def company_refresh(spark, sf):
     evidence = row("official_website", k % 11 != 0, F.concat(F.lit("https://www.site"), k.cast("string"), F.lit(".com")), 1).unionByName(row("city", k % 13 != 0, F.lit("Rome"), 1)).unionByName(row("job_board_url", k % 2 == 0, F.lit("https://boards.greenhouse.io/acme"), 3))
     flags = {"accepted": F.lit(True), "lists_jobs": F.lit(False), "failed": F.lit(False)}
     return C.refresh(companies, evidence.withColumns(flags)).select("id", *(F.col(f"after.{c}").alias(c) for c in ("official_website", "city", "job_board_url", "job_platform", "website_verified", "search_status")), "outcome")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id % 300 AS run, event_id, (['Queued', 'Running', 'Running', 'Cancelling', 'Completed', 'Failed', 'Unknown', 'Skipped', 'Running', 'Cancelled'])[CAST(event_id * 7 % 10 AS INTEGER) + 1] AS s,
+ CAST(event_id % 100 AS INTEGER) AS progress, row_number() OVER (PARTITION BY user_id % 300 ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id % 300) AS n FROM events),
+f AS (SELECT DISTINCT run, n, CAST(0 AS BIGINT) AS i, '' AS status, CAST(NULL AS INTEGER) AS progress, CAST(0 AS BIGINT) AS refused FROM e
+ UNION ALL SELECT f.run, f.n, e.i, CASE WHEN ok THEN e.s ELSE f.status END, CASE WHEN ok THEN e.progress ELSE f.progress END, f.refused + CASE WHEN ok THEN 0 ELSE 1 END
+ FROM f JOIN e ON e.run = f.run AND e.i = f.i + 1, LATERAL (SELECT (f.status = '' AND e.s IN ('Queued', 'Running', 'Skipped')) OR (f.status = 'Queued' AND e.s IN ('Running', 'Cancelling', 'Cancelled', 'Failed'))
+  OR (f.status = 'Running' AND e.s IN ('Running', 'Cancelling', 'Completed', 'Failed', 'Cancelled')) OR (f.status = 'Cancelling' AND e.s IN ('Cancelling', 'Cancelled', 'Completed', 'Failed')) AS ok) x)
+SELECT run, status, progress, n AS n_events, refused AS n_refused FROM f WHERE i = n""")
+def run_states(spark, sf):
+    """Runs folded from their event log; what may not follow is refused."""
+    k = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, ("Queued", "Running", "Running", "Cancelling", "Completed", "Failed", "Unknown", "Skipped", "Running", "Cancelled"))), (k * 7 % 10 + 1).cast("int"))
+    log = t(spark, sf, "events").select((F.col("user_id") % 300).alias("run"), "event_id", status.alias("status"), (k % 100).cast("int").alias("progress"))
+    return runs.fold_events(log, "run", "event_id", "status", ("progress",)).select("run", "status", F.col("last.progress").alias("progress"), "n_events", F.size("refused").cast("bigint").alias("n_refused"))
