@@ -108,3 +108,45 @@ def test_key_is_of_the_session(spark):
 def test_what_stays(spark):
     texts = ["The Lancet. Mr. and Mrs. arrived", "version 1.2.3 of 2024-01-15", "mrs. smith"]
     assert list(replaced(spark, *texts).values()) == [(t, 0) for t in texts]
+
+
+def test_grammar_of_names(spark):
+    texts = [
+        "Contact Jane Miller, or Mary Jones at the desk. Robert Brown called.", "Mrs. O'Brien and Ms. McDonald met Mr. van Dyke. Mr. SMITH and Dr. J. R. Tolkin left.", "Mr. Tom Keller called.", "We met Tom Keller again, and Keller paid.",
+        "Yesterday Tom Keller said that Ulla Brandt agreed; Zoltan Kovacs wrote to Brandt.", "Tom Sawyer and The Keller Group stay. New York, Public License.",
+    ]
+    got = replaced(spark, *texts)
+    for k, names in enumerate(("Jane Miller Mary Jones Robert Brown", "O'Brien McDonald Dyke SMITH Tolkin", "Tom Keller", "Tom Keller", "Tom Keller Ulla Brandt Zoltan Kovacs")):
+        assert not [n for n in names.split() if re.search(rf"\b{n}\b", got[k][0])], got[k]
+    assert got[5] == (texts[5], 0) and got[1][0].count("van ") == 1 and re.search(r"Mr\. [A-Z]{5} and Dr\.", got[1][0])
+    one, two = re.match(r"Mr\. (\S+ \S+) called", got[2][0])[1], re.match(r"We met (\S+ \S+) again, and (\S+) paid", got[3][0])
+    assert one == two[1] and one.endswith(two[2]) and f"Yesterday {one} said" in got[4][0]  # one person in all texts
+    assert all(re.search("[aeiouy]", w.lower()) for w in one.split())
+
+
+def test_planted_names_outside_the_lists(spark):
+    import random
+
+    rng = random.Random(9)
+    syllables = ["ka", "ro", "mi", "ten", "vul", "sha", "bri", "don", "lex", "qui", "fe", "zor"]
+    name = lambda: "".join(rng.choices(syllables, k=rng.randrange(2, 4))).capitalize()
+    planted = [(name(), name()) for _ in range(600)]
+    frames = ["We saw Mr. {} {} there.", "Frau {} {} kam.", "The letter was signed {} {} in haste.", "Then {} {} called us back.", "Dear {} {}, thank you.", "In the end {} {} agreed to pay.", "Contact {} {} for more.", "Later {} {} wrote again."]
+    texts = [frames[k % len(frames)].format(*p) for k, p in enumerate(planted)]
+    known = {g for g in surrogates.FEMALE + surrogates.MALE}
+    got = replaced(spark, *texts)
+    gone = [not re.search(rf"\b{g} {s}\b", got[k][0]) for k, (g, s) in enumerate(planted)]
+    assert not known & {g for g, _ in planted} and sum(gone) / len(gone) >= 0.9
+    plain = ["".join(rng.choices(syllables, k=3)).capitalize() + " and so on. The end of it." for _ in range(50)]
+    assert all(n == 0 for _, n in replaced(spark, *plain).values())
+
+
+def test_account_numbers(spark):
+    def remainder(x):
+        x = x.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+    text, n = replaced(spark, "Pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, not DE88 3704 0044 0532 0130 00; AB12CDEF34567890")[0]
+    found = re.findall(r"(?:DE|GB)\d\d(?: ?[A-Z0-9]{4})+(?: ?[A-Z0-9]{1,3})?", text)
+    assert n == 2 and "DE88 3704 0044 0532 0130 00; AB12CDEF34567890" in text and "3704 0044 0532 0130 00 or" not in text and "WEST" not in text
+    assert [remainder(x) for x in found[:2]] == [1, 1] and re.match(r"DE\d\d( \d{4}){4} \d\d$", found[0]) and re.match(r"GB\d\d[A-Z]{4}\d{14}$", found[1])
