@@ -352,7 +352,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     Each chunk is read once; its CRC is shifted to its place in the document and the parts are XORed, so no document has
     to be put together in one place.
     """
-    refs = recipes(spark, path).mapInArrow(_refs, REFS)
+    refs = shared.stored(recipes(spark, path).mapInArrow(_refs, REFS), "refs")
     info = chunks(spark, path).mapInArrow(_checked, CHECKED).withColumnRenamed("n", "n_read")
     # a chunk that most documents share is dealt over tasks
     counted = shared.stored(info.join(refs.groupBy("key").agg(F.count("*").alias("copies")), "key"), "chunks-read")
