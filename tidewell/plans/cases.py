@@ -45,28 +45,9 @@ def cases(name: str, doc: str, pairs: list[tuple], f: Callable[[Column], Column]
 
 joined = lambda f: lambda c: F.array_join(f(c), "|")
 
-cases("text_notes", "Notes merged with others, each once.", [("a;  b;;a", "a; b; c"), (None, "b; c"), ("c", "c; b")], lambda c: T.merge_notes(c, F.lit("b; c")))
-cases("text_descriptions", "Descriptions shorter than 40 characters are none.", [("short", ""), ("x" * 50, "x" * 50), (None, "")], T.description)
-cases("text_identity_tokens", "Words that tell a company.", [("The First National Bank of Ely", "first|ely"), (None, "")], joined(T.identity_tokens))
-cases("text_longest_phrase", "The longest of the phrases that stand as whole words.", [("Oops. Page not found", "page not found"), ("Troops", ""), (None, "")], lambda c: T.longest_phrase(c, ("oops", "page not found")))
-cases("text_recipients", "Recipients, each once; null where one is no address.", [("B@x.io, a@x.io; b@x.io", "b@x.io|a@x.io"), ("bad", None), ("", "")], joined(T.recipients))
-cases("text_safe_cells", "Cells that a spreadsheet would run are quoted.", [("=1+1", "'=1+1"), (" @x", "' @x"), ("ok", "ok"), ("javascript:alert(1)", "'javascript:alert(1)"), (None, "")], T.safe_cell)
-cases("url_registered_domain", "The domain below its public suffix.", [("https://a.b.co.uk/x", "b.co.uk"), ("jobs.bank.com", "bank.com"), ("localhost", "localhost")], U.registered_domain)
-cases("url_site_root", "Scheme and host.", [("https://a.com/x?y", "https://a.com/"), ("b.org", "https://b.org/")], U.site_root)
-cases("url_disallowed", "Documents, listings and sites that are no company's own.", [("https://www.yelp.com/x", True), ("https://bank.com/a.PDF", True), ("https://bank.com/reviews", True), ("https://bank.com", False)], U.disallowed, "boolean")
 cases("url_public_shape", "http(s), a public host, no credentials.", [("https://bank.com", True), ("http://127.0.0.1/", False), ("http://localhost", False), ("http://a:b@bank.com", False)], U.public_shape, "boolean")
-cases("url_safe_link", "Links that a mail may hold.", [("https://a.b/c", "https://a.b/c"), ("javascript:x", ""), (None, "")], U.safe_link)
 cases("url_company_match", "Does a site look like the company's own.", [("https://www.firstbank.com", True), ("https://first-ely.org", True), ("https://other.com", False)], lambda c: U.matches_company(F.lit("First Bank"), c), "boolean")
 cases("url_careers_context", "Why a page is a careers page.", [("https://x.com/careers/", 'careers URL segment ("careers")'), ("https://x.com/a", 'careers page title ("Join our team")')], lambda c: U.careers_context(c, F.lit(""), F.lit("Join our team")))
-cases("time_clock", "HH:MM as a clock shows it.", [("07:30", True), ("24:00", False), ("7:30", False), (None, False)], X.is_clock, "boolean")
-cases("time_elapsed", "Seconds to a fixed end, never below 0.", [("2024-01-01T00:00:00Z", 2.34), ("2025-01-01T00:00:00Z", 0.0), ("x", 0.0)], lambda c: X.elapsed_seconds(c, F.lit("2024-01-01T00:00:02.345Z")), "double")
-cases(
-    "time_posted", "A posting's free date text.", [("2024-01-02", "2024-01-02"), ("Aug 17, 2026", "2026-08-17"), ("on 1/3/2024", "2024-01-03"), ("3 days ago", "2024-01-02"), ("whenever", None)],
-    lambda c: F.date_format(X.posted(c, F.lit("2024-01-05 15:00:00").cast("timestamp")), "yyyy-MM-dd"),
-)
-cases("time_suppressed", "Switched on after today's time: today counts as done.", [("07:00", "2024-01-05"), ("09:00", "")], lambda c: X.suppressed_on_enable(F.lit("2024-01-05 15:00:00").cast("timestamp"), F.lit("America/Denver"), c))
-cases("number_confidence", "Confidence words and numbers.", [("High", 90), ("medium", 65), ("LOW", 35), ("77", 77), ("?", 0), (None, 0)], N.confidence, "bigint")
-cases("number_strict", "Numbers as they are written.", [("1,250.5", 1250.5), ("abc", None), (None, None)], N.number, "double")
 cases("number_period", "One spelling for each pay period.", [("annual", "year"), ("hour", "hour"), ("weekly", "week"), ("x", "unknown")], N.period)
 cases(
     "pay_bounds", "Pay in texts: bounds, period, currency.",
@@ -75,7 +56,6 @@ cases(
 )
 cases("title_structured", "Titles that a structured source marks as postings.", [("CFO", True), ("Paralegal", True), ("Apply Now", False), ("2 days ago", False), ("General Employment Application", False)], R.valid_structured_title, "boolean")
 cases("text_reasons", "Texts that are no title.", [("a@b.co", "email address, not a job title"), ("(555) 123-4567", "phone number, not a job title"), ("Find an ATM", 'marketing call to action ("find an atm")'), ("We're hiring", "marketing sentence, not a job title"), ("Troop Manager", "")], R.text_reason)
-cases("work_types", "Remote, hybrid or on site.", [("Hybrid or remote", "Remote"), ("On-site", "Onsite"), ("x", "Not Listed"), (None, "Not Listed")], R.work_type)
 cases("metadata_cases", "Posting metadata that a text shows.", [("Location: Austin, TX", "labelled metadata (location)|city/state location"), ("hourly pay", "employment type"), ("$20 per hour", "published pay"), ("nothing", "")], joined(R.metadata_signals))
 cases("destination_reasons", "Where a link that is no posting leads.", [("#top", "in-page anchor, not a posting URL"), ("https://www.facebook.com/x", "social/aggregator link (facebook.com)"), ("https://b.com/", "site root, not a posting URL"), ("https://b.com/locations", "branch/ATM link"), ("https://b.com/about/careers/teller-1", "")], R.destination_reason)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cases, landed, records
+from . import cases, columns, landed, records
 from .queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "cases", "landed", "records"]
+__all__ = ["ORACLES", "QUERIES", "cases", "columns", "landed", "records"]
