@@ -353,13 +353,16 @@ ROUTES = (
 
 
 def collector(board_url: Column | str, platform_name: Column | str) -> Column:
-    """A vendor's own URL outranks the stored platform name for the first four."""
-    u, p = F.lower(T.blank(board_url)), F.lower(T.blank(platform_name))
+    """Who collects a board. The platform that its URL shows outranks the stored name, which counts only where the URL shows none; three vendors
+    go by the URL alone, and ADP by a URL that names its tenant, or by its name where another page holds the board."""
+    u, shown = F.lower(T.blank(board_url)), F.lower(U.platform(board_url))
+    p = F.when(shown != "", shown).otherwise(F.lower(T.blank(platform_name)))
     out = F.lit("Generic")
-    for name, urls, names in reversed(ROUTES):
+    for name, urls, names in reversed(ROUTES[1:]):
         test = T.contains_any(u, urls)
         out = F.when(test | T.contains_any(p, names) if names else test, name).otherwise(out)
-    return out
+    own = u.contains(ROUTES[0][1][0])
+    return F.when(own & u.contains("cid=") & u.contains("ccid=") | ~own & (F.trim(p) == "adp workforce now"), ROUTES[0][0]).otherwise(out)
 
 
 def match_label(score: Column) -> Column:

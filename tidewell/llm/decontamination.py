@@ -128,7 +128,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     """``row`` (all columns of docs), ``text``, ``n_words``, ``items`` (ids, sorted as strings) and ``spans`` (word ranges hit).
 
     A null or empty text has no words. An item of fewer words than ``window`` is one window; one without words is none. A
-    null item_id counts as the item ''. Items with one id count once.
+    null item_id counts as the item ''. Items with one id count once. Rows given twice are scanned twice, alike; an empty table of documents gives
+    no rows, an empty benchmark hits nothing. Texts of any length are scanned whole, 8 MB of them at a time. Columns with clashing names stay in ``row``.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))

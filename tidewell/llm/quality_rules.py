@@ -110,7 +110,8 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``row`` (all columns of docs) with counts, ratios, base_failed, failed_rules and kept.
 
-    A null or empty text has no words and fails the base rule. Repeated rows are judged alike; extra columns stay in ``row``.
+    A null or empty text has no words and fails the base rule. Repeated rows are judged alike; extra columns stay in ``row``, whatever their names. An
+    empty table gives an empty one. Texts of any length are counted whole; a ratio without a divisor is 0.
     """
     ratio = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(b), F.lit(0)), F.lit(0.0))
     counted = docs.select(F.struct(*docs.columns).alias("row"), measures(F.col("text")).alias("m")).select("row", "m.w.*", "m.l.*", "m.n_symbols", "m.n_exclamations")

@@ -175,7 +175,8 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(dk, copies, spans, kept_sha256, kept) of every distinct text that has a repeated string of ``length`` bytes: how many rows have it,
     the removed byte ranges, and the bytes that stay with their SHA-256. dk is xxhash64 of the text (null: '').
 
-    A row given twice repeats itself, so both lose every window; texts shorter than ``length`` lose nothing.
+    A row given twice repeats itself, so both lose every window; texts shorter than ``length`` lose nothing. Null and empty texts have no window; ids, null ones too, are
+    not read, nor is any other column. An empty table gives an empty one. Long texts are read whole.
     """
     gram = length // 4
     source = docs.select(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("dk"), F.col("text").cast("string"))

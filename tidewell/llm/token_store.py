@@ -227,7 +227,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, order
     """Encode ``docs`` (doc_id, text) and write the store. Null text is empty: its stream is the end id alone.
 
     Documents follow one another by the columns of ``order``, nulls first. Repeated rows and rows with one doc_id each get
-    a recipe of their own. An empty table gives an empty store; columns beside those named are not read.
+    a recipe of their own. An empty table gives an empty store; columns beside those named are not read, whatever their names. Texts of any length are encoded
+    whole; their ids are cut into chunks of bounded size.
     """
     spark, n = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = [f"at{k}" for k in range(len(order))]

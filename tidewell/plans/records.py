@@ -49,10 +49,28 @@ def _url(key: str) -> Column:
     return F.replace(dealt(URLS, key), F.lit("#"), F.col(key).cast("string"))
 
 
+#: What the SQL looks for, as the tracked source states it: query keys, anchors, careers segments, vendors' shapes. Fixed values, written out here and not taken from the library.
+_KEYS = ("jobid", "job_id", "reqid", "req_id", "requisitionid", "requisition_id", "postingid", "posting_id", "jobcode", "job_code", "jvi", "jobreqid", "opportunityid", "vacancyid")
+_ANCHORS = (
+    "job", "jobs", "career", "careers", "opening", "openings", "opportunity", "opportunities", "position", "positions", "posting", "postings", "requisition", "requisitions", "vacancy", "vacancies", "apply", "employment",
+)
+_CAREERS = (
+    "career", "careers", "job", "jobs", "employment", "opening", "openings", "opportunity", "opportunities", "join-our-team", "join-us", "work-with-us", "workhere", "work-here", "hiring", "recruiting", "recruitment", "vacancy", "vacancies",
+    "positions", "apply",
+)
+_SHAPES = (
+    ("greenhouse.io", r"/jobs/\d+"), ("lever.co", r"/[^/]+/[0-9a-f]{8}-[0-9a-f-]{27,}"), ("myworkdayjobs.com", r"/job/"), ("icims.com", r"/jobs/\d+"), ("applicantpro.com", r"/jobs/\d+"), ("isolvedhire.com", r"/jobs/\d+"),
+    ("ultipro.com", r"/opportunitydetail"), ("workforcenow.adp.com", r"/recruitment/recruitment\.html|jobid="), ("recruiting.adp.com", r"/srccar/public/"), ("paycomonline.net", r"/viewjobdetails|/jobs/\d+"),
+    ("recruitingbypaycor.com", r"/career/jobintroduction"), ("paylocity.com", r"/details/\d+"), ("jobs.dayforcehcm.com", r"/jobs/\d+"), ("csod.com", r"/requisition/\d+|/jobdetails"), ("hrmdirect.com", r"/employment/job-opening\.php"),
+    ("applytojob.com", r"/apply/"), ("jazzhr.com", r"/apply/"), ("smartrecruiters.com", r"/\d{9,}"), ("jobvite.com", r"/job/"), ("bamboohr.com", r"/careers/\d+"), ("successfactors.com", r"/job/"), ("oraclecloud.com", r"/job/"),
+    ("saashr.com", r"/ta/|/jobdetail"),
+)
+
+
 def _requisition_sql() -> str:
-    keys = " ".join(f"WHEN regexp_extract(qs, '(?i)(?:^|&){k}=([^&]+)', 1) <> '' THEN url_decode(regexp_extract(qs, '(?i)(?:^|&){k}=([^&]+)', 1))" for k in U.ID_KEYS)
-    anchors, away = ", ".join(map(q, U.ID_ANCHORS)), ", ".join(map(q, (*U.ID_ANCHORS, *U.CAREER_SEGMENTS)))
-    vendor = " ".join(f"WHEN (h = '{d}' OR suffix(h, '.{d}')) AND regexp_matches(route || '?' || qs, {q('(?i)' + p)}) THEN '{d}'" for d, p in U.DETAIL_SHAPES)
+    keys = " ".join(f"WHEN regexp_extract(qs, '(?i)(?:^|&){k}=([^&]+)', 1) <> '' THEN url_decode(regexp_extract(qs, '(?i)(?:^|&){k}=([^&]+)', 1))" for k in _KEYS)
+    anchors, away = ", ".join(map(q, _ANCHORS)), ", ".join(map(q, (*_ANCHORS, *_CAREERS)))
+    vendor = " ".join(f"WHEN (h = '{d}' OR suffix(h, '.{d}')) AND regexp_matches(route || '?' || qs, {q('(?i)' + p)}) THEN '{d}'" for d, p in _SHAPES)
     board = "regexp_extract(route, '(?i)^/(?:([A-Za-z]{2,3}(?:-[A-Za-z]{2})?)/)?([A-Za-z0-9_-]+)/([A-Za-z0-9_-]+)(?:/jobs/[0-9]+)?/?$', "
     return f"""WITH u AS (SELECT p_partkey, trim(replace({dealt_sql(URLS, "p_partkey")}, '#', CAST(p_partkey AS VARCHAR))) AS url FROM part),
 v AS (SELECT *, CASE WHEN contains(url, '://') THEN url ELSE 'https://' || url END AS full_url FROM u),
@@ -109,23 +127,33 @@ def evidence_cases(spark, sf):
     return c.select("o_orderkey", v.alias("v")).select("o_orderkey", "v.reason", "v.accepted")
 
 
-BOARDS = tuple(f"https://a.{d}/x" for d, _ in U.PLATFORMS) + ("https://example.com/jobs", "jobs.lever.co/acme", "")
-STORED = ("", "Dayforce", "UKG Ready", "iCIMS", "unknown")
+#: Board, the platform that its URL shows, and who collects it, as the tracked source decides. Fixed values, written out here and not taken from the library.
+ROUTED = (
+    ("https://a.workforcenow.adp.com/x", "ADP Workforce Now", "Generic"), ("https://a.recruiting.adp.com/x", "ADP Recruiting", "Generic"), ("https://a.myworkdayjobs.com/x", "Workday", "Workday"), ("https://a.wd1.myworkdayjobs.com/x", "Workday", "Workday"),
+    ("https://a.wd5.myworkdayjobs.com/x", "Workday", "Workday"), ("https://a.greenhouse.io/x", "Greenhouse", "Greenhouse"), ("https://a.boards.greenhouse.io/x", "Greenhouse", "Greenhouse"), ("https://a.lever.co/x", "Lever", "Lever"),
+    ("https://a.jobs.lever.co/x", "Lever", "Lever"), ("https://a.icims.com/x", "ICIMS", "ICIMS"), ("https://a.paylocity.com/x", "Paylocity", "Paylocity"), ("https://a.ukg.com/x", "UKG", "UKG"), ("https://a.ultipro.com/x", "UKG", "UKG"),
+    ("https://a.adp.com/x", "ADP Workforce Now", "ADP"), ("https://a.bamboohr.com/x", "BambooHR", "Generic"), ("https://a.smartrecruiters.com/x", "SmartRecruiters", "Generic"), ("https://a.jobvite.com/x", "Jobvite", "Generic"),
+    ("https://a.paycomonline.net/x", "Paycom", "Paycom"), ("https://a.recruitingbypaycor.com/x", "Paycor", "Paycor"), ("https://a.applicantpro.com/x", "ApplicantPro", "ApplicantPro"), ("https://a.saashr.com/x", "UKG Ready", "UKG Ready"),
+    ("https://a.oraclecloud.com/x", "Oracle Recruiting", "Generic"), ("https://a.successfactors.com/x", "SAP SuccessFactors", "Generic"), ("https://a.isolvedhire.com/x", "isolved Hire", "isolved Hire"), ("https://a.jazzhr.com/x", "JazzHR", "Generic"),
+    ("https://a.clearcompany.com/x", "ClearCompany", "Generic"), ("https://a.hrmdirect.com/x", "ClearCompany", "ClearCompany"), ("https://a.paycor.com/x", "Paycor", "Paycor"), ("https://a.app.joinhandshake.com/x", "Handshake", "Generic"),
+    ("https://a.jobs.dayforcehcm.com/x", "Dayforce", "Dayforce"), ("https://a.csod.com/x", "Cornerstone", "Cornerstone"), ("https://workforcenow.adp.com/m?cid=1&ccId=2", "ADP Workforce Now", "ADP"), ("jobs.lever.co/acme", "Lever", "Lever"), ("https://example.com/jobs", "", ""), ("", "", ""),
+)
+BOARDS = tuple(url for url, _, _ in ROUTED)
+#: Stored names, and who collects a board whose URL shows no platform.
+BY_NAME = (("", "Generic"), ("Dayforce", "Dayforce"), ("UKG Ready", "UKG Ready"), ("iCIMS", "ICIMS"), ("unknown", "Generic"), ("ADP Workforce Now", "ADP"))
+STORED = tuple(name for name, _ in BY_NAME)
 
 
 def _route_sql() -> str:
-    platform = " ".join(f"WHEN h = '{d}' OR suffix(h, '.{d}') THEN '{n}'" for d, n in U.PLATFORMS)
-    any_of = lambda x, parts: " OR ".join(f"contains({x}, '{p}')" for p in parts) or "false"
-    routes = " ".join(f"WHEN {any_of('lower(url)', urls)} OR {any_of('lower(stored)', names)} THEN '{name}'" for name, urls, names in R.ROUTES)
-    return f"""WITH b AS (SELECT s_suppkey, {dealt_sql(BOARDS, "s_suppkey")} AS url, {dealt_sql(STORED, "(s_suppkey // 34)")} AS stored FROM supplier),
-h AS (SELECT *, regexp_extract(CASE WHEN contains(url, '://') THEN url ELSE 'https://' || url END, '^https://([^/]*)', 1) AS h FROM b)
-SELECT s_suppkey, CASE {platform} ELSE '' END AS platform, CASE {routes} ELSE 'Generic' END AS collector FROM h"""
+    of = lambda k: dealt_sql(tuple(r[k] for r in ROUTED), "s_suppkey")
+    named = dealt_sql(tuple(c for _, c in BY_NAME), "(s_suppkey // 35)")
+    return f"SELECT s_suppkey, {of(1)} AS platform, CASE WHEN {of(2)} <> '' THEN {of(2)} ELSE {named} END AS collector FROM supplier"
 
 
 @query(_route_sql())
 def board_routes(spark, sf):
     """Platform and collector of boards of all vendors."""
-    b = t(spark, sf, "supplier").withColumn("k", F.floor(F.col("s_suppkey") / 34)).select("s_suppkey", dealt(BOARDS, "s_suppkey").alias("url"), dealt(STORED, "k").alias("stored"))
+    b = t(spark, sf, "supplier").withColumn("k", F.floor(F.col("s_suppkey") / 35)).select("s_suppkey", dealt(BOARDS, "s_suppkey").alias("url"), dealt(STORED, "k").alias("stored"))
     return b.select("s_suppkey", U.platform("url").alias("platform"), R.collector("url", "stored").alias("collector"))
 
 
