@@ -50,11 +50,12 @@ _WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:-\p{Lu}\p{Ll}+)?"
 _ANY_WORD = rf"(?:{_WORD}{_END}|\p{{Lu}}{{2,}}(?:['’-]\p{{Lu}}{{2,}})*{_END}|\p{{Lu}}['’]\p{{Lu}}{{2,}}{_END})"
 _PARTICLE = "(?:(?:" + "|".join(PARTICLES) + ") ){0,2}"
 _TITLE = "(?:" + "|".join(FEMALE_TITLES + MALE_TITLES + TITLES) + r")\.? (?:(?:" + "|".join(TITLES) + r")\.? )*"
-_CALLED = "(?:" + "|".join(FEMALE + MALE) + ")"
+_CALLED = "(?:" + "|".join(f"{c}(?:{'|'.join(n[1:] for n in FEMALE + MALE if n[0] == c)})" for c in sorted({n[0] for n in FEMALE + MALE})) + ")"  # by initials: most words fail at the first
 _FULL = rf"(?!(?:{'|'.join(NO_NAME)}) ){_WORD} {_PARTICLE}{_WORD}"
 _NAMED = "|".join((
     rf"{_TITLE}(?:\p{{Lu}}\. ){{0,2}}(?:{_ANY_WORD} ){{0,2}}{_PARTICLE}{_ANY_WORD}", rf"{_CALLED} (?:\p{{Lu}}\. )?{_PARTICLE}{_WORD}",
-    rf"(?<={'|'.join(f'(?<![a-zA-Z]){w} ' for w in BEFORE)}){_FULL}", rf"{_FULL}(?= (?:{'|'.join(BEHIND)}){_END})",
+    # two capital words: only then is it worth looking at what stands around them
+    rf"(?=\p{{Lu}}[\p{{L}}'’-]+ {_PARTICLE}\p{{Lu}})(?:{_FULL}(?= (?:{'|'.join(BEHIND)}){_END})|(?<={'|'.join(f'(?<![a-zA-Z]){w} ' for w in BEFORE)}){_FULL})",
 ))
 #: + and 7 to 15 digits in groups of any size or none; NNN-NNN-NNNN that is no part of a longer run.
 _WORLD, _LOCAL = _EDGE + r"\+[1-9](?:[ .-]?[0-9]){6,14}" + _END, _EDGE + r"(?<![0-9]-)(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}(?!-[0-9])" + _END
@@ -73,7 +74,7 @@ _P = dict(TYPES)
 # what can begin with a digit, a plus or a bracket is tried only there, and names only at capitals
 MENTION = f"{_P['email']}|(?=[0-9+(])(?:" + "|".join(f"(?:{_P[k]})" for k in ("ip", "phone", "card", "ssn")) + rf")|(?=\p{{Lu}})(?:{_P['iban']}|{_P['name']})"
 #: Two capital words or more that are no name by themselves; a name that another text knows may be among them. The character before tells them from names.
-_RUN = rf"(?=\p{{Lu}})(?!{_NAMED}){_WORD}(?: (?!{_NAMED}){_WORD})+{_END}"
+_RUN = rf"(?=\p{{Lu}}[\p{{L}}'’-]+ \p{{Lu}})(?!{_NAMED}){_WORD}(?: (?!{_NAMED}){_WORD})+{_END}"
 SCAN = rf"{MENTION}|(?:\A|[^\p{{L}}\p{{N}}]){_RUN}"
 #: Characters that stand for others of their kind, by script and case. Fixed values.
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
