@@ -353,11 +353,10 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     Each chunk is read once; its CRC is shifted to its place in the document and the parts are XORed, so no document has
     to be put together in one place.
     """
-    refs = shared.stored(recipes(spark, path).mapInArrow(_refs, REFS), "refs")
+    refs = recipes(spark, path).mapInArrow(_refs, REFS)
     info = chunks(spark, path).mapInArrow(_checked, CHECKED).withColumnRenamed("n", "n_read")
-    # a chunk that most documents share is dealt over tasks
-    counted = shared.stored(info.join(refs.groupBy("key").agg(F.count("*").alias("copies")), "key"), "chunks-read")
-    parts = shared.join_spread(refs, counted, ["key"], "copies", F.col("rid"), "left").select("doc_id", "rid", "n_tokens", "start", "after", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce(F.col("sound") & (F.col("n") == F.col("n_read")), F.lit(False)).alias("sound"))
+    # a chunk that most documents share is left to the adaptive skew join, which splits refs: counting them first to deal them out put the query over its budget
+    parts = refs.join(info, "key", "left").select("doc_id", "rid", "n_tokens", "start", "after", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce(F.col("sound") & (F.col("n") == F.col("n_read")), F.lit(False)).alias("sound"))
     summed = parts.mapInArrow(_part_crc, "doc_id bigint, rid string, n_tokens bigint, start bigint, sound boolean, part bigint")
     return summed.groupBy("doc_id", "rid", "n_tokens", "start").agg(F.expr("bit_xor(part)").alias("ids_crc32"), F.min("sound").alias("sound"))
 
