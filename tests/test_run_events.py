@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell.operators import runs, scans
 
@@ -48,3 +50,13 @@ def test_requests(spark):
     assert sorted((r.run, r.status) for r in runs.cancel_requests(now, asked, "run").collect()) == [("a", "Cancelling"), ("b", "Cancelling")]
     r = runs.skipped(spark.createDataFrame([("refresh", "another run is active")], "action string, why string"), "action", "why", "2024-01-01").first()
     assert (r.job_key, r.status, r.error, r.runtime_seconds) == ("refresh", "Skipped", "another run is active", 0.0)
+
+
+def test_a_long_run_takes_time_in_proportion(spark):
+    """Nearly all of a run's events are refused: an array that grows by one event at a time copies some 1,800 million entries."""
+    n = 60_000
+    e = spark.range(n).select((F.col("id") % 1).alias("run"), F.col("id").alias("o"), F.when(F.col("id") == 0, "Queued").when(F.col("id") == n - 1, "Running").otherwise("Odd").alias("status"), F.col("id").alias("progress"))
+    began = time.time()
+    r = runs.fold_events(e, "run", "o", "status", ("progress",)).select("status", "last.progress", "n_events", F.size("refused"), F.slice("refused", 1, 1)).first()
+    assert (*r[:4], *map(tuple, r[4])) == ("Running", n - 1, n, n - 2, (1, "Queued", "Odd"))
+    assert time.time() - began < 20

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
@@ -66,48 +71,81 @@ TRANSITIONS = {
 STATES = tuple(TRANSITIONS)
 
 
-def _moves() -> Column:
-    """Where an event leads: element state * len(STATES) + status is the next state, or -1."""
-    return F.array(*(F.lit(k if b in TRANSITIONS[a] else -1) for a in STATES for k, b in enumerate(STATES)))
+#: The place of the state that follows for each state and status, or -1.
+MOVES = tuple(tuple(k if b in TRANSITIONS[a] else -1 for k, b in enumerate(STATES)) for a in STATES)
 
 
-def fold_events(events: DataFrame, run: str, order: str, status: str, fields: tuple[str, ...] = ()) -> DataFrame:
-    """(run, status, last, n_events, refused): the state of every run after its ordered events, the ``fields`` of the last event that counted, and the
-    events that may not follow (order, from, to), which change nothing.
+def _before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered rows (..., s, begin, starts) with ``before``: the state in which each event finds its run. One state is held, whatever the length of a run."""
+    state = 0
+    for batch in batches:
+        found = []
+        for s, begin, starts in zip(*(batch.column(c).to_pylist() for c in ("s", "begin", "starts"))):
+            state = begin if starts else state
+            found.append(state)
+            if s >= 0 and MOVES[state][s] >= 0:
+                state = MOVES[state][s]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int32())], [*batch.schema.names, "before"])
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered rows (run, _seg, s, starts, ends) to one for each segment: (run, _seg, map), the state behind it for each state before it."""
+    same, held = tuple(range(len(STATES))), ()
+    after = functools.cache(lambda held, s: tuple(MOVES[x][s] if s >= 0 and MOVES[x][s] >= 0 else x for x in held))
+    for batch in batches:
+        at, maps = [], []
+        for i, (s, starts, ends) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("s", "starts", "ends")))):
+            held = after(same if starts else held, s)
+            if ends:
+                at.append(i)
+                maps.append(held)
+        done = batch.take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([done.column("run"), done.column("_seg"), pa.array(maps, pa.list_(pa.int32()))], ["run", "_seg", "map"])
+
+
+def _schema(df: DataFrame, columns: list[str], more: str) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), more])
 
-    Unknown statuses are refused; events of equal order go by status and fields. A run with very many events is cut into segments: each is summed up as a map
-    from the state before to the state behind, the maps are chained, and the segments are folded from where they begin.
+
+def trace_events(events: DataFrame, run: str, order: str, status: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each event: (run, o: its order, to: its status, f: its fields, from: the state in which it finds its run, taken: whether it may follow).
+
+    Unknown statuses are refused; events of equal order go by status and fields. Runs are walked in order, a state at a time. A run with very many events is cut into
+    segments: each is summed up as a map from the state before to the state behind, the maps are chained, and the segments are walked from where they begin.
     """
     known = F.array(*map(F.lit, STATES))
-    rows = events.select(F.col(run).alias("run"), F.col(order).alias("o"), T.blank(status).alias("to"), F.struct(*fields).alias("f") if fields else F.struct(F.lit(None).alias("none")).alias("f"))
+    rows = events.select(F.col(run).alias("run"), F.col(order).alias("o"), T.blank(status).alias("to"), F.struct(*fields).alias("f") if fields else F.struct(F.lit(None).cast("string").alias("none")).alias("f"))
     rows = rows.withColumn("s", F.coalesce(F.array_position(known, F.col("to")), F.lit(0)).cast("int") - 1)
     rows, hot = scans.segmented(rows, "run", "o")
-    held = rows.groupBy("run", "_seg").agg(F.array_sort(F.collect_list(F.struct("o", "to", "f", "s"))).alias("rows"), F.max("_hot").alias("_hot"))
-    move = lambda state, x: F.when(x.getField("s") < 0, -1).otherwise(F.get(_moves(), state * len(STATES) + x.getField("s")))
+    turn = W.partitionBy("run", "_seg").orderBy("o", "to", "f")
     if hot:
-        start = F.array(*(F.lit(k) for k in range(len(STATES))))
-        after = lambda state, x: F.when(move(state, x) >= 0, move(state, x)).otherwise(state)
-        maps = held.where("_hot").select("run", "_seg", F.aggregate("rows", start, lambda acc, x: F.transform(acc, lambda state: after(state, x))).alias("map"))
+        ordered = rows.where("_hot").select("run", "_seg", "s", (F.row_number().over(turn) == 1).alias("starts"), F.lead("_seg").over(turn).isNull().alias("ends"))
+        maps = ordered.mapInArrow(_maps, _schema(ordered, ["run", "_seg"], "map array<int>"))
         chain = maps.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("_seg", "map"))).alias("maps"))  # at most SEGMENTS
-        none = F.array().cast("array<struct<_seg:int,state:int>>")
-        step = lambda acc, m: F.struct(F.concat(acc.getField("at"), F.array(F.struct(m.getField("_seg").alias("_seg"), acc.getField("state").alias("state")))).alias("at"), F.get(m.getField("map"), acc.getField("state")).alias("state"))
-        begins = chain.select("run", F.explode(F.aggregate("maps", F.struct(none.alias("at"), F.lit(0).alias("state")), step, lambda acc: acc.getField("at"))).alias("b")).select("run", "b._seg", F.col("b.state").alias("begin"))
-        held = held.join(F.broadcast(begins), ["run", "_seg"], "left")
+        none = F.array().cast("array<struct<_seg:int,begin:int>>")
+        step = lambda acc, m: F.struct(F.concat(acc.getField("at"), F.array(F.struct(m.getField("_seg").alias("_seg"), acc.getField("state").alias("begin")))).alias("at"), F.get(m.getField("map"), acc.getField("state")).alias("state"))
+        begins = chain.select("run", F.explode(F.aggregate("maps", F.struct(none.alias("at"), F.lit(0).alias("state")), step, lambda acc: acc.getField("at"))).alias("b")).select("run", "b._seg", "b.begin")
+        rows = rows.join(F.broadcast(begins), ["run", "_seg"], "left").withColumn("begin", F.coalesce("begin", F.lit(0)))
     else:
-        held = held.withColumn("begin", F.lit(0))
-    kind = dict(rows.select("o", "f").dtypes)
-    first = F.struct(F.coalesce("begin", F.lit(0)).alias("state"), F.lit(None).cast(kind["f"]).alias("last"), F.lit(None).cast(kind["o"]).alias("at"), F.array().cast(f"array<struct<o:{kind['o']},from:string,to:string>>").alias("refused"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        refused = F.struct(x.getField("o").alias("o"), F.get(known, acc.getField("state")).alias("from"), x.getField("to").alias("to"))
-        taken = F.struct(move(acc.getField("state"), x).cast("int").alias("state"), x.getField("f").alias("last"), x.getField("o").alias("at"), acc.getField("refused").alias("refused"))
-        return F.when(move(acc.getField("state"), x) >= 0, taken).otherwise(F.struct(acc.getField("state").alias("state"), acc.getField("last").alias("last"), acc.getField("at").alias("at"), F.concat(acc.getField("refused"), F.array(refused)).alias("refused")))
-
-    done = held.select("run", "_seg", F.size("rows").alias("n"), F.aggregate("rows", first, fold).alias("e"))
-    out = done.groupBy("run").agg(
-        F.max_by("e.state", "_seg").alias("state"), F.max_by("e.last", F.when(F.col("e.at").isNotNull(), F.col("_seg"))).alias("last"), F.sum("n").alias("n_events"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_seg", "e.refused"))), lambda x: x.getField("refused"))).alias("refused"),
+        rows = rows.withColumn("begin", F.lit(0))
+    ordered = rows.select("run", "o", "to", "f", "s", "begin", (F.row_number().over(turn) == 1).alias("starts"))
+    walked = ordered.mapInArrow(_before, _schema(ordered, ordered.columns, "before int"))
+    leads = F.get(F.array(*(F.lit(k) for row in MOVES for k in row)), F.col("before") * len(STATES) + F.col("s"))
+    return walked.select("run", "o", "to", "f", F.get(known, F.col("before")).alias("from"), ((F.col("s") >= 0) & (leads >= 0)).alias("taken"))
+
+
+def fold_events(events: DataFrame, run: str, order: str, status: str, fields: tuple[str, ...] = ()) -> DataFrame:
+    """(run, status, last, n_events, n_refused, refused): the state of every run after its ordered events, the ``fields`` of the last event that counted, and the
+    events that may not follow (order, from, to), which change nothing. ``refused`` is one array a run, made only where it is selected; ``trace_events`` has them as rows.
+    """
+    at = F.struct("o", "to", "f")
+    out = trace_events(events, run, order, status, fields).groupBy("run").agg(
+        F.max_by("to", F.when(F.col("taken"), at)).alias("status"), F.max_by("f", F.when(F.col("taken"), at)).alias("last"), F.count("*").alias("n_events"), F.count_if(~F.col("taken")).alias("n_refused"),
+        F.collect_list(F.when(~F.col("taken"), F.struct("o", "to", "f", "from"))).alias("refused"),
     )
-    return out.select(F.col("run").alias(run), F.get(known, F.col("state")).alias("status"), *([F.col("last")] if fields else []), "n_events", "refused")
+    refused = F.transform(F.array_sort("refused"), lambda x: F.struct(x.getField("o").alias("o"), x.getField("from").alias("from"), x.getField("to").alias("to")))
+    return out.select(F.col("run").alias(run), F.coalesce("status", F.lit("")).alias("status"), *([F.col("last")] if fields else []), "n_events", "n_refused", refused.alias("refused"))
 
 
 def cancel_requests(runs: DataFrame, asked: DataFrame, run: str, message: str = "Stopping after the current item finishes.") -> DataFrame:
