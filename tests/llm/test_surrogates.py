@@ -150,3 +150,11 @@ def test_account_numbers(spark):
     found = re.findall(r"(?:DE|GB)\d\d(?: ?[A-Z0-9]{4})+(?: ?[A-Z0-9]{1,3})?", text)
     assert n == 2 and "DE88 3704 0044 0532 0130 00; AB12CDEF34567890" in text and "3704 0044 0532 0130 00 or" not in text and "WEST" not in text
     assert [remainder(x) for x in found[:2]] == [1, 1] and re.match(r"DE\d\d( \d{4}){4} \d\d$", found[0]) and re.match(r"GB\d\d[A-Z]{4}\d{14}$", found[1])
+
+
+def test_patterns_of_any_length_need_no_stack(spark):
+    """Runs of capital words, titles, labels of a domain and capitals with hyphens by the ten thousand; the engine's own stack overflowed at some thousand."""
+    n = 30_000
+    for text in ("Johanna Miller " * n, "Word " * n, "Mr. " + "Dr " * n, "Mr. " + "Dr. " * n, "a@b" + ".com" * n, "Mr. AA" + "'BB" * n):
+        matcher = spark._jvm.java.util.regex.Pattern.compile(surrogates.SCAN).matcher(text)  # in the driver's JVM, which an overflow does not end as it ends an executor
+        assert matcher.results().count() >= 1, text[:20]
