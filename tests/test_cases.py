@@ -47,3 +47,12 @@ def test_case(spark, pairs, f, kind):
     df = spark.createDataFrame([(k, None if x is None else str(x)) for k, (x, _) in enumerate(pairs)], "k int, x string")
     got = [r[0] for r in df.orderBy("k").select(f(F.col("x")).cast(kind)).collect()]
     assert got == [want for _, want in pairs]
+
+
+def test_pay_is_worked_out_once(spark):
+    """The plan of the pay cases holds each pay pattern once, not once for every field and place that reads it."""
+    from tidewell.functions import rules as R
+    from tidewell.plans.registry import QUERIES
+
+    plan = QUERIES["pay_bounds"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.count(R.PAY_SIGNED) == 1 and plan.count(R.PAY_NAMED) == 1

@@ -35,7 +35,9 @@ def cases(name: str, doc: str, pairs: list[tuple], f: Callable[[Column], Column]
 
     def run(spark, sf):
         texts = F.array(*(F.lit(g).cast("string") for g in given))
-        parts = t(spark, sf, "part").select("p_partkey", F.element_at(texts, (F.col("p_partkey") % len(given) + 1).cast("int")).alias("x"))
+        # a large table of narrow rows is a small file, which one task would read: its keys are dealt over tasks
+        dealt = t(spark, sf, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+        parts = dealt.select("p_partkey", F.element_at(texts, (F.col("p_partkey") % len(given) + 1).cast("int")).alias("x"))
         return parts.select("p_partkey", f(F.col("x")).cast(kind).alias("out"))
 
     run.__name__, run.__doc__ = name, doc
@@ -52,7 +54,7 @@ cases("number_period", "One spelling for each pay period.", [("annual", "year"),
 cases(
     "pay_bounds", "Pay in texts: bounds, period, currency.",
     [("Salary range $80,000-$105,000 annually", "80000|105000|annual|USD"), ("Pay: $24.50 to $31.75 per hour", "24|32|hourly|USD"), ("Hourly rate 28 to 34 USD", "28|34|hourly|USD"), ("Salary: £55,000 - £65,000 annually", "55000|65000|annual|GBP"), ("We offer a 401(k) match", None), ("10 years of experience", None)],
-    lambda c: F.when(R.pay(c).getField("low").isNotNull(), F.concat_ws("|", *(R.pay(c).getField(k).cast("string") for k in ("low", "high", "period", "currency")))),
+    lambda c: R.once(R.pay(c), lambda p: F.when(p.getField("low").isNotNull(), F.concat_ws("|", *(p.getField(k).cast("string") for k in ("low", "high", "period", "currency"))))),
 )
 cases("title_structured", "Titles that a structured source marks as postings.", [("CFO", True), ("Paralegal", True), ("Apply Now", False), ("2 days ago", False), ("General Employment Application", False)], R.valid_structured_title, "boolean")
 cases("text_reasons", "Texts that are no title.", [("a@b.co", "email address, not a job title"), ("(555) 123-4567", "phone number, not a job title"), ("Find an ATM", 'marketing call to action ("find an atm")'), ("We're hiring", "marketing sentence, not a job title"), ("Troop Manager", "")], R.text_reason)
