@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +63,11 @@ def test_feeds(spark):
     assert got == {"a": ("https://a.com/f2", True, 12), "b": ("https://b.com/jobs/rss", True, 9), "c": ("https://c.com/careers/feed", True, 9), "d": ("", False, 0), "e": ("", False, 10)}
     order = [r.url for r in feeds.candidates(df, "site", "n").where("site = 'a'").orderBy("ord").collect()]
     assert order[:4] == ["https://a.com/f1", "https://a.com/f2", "https://a.com/f3", "https://a.com/feed"] and len(order) == 12
+
+
+def test_few_pages_are_held_at_once():
+    """A batch of any size is parsed a few pages at a time, all of them and in order."""
+    given = [pa.RecordBatch.from_pydict({"page_id": list(range(at, at + n))}) for at, n in ((0, 1000), (1000, 1), (1001, 0), (1001, 64))]
+    got = list(P.few(iter(given)))
+    assert max(b.num_rows for b in got) <= P.PAGES_AT_ONCE
+    assert [x for b in got for x in b.column(0).to_pylist()] == list(range(1065))
