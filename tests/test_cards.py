@@ -152,3 +152,13 @@ def test_detail_titles(spark):
 def test_apply_signal(spark):
     df = spark.createDataFrame([("Please Send\n your resume",), ("nothing",), (None,)], "t string")
     assert [r[0] for r in df.select(cards.apply_signal("t")).collect()] == [True, False, False]
+
+
+def test_nodes_of_many_pages_come_in_few_batches(spark):
+    """A batch of nodes holds those of several pages, and every page's nodes are there in order."""
+    from tidewell.functions import elements, pages
+
+    df = spark.range(100).selectExpr("id AS page_id", "'https://x.com/' AS url", "'<p>a</p><p>b</p>' AS html").coalesce(1)
+    sizes = elements.nodes(df).mapInArrow(lambda batches: (b.select(["page_id"]).slice(0, 1) for b in batches), "page_id bigint").count()
+    assert sizes <= -(-100 // pages.PAGES_AT_ONCE)
+    assert [tuple(r) for r in elements.nodes(df).where("page_id = 77").select("pre", "tag", "text").collect()] == [(0, "p", None), (1, None, "a"), (2, "p", None), (3, None, "b")]
