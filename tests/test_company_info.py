@@ -38,6 +38,13 @@ def test_missing_and_invalid(spark):
     assert {r.id: r.m for r in df.collect()} == {c[0]: m for c, m in cases}
 
 
+def test_rules_are_worked_out_once_a_record(spark):
+    """What refresh gives reads verdicts that are there, and looks at no URL again for each of its joins."""
+    df = C.refresh(spark.createDataFrame([company("0", city="")], COLUMNS), spark.createDataFrame([found("g", "city", "Ely")], EVIDENCE))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "credit card application" not in plan and "regexp_extract" not in plan and df.count() == 1
+
+
 def test_domains(spark):
     rows = [
         company("0", known_website="elybank.com", company_website="http://jobs.elybank.com"), company("1", known_website="https://other.com"), company("2", official_website="https://facebook.com/x", known_website="ely.org"),

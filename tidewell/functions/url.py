@@ -55,6 +55,14 @@ def query(c: Column | str) -> Column:
     return F.regexp_extract(with_scheme(c), r"^[^?#]*\?([^#]*)", 1)
 
 
+def _plain(c: Column | str, h: Column | None = None) -> Column:
+    """A plain http(s) URL: a host, no user, a port that is one. ``h``: its host, where it is at hand."""
+    scheme, authority = F.lower(F.regexp_extract(with_scheme(c), "^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), netloc(c)
+    port = F.regexp_extract(authority, r":(\d*)$", 1)
+    bad = (blank(c) == "") | ~scheme.isin("http", "https") | ((host(c) if h is None else h) == "") | authority.contains("@") | authority.rlike(r"(?<!\]):[^0-9\]]")
+    return ~bad & F.coalesce(port.try_cast("int") <= 65535, port == "")
+
+
 def canonical(c: Column | str) -> Column:
     """Lower-case scheme and host, no default port, '/' for an empty path, no fragment. Null for what is no plain http(s) URL."""
     s, authority = with_scheme(c), netloc(c)
@@ -63,8 +71,7 @@ def canonical(c: Column | str) -> Column:
     keep = (port != "") & ~((scheme == "http") & (port == "80")) & ~((scheme == "https") & (port == "443"))
     q = query(c)
     out = F.concat(scheme, F.lit("://"), host(c), F.when(keep, F.concat(F.lit(":"), port.try_cast("int").cast("string"))).otherwise(""), F.when(path(c) == "", "/").otherwise(path(c)), F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
-    bad = (blank(c) == "") | ~scheme.isin("http", "https") | (host(c) == "") | authority.contains("@") | authority.rlike(r"(?<!\]):[^0-9\]]") | F.coalesce(port.try_cast("int") > 65535, F.lit(False))
-    return F.when(~bad, out)
+    return F.when(_plain(c), out)
 
 
 def site_root(c: Column | str) -> Column:
@@ -86,10 +93,14 @@ def _once(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def platform(*urls: Column | str) -> Column:
-    """The platform of the first URL that has one; domains are tried in their own order."""
+def _platform_of(h: Column) -> Column:
     names = F.array(*(F.struct(F.lit(d).alias("domain"), F.lit(n).alias("name")) for d, n in PLATFORMS))
-    found = [_once(host(u), lambda h: F.get(F.filter(names, lambda p: in_domain(h, p.getField("domain"))), F.lit(0)).getField("name")) for u in urls]
+    return F.get(F.filter(names, lambda p: in_domain(h, p.getField("domain"))), F.lit(0)).getField("name")
+
+
+def platform(*urls: Column | str, h: Column | None = None) -> Column:
+    """The platform of the first URL that has one; domains are tried in their own order. ``h``: the host of a single URL, where it is at hand."""
+    found = [_once(host(u), _platform_of) if h is None else _platform_of(h) for u in urls]
     return F.coalesce(*(F.when(blank(u) != "", f) for u, f in zip(urls, found)), F.lit(""))
 
 
@@ -102,9 +113,9 @@ def registered_domain(c: Column | str, suffixes: tuple[str, ...] = PUBLIC_SUFFIX
     return F.when(longer != "", longer).when(plain != "", plain).otherwise(h)
 
 
-def disallowed(c: Column | str) -> Column:
-    """A document, a listing or review page, or a site that is never a company's own."""
-    low, h = F.lower(blank(c)), host(c)
+def disallowed(c: Column | str, h: Column | None = None) -> Column:
+    """A document, a listing or review page, or a site that is never a company's own. ``h``: its host, where it is at hand."""
+    low, h = F.lower(blank(c)), host(c) if h is None else h
     return low.rlike(r"\.(pdf|doc|docx)$") | low.rlike("|".join(DISALLOWED_PARTS)) | in_domains(h, DISALLOWED)
 
 
@@ -140,11 +151,11 @@ def safe_link(c: Column | str) -> Column:
     return F.when(s.rlike("(?i)^https?://.+"), s).otherwise("")
 
 
-def public_shape(c: Column | str) -> Column:
-    """http(s) with a host that is neither private nor local, and no credentials."""
-    h = host(c)
+def public_shape(c: Column | str, h: Column | None = None) -> Column:
+    """http(s) with a host that is neither private nor local, and no credentials. ``h``: its host, where it is at hand."""
+    h = host(c) if h is None else h
     private = h.rlike(r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|172\.(1[6-9]|2\d|3[01])\.|0\.|\[)") | h.endswith(".local") | ~h.contains(".")
-    return canonical(c).isNotNull() & ~private
+    return _plain(c, h) & ~private
 
 
 #: Query keys that carry a requisition id, in the order in which they are tried. Fixed values.

@@ -8,6 +8,7 @@ updated: blanks are filled, and a value stands unless it is clearly invalid or i
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ LABELS = {
     "company_description": "Company description", "industry": "Industry",
 }
 FIELDS = tuple(LABELS)
+URLS = ("official_website", "careers_page_url", "job_board_url")
 PLACEHOLDERS = ("", "unknown", "n/a", "na", "none", "not available", "tbd", "-")
 NO_PLATFORM = ("indeed", "linkedin", "ziprecruiter")
 SITE_FIELDS = ("official_website", "known_website", "company_website")
@@ -38,28 +40,37 @@ def aggregator(url: Column) -> Column:
     return U.in_domains(U.host(url), D.AGGREGATORS) & U.public_shape(url)
 
 
-def clearly_invalid(field: str, of: str = "") -> Column:
-    """A saved value that cannot be right: no public URL, someone else's site, a placeholder, a platform that the board contradicts, too short. Blank URLs are not invalid, only missing."""
-    v = _value(field, of)
+def clearly_invalid(field: str, of: str = "", h: dict[str, Column] | None = None) -> Column:
+    """A saved value that cannot be right: no public URL, someone else's site, a placeholder, a platform that the board contradicts, too short. Blank URLs are not invalid, only missing.
+    ``h``: the hosts of URLS, where they are at hand."""
+    v, at = _value(field, of), (h or {}).get(field)
     low = F.lower(v)
     if field == "official_website":
-        return F.when(~U.public_shape(v), v != "").otherwise(U.disallowed(v) | (U.platform(v) != ""))
+        return F.when(~U.public_shape(v, at), v != "").otherwise(U.disallowed(v, at) | (U.platform(v, h=at) != ""))
     if field in ("careers_page_url", "job_board_url"):
-        return F.when(~U.public_shape(v), v != "").otherwise(D.board_rejection(v) != "")  # aggregators are among what it rejects
+        return F.when(~U.public_shape(v, at), v != "").otherwise(D.board_rejection(v, at) != "")  # aggregators are among what it rejects
     if field == "job_platform":
-        said = F.lower(U.platform(_value("job_board_url", of)))
+        said = F.lower(U.platform(_value("job_board_url", of), h=(h or {}).get("job_board_url")))
         return low.isin(*PLACEHOLDERS, *NO_PLATFORM) | (F.length(v) < 2) | (said != "") & (low != said)
     return low.isin(*PLACEHOLDERS) | (F.length(v) < (40 if field == "company_description" else 2))
 
 
-def judged(df: DataFrame, out: str, of: str = "") -> DataFrame:
-    """df with ``out``: a struct that says of each field whether it is clearly invalid. URLs are looked at once here, and rules read the struct."""
-    return df.withColumn(out, F.struct(*(F.coalesce(clearly_invalid(f, of), F.lit(False)).alias(f) for f in FIELDS)))
+def judged(df: DataFrame, out: str, of: str = "", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """df with ``out``: an array of those of ``fields`` that are clearly invalid. URLs are looked at once here, their hosts in a step of their own, and rules read the array."""
+    urls = [f for f in URLS if f in fields or f == "job_board_url" and "job_platform" in fields]
+    hosts = {f: f"_host_{of}{f}" for f in urls}
+    df = df.withColumns({c: U.host(_value(f, of)) for f, c in hosts.items()})
+    h = {f: F.col(c) for f, c in hosts.items()}
+    return df.withColumn(out, F.array_compact(F.array(*(F.when(clearly_invalid(f, of, h), F.lit(f)) for f in fields)))).drop(*hosts.values())
+
+
+def invalid(bad: str, field: str) -> Column:
+    return F.array_contains(bad, field)
 
 
 def missing(bad: str, of: str = "") -> Column:
     """The fields that are blank or (by ``bad``, see ``judged``) clearly invalid, the site also while it is not verified."""
-    lacks = {f: (_value(f, of) == "") | F.col(f"{bad}.{f}") for f in FIELDS}
+    lacks = {f: (_value(f, of) == "") | invalid(bad, f) for f in FIELDS}
     lacks["official_website"] = lacks["official_website"] | ~F.coalesce(F.col(f"{of}website_verified"), F.lit(False))
     return F.array_compact(F.array(*(F.when(t, F.lit(f)) for f, t in lacks.items())))
 
@@ -142,7 +153,7 @@ def discover(groups: DataFrame, evidence: DataFrame) -> DataFrame:
 
     A platform that the saved board shows needs no site. Without a confirmed site nothing else is taken.
     """
-    r = judged(groups, "bad").join(resolve(evidence).select("group_key", F.struct("*").alias("e")), "group_key", "left")
+    r = judged(groups, "bad", fields=("job_board_url",)).join(resolve(evidence).select("group_key", F.struct("*").alias("e")), "group_key", "left")
     e = lambda f, x="value": F.col(f"e.{f}.{x}")
     board = _value("job_board_url")
     r = r.withColumn("shown", U.platform(board))
@@ -157,7 +168,7 @@ def discover(groups: DataFrame, evidence: DataFrame) -> DataFrame:
     r = r.withColumn("careers", careers)
     own = F.struct(F.col("careers.value").alias("value"), F.concat(F.lit("careers page: "), F.col("careers.source")).alias("source"), F.col("careers.lists_jobs").alias("lists_jobs"))
     chosen = F.coalesce(
-        F.when(~F.col("bad.job_board_url"), F.col("e.saved_board")), F.when(F.col("careers").isNotNull() & (U.platform(F.col("careers.value")) != ""), own), F.col("e.found_board"), F.when(F.col("careers.lists_jobs"), own),
+        F.when(~invalid("bad", "job_board_url"), F.col("e.saved_board")), F.when(F.col("careers").isNotNull() & (U.platform(F.col("careers.value")) != ""), own), F.col("e.found_board"), F.when(F.col("careers.lists_jobs"), own),
     )
     r = r.withColumn("board", F.when(on & asks("job_board_url", "job_platform"), chosen))
     item = lambda f, test, value, source: F.when(test, F.struct(F.lit(f).alias("field"), value.alias("value"), source.alias("source")))
@@ -173,6 +184,11 @@ def discover(groups: DataFrame, evidence: DataFrame) -> DataFrame:
     return r.select(*groups.columns, found.alias("found"), (F.coalesce("e.failed", F.lit(False)) & (F.col("step") == "no confirmed site")).alias("failed"), "step")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, run once and held on the executors' disks until nothing refers to it: what is read twice is not worked out twice."""
+    return df.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+
+
 def refresh(companies: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row for each record that lacked something: (group_key, id, after: its fields, website_verified and search_status as saved, changed, replaced, remaining, found, outcome, message).
 
@@ -180,9 +196,9 @@ def refresh(companies: DataFrame, evidence: DataFrame) -> DataFrame:
     smallest id), its blanks filled from the others. outcome and message are the group's: 'updated', 'failed', 'no_information_found' or 'unchanged'. Groups without
     evidence are reported as well; records that lack nothing are not.
     """
-    valid = sum((F.when(~F.col(f"bad.{f}") & (_value(f) != ""), 1).otherwise(0) for f in FIELDS), F.lit(0))
+    valid = sum((F.when(~invalid("bad", f) & (_value(f) != ""), 1).otherwise(0) for f in FIELDS), F.lit(0))
     at = F.struct((-valid).alias("rank"), F.col("id").cast("string").alias("id"))
-    record = judged(companies, "bad").withColumn("lacks", missing("bad")).withColumn("at", at)
+    record = kept(judged(companies.repartition("id"), "bad").withColumn("lacks", missing("bad"))).withColumn("at", at)  # dealt over tasks, whatever the files; the rules run once a record
     first = lambda f: F.coalesce(F.min_by(f, F.when(_value(f) != "", F.col("at"))), F.lit("")).alias(f)
     merged = record.groupBy("group_key").agg(*(first(f) for f in FIELDS), F.array_sort(F.array_distinct(F.flatten(F.collect_set("lacks")))).alias("requested"), F.count_if(F.size("lacks") > 0).alias("selected"))
     found = discover(merged.where("selected > 0"), evidence).select("group_key", "requested", "found", "failed", "step", "selected", F.struct(*FIELDS).alias("m"))
@@ -192,9 +208,9 @@ def refresh(companies: DataFrame, evidence: DataFrame) -> DataFrame:
     new = {f: F.get(F.filter("found", _is(f)), F.lit(0)).getField("value") for f in FIELDS}
     r = r.withColumns({f"new_{f}": F.coalesce(c, F.lit("")) for f, c in new.items()})
     marked = {f: (_value(f, "m.") != "") & (F.col(f"new_{f}") != "") & (trimmed(_value(f, "m.")) != trimmed(F.col(f"new_{f}"))) for f in FIELDS}
-    asked = lambda f: F.array_contains("requested", f) & (F.col(f"new_{f}") != "") & (_value(f) != "") & F.col(f"bad.{f}")
+    asked = lambda f: F.array_contains("requested", f) & (F.col(f"new_{f}") != "") & (_value(f) != "") & invalid("bad", f)
     source = lambda f: marked[f] & (trimmed(_value(f)) != "") & (trimmed(_value(f)) == trimmed(_value(f, "m.")))
-    allowed = {f: (marked[f] | asked(f)) & (F.col(f"bad.{f}") | source(f)) for f in FIELDS}
+    allowed = {f: (marked[f] | asked(f)) & (invalid("bad", f) | source(f)) for f in FIELDS}
     r = r.withColumns({f"may_{f}": c for f, c in allowed.items()})
     r = r.withColumns({f"after_{f}": F.when((F.col(f"new_{f}") != "") & ((_value(f) == "") | F.col(f"may_{f}")), F.col(f"new_{f}")).otherwise(F.coalesce(F.col(f), F.lit(""))) for f in FIELDS})
     site = F.col("new_official_website")
@@ -205,6 +221,7 @@ def refresh(companies: DataFrame, evidence: DataFrame) -> DataFrame:
     r = r.withColumns({"left": missing("bad_after", "after_"), "changed": F.array_sort(F.array_compact(F.array(*differs))), "replaced": F.array_compact(F.array(*(F.when(F.col(f"may_{f}"), F.lit(f)) for f in FIELDS)))})
     r = r.withColumns({"remaining": F.array_intersect("left", "requested"), "search_status": F.when(F.size("left") == 0, "Completed").otherwise("Partial")})
 
+    r = kept(r.select("group_key", "id", "selected", "failed", "step", "found", "changed", "replaced", "remaining", "search_status", *(f"after_{f}" for f in (*FIELDS, "website_verified"))))
     every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))  # noqa: E731  few distinct sets of fields, however many records
     r = r.join(r.groupBy("group_key").agg(every("changed").alias("g_changed"), every("remaining").alias("g_remaining")), "group_key")
     outcome = F.when(F.size("g_changed") > 0, "updated").when(F.col("failed"), "failed").when(F.size("g_remaining") > 0, "no_information_found").otherwise("unchanged")

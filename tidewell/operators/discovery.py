@@ -65,10 +65,10 @@ def link_score(label: Column | str, href: Column | str) -> Column:
     return 10 * count_of(both, BOARD_TERMS) + 18 * count_of(low, BOARD_LABELS) + F.when(F.lower(T.blank(href)).rlike("/(jobs|careers|employment|openings)(/|$|-)"), 14).otherwise(0) - F.when(F.length(shown) > 120, 15).otherwise(0)
 
 
-def board_rejection(url: Column | str) -> Column:
-    """Why a URL is no job board, the first reason that holds; ''."""
-    low, aggregator = F.lower(T.blank(url)), U.in_domains(U.host(url), AGGREGATORS)
-    return F.when(low == "", "blank URL").when(~low.startswith("http"), "unsupported URL").when(aggregator, "job aggregator").when(T.contains_any(low, NOT_A_BOARD), "rejected URL term").when(U.disallowed(url) & (U.platform(url) == ""), "third-party site").otherwise("")
+def board_rejection(url: Column | str, h: Column | None = None) -> Column:
+    """Why a URL is no job board, the first reason that holds; ''. ``h``: its host, where it is at hand."""
+    low, aggregator = F.lower(T.blank(url)), U.in_domains(U.host(url) if h is None else h, AGGREGATORS)
+    return F.when(low == "", "blank URL").when(~low.startswith("http"), "unsupported URL").when(aggregator, "job aggregator").when(T.contains_any(low, NOT_A_BOARD), "rejected URL term").when(U.disallowed(url, h) & (U.platform(url, h=h) == ""), "third-party site").otherwise("")
 
 
 def board_score(company: Column | str, url: Column | str, label: Column | str, from_official: Column, clicked: Column | None = None) -> Column:
