@@ -44,6 +44,15 @@ def test_prune_archives_applied(spark):
     assert rows(merge.prune(jobs, keep, apps, jobs.where("company_id = 'a'")), "id") == [("a", "1", "Open"), ("a", "2", "Archived"), ("b", "4", "Open")] or rows(merge.prune(jobs, keep, apps, jobs.where("company_id = 'a'")), "id") == [("1", "a", "Open"), ("2", "a", "Archived"), ("4", "b", "Open")]
 
 
+def test_prune_joins_once(spark):
+    """One join for the scope and one for all that is said of an id; a null id is never missing, an id counts wherever its rows are, what is kept and applied for stays as it is."""
+    jobs = spark.createDataFrame([("1", "a", "Open"), (None, "a", "Open"), ("2", "a", "Open"), ("2", "b", "Open"), ("3", "a", "Open"), ("3", "b", "Open"), ("4", "a", "Open")], "id string, company_id string, status string")
+    apps = spark.createDataFrame([("1",), ("2",), ("9",), (None,)], "job_id string")
+    got = merge.prune(jobs, jobs.where("id = '1' or id is null"), apps, jobs.where("company_id = 'a'"))
+    assert sorted(str(tuple(r[c] for c in jobs.columns)) for r in got.collect()) == sorted(map(str, [("1", "a", "Open"), (None, "a", "Open"), ("2", "a", "Archived"), ("2", "b", "Archived")]))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+
+
 def test_upsert_keeps_first_seen(spark):
     s = spark.createDataFrame([("1", "x", "2020"), ("2", "y", "2021")], "id string, v string, first_seen string")
     n = spark.createDataFrame([("2", None, "2030"), ("3", "z", "2031")], s.schema)
