@@ -8,6 +8,7 @@ from tidewell.functions import rules as R
 from tidewell.functions import status as S
 from tidewell.functions import url as U
 from tidewell.operators import records as K
+from tidewell.plans import records
 from tidewell.sources import generic
 
 
@@ -73,3 +74,9 @@ def test_changes_on_empty_tables(spark):
     assert got == {"a": ("created", None, "Not Found"), "b": ("duplicate", "a", "Manual"), "c": ("invalid", None, "Not Found")}
     assert K.update(companies, new.withColumns({"companyDescription": F.lit(""), **{c: F.lit("") for c in K.URLS}})).count() == 0
     assert K.facet_totals(spark.createDataFrame([], "b string, s string, n bigint"), "b", "s", "n").count() == 0
+
+
+def test_facet_options_are_summed_once(spark):
+    """Line items go to the operator as they are: its two aggregates and the orders with a large item are all there is to hold."""
+    df = records.facet_totals(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3
