@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import cotraining, decontamination, html_extract, mixing, near_dedup, quality_rules, repeats, secret_scan, surrogates, token_store
+from tidewell.llm import cotraining, decontamination, html_extract, mixing, near_dedup, quality_rules, repeats, secret_scan, shared, surrogates, token_store
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -369,6 +369,36 @@ def test_repeats_edges(spark, odd):
     assert repeats.repeats(odd.limit(0)).count() == 0
 
 
+def test_repeats_deal_copies(spark, monkeypatch):
+    """A text with many copies, and a passage that many texts share, meet in more than one task; copies are one row a task before they are shuffled."""
+    word = lambda n, seed: "".join(np.random.default_rng(seed).choice(list("abcd "), n))
+    passage = word(450, 0)
+    texts = [word(600, 1)] * 40 + [word(200, k) + passage + word(200, 100 + k) for k in range(2, 42)] + [word(900, 300)]
+    tasks, plans, stored = {}, {}, shared.stored
+
+    def seen(df, name):
+        if name.endswith("-met"):
+            parts = df.groupBy("core", F.spark_partition_id().alias("task")).count().groupBy("core").agg(F.sum("count").alias("n"), F.count("*").alias("tasks"))
+            tasks[name] = [r.tasks for r in parts.where("n >= 40").collect()]
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    monkeypatch.setattr(shared, "stored", seen)
+    monkeypatch.setattr(shared, "ROWS_A_KEY", 2)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = repeats.repeats(docs(spark, *texts).repartition(4)).select("copies", "spans").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted(r.copies for r in found) == [1] * 40 + [40]
+    assert all(sum(b - a for a, b in r.spans) >= (600 if r.copies == 40 else 450) for r in found)
+    assert tasks["anchors-met"] and min(tasks["anchors-met"]) > 1
+    assert plans["texts"].index("LeftSemi") < plans["texts"].index("partial_first")
+
+
 # ---- 9: html ----------------------------------------------------------------------------------------------------------------
 
 
